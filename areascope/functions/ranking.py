@@ -16,14 +16,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areascope.operators.joins import lookup_join, null_safe
-from areascope.session import ROWS_PER_BUCKET
+from areascope.session import BROADCAST_ROWS, ROWS_PER_BUCKET, materialise
 
 MAX_BUCKETS = 4096
 
 
-def value_edges(df: DataFrame, value: str, rows_per_bucket: int) -> list[float]:
+def value_edges(
+    df: DataFrame, value: str, rows_per_bucket: int, n: int | None = None
+) -> list[float]:
     """Bucket edges that hold about `rows_per_bucket` rows each; empty when one bucket will do."""
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= rows_per_bucket:
         return []
     buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
@@ -41,7 +43,7 @@ def with_bucket(df: DataFrame, value: str, edges: list[float], out: str) -> Data
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: list[float], out: str = "q",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values per key: (keys..., out array).
 
@@ -53,7 +55,7 @@ def exact_quantiles(
     data = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias(v)
     )
-    edges = value_edges(data, v, rows_per_bucket)
+    edges = value_edges(data, v, rows_per_bucket, n_rows)
     if not edges:
         q = F.percentile(v, F.array(*[F.lit(p) for p in probs])).alias(out)
         return data.groupBy(*keys).agg(q)
@@ -103,6 +105,28 @@ def exact_quantiles(
     return found.select(*keys, F.array(*values).alias(out))
 
 
+def grouped_stats(
+    df: DataFrame, keys: list[str], value: str, aggs: list[Column], probs: list[float],
+    out: str = "q", rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Plain aggregates together with exact quantiles of the non-null values per key.
+
+    Few rows: one aggregate does both. Many: the rows are written once, then the aggregates
+    combine on the map side and the quantiles go through buckets.
+    """
+    seen = df.where(F.col(value).isNotNull())
+    n = seen.count()
+    if n <= rows_per_bucket:
+        q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]))
+        return seen.groupBy(*keys).agg(*aggs, q.alias(out))
+    seen = materialise(seen)
+    base = seen.groupBy(*keys).agg(*aggs)
+    q = exact_quantiles(seen, keys, value, probs, out, rows_per_bucket, n)
+    names = [c for c in base.columns if c not in keys]
+    joined = base.join(q, null_safe(base, q, keys))
+    return joined.select(*[base[k] for k in keys], *names, out)
+
+
 def percentile_rank(
     df: DataFrame, value: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
@@ -113,7 +137,8 @@ def percentile_rank(
     """
     v, b, n = "__v", "__b", "__n"
     data = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(v))
-    edges = value_edges(data, v, rows_per_bucket)
+    rows = data.count()
+    edges = value_edges(data, v, rows_per_bucket, rows)
     freq = with_bucket(data, v, edges, b).groupBy(b, v).agg(F.count(F.lit(1)).alias(n))
     sizes = freq.groupBy(b).agg(F.sum(n).alias("__cnt"))
     one = W.partitionBy(F.lit(0))  # at most MAX_BUCKETS rows
@@ -131,7 +156,8 @@ def percentile_rank(
         F.col(v).alias("__key"), (place / F.col("__total") * 100).alias(out)
     )
     keyed = df.withColumn("__key", F.col(value).cast("double"))
-    return lookup_join(keyed, ranks, "__key").drop("__key")
+    known = rows if rows <= BROADCAST_ROWS else None  # no more distinct values than rows
+    return lookup_join(keyed, ranks, "__key", at_most=known).drop("__key")
 
 
 def seeded_hash(key: Column, seed: int) -> Column:

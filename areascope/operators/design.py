@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areascope.functions.ranking import exact_quantiles
+from areascope.session import ROWS_PER_BUCKET
 
 
 @dataclass
@@ -45,13 +48,17 @@ def design(
     parts: list[Column] = []
     layout = Layout(outcomes)
 
-    aggs = [F.avg(c).alias(f"m_{c}") for c in plain]
-    aggs += [F.stddev_pop(c).alias(f"s_{c}") for c in plain]
     dims = vector[1] if vector else 0
     items = [F.get(F.col(vector[0]), F.lit(i)).cast("double") for i in range(dims)]
-    aggs += [F.avg(v).alias(f"vm_{i}") for i, v in enumerate(items)]
-    aggs += [F.stddev_pop(v).alias(f"vs_{i}") for i, v in enumerate(items)]
-    stats = df.agg(*aggs).first() if aggs else None
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs += [F.avg(c).alias(f"m_{c}") for c in plain]
+    aggs += [F.stddev_pop(c).alias(f"s_{c}") for c in plain]
+    if vector:
+        # one vector aggregate instead of two per dimension
+        v = array_to_vector(F.transform(vector[0], lambda e: F.coalesce(e, F.lit(0.0)).cast("double")))
+        aggs.append(Summarizer.metrics("mean", "std").summary(v).alias("vector"))
+    stats = df.agg(*aggs).first()
+    edges = _all_edges(df, list(binned.values()), bins, stats["rows"])
 
     def scaled(c: Column, mean: float | None, std: float | None) -> Column:
         mean = mean or 0.0
@@ -62,7 +69,12 @@ def design(
 
     if vector:
         parts.append(
-            F.array(*[scaled(v, stats[f"vm_{i}"], stats[f"vs_{i}"]) for i, v in enumerate(items)])
+            F.array(
+                *[
+                    scaled(v, float(stats["vector"]["mean"][i]), float(stats["vector"]["std"][i]))
+                    for i, v in enumerate(items)
+                ]
+            )
         )
         layout.add("vector", dims)
     for name, cols in numeric.items():
@@ -71,7 +83,7 @@ def design(
         parts.append(F.array(*values, *marks))
         layout.add(name, 2 * len(cols))
     for name, c in binned.items():
-        marks, n = bin_marks(df, c, bins)
+        marks, n = bin_marks(F.col(c), edges[c])
         parts.append(marks)
         layout.add(name, n)
 
@@ -80,6 +92,19 @@ def design(
     return df.select(*keep, x.alias("x"), y.alias("y")), layout
 
 
+def _all_edges(
+    df: DataFrame, columns: list[str], bins: int, rows: int
+) -> dict[str, list[float]]:
+    """Interior percentile edges of several columns, together when the rows are few."""
+    if rows > ROWS_PER_BUCKET:
+        return {c: bin_edges(df, c, bins) for c in columns}
+    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    found = df.agg(
+        F.count(F.lit(1)), *[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns]
+    ).first()
+    return {c: sorted(set(found[c] or [])) for c in columns}
+
+
 def bin_edges(df: DataFrame, c: str, bins: int) -> list[float]:
     """Distinct interior percentile edges of a column."""
     probs = [i / bins for i in range(1, bins)]
@@ -97,8 +122,11 @@ def bin_number(c: Column, edges: list[float]) -> Column:
     )
 
 
-def bin_marks(df: DataFrame, c: str, bins: int) -> tuple[Column, int]:
-    edges = bin_edges(df, c, bins)
-    number = bin_number(F.col(c), edges)
+def bin_marks(c: Column, edges: list[float]) -> tuple[Column, int]:
+    """0/1 marks of the bins, the last one for missing values, and their number."""
     n = len(edges) + 2
-    return F.array(*[F.when(number == i, 1.0).otherwise(0.0) for i in range(n)]), n
+    number = bin_number(c, edges)
+    marks = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(number == i, 1.0).otherwise(0.0)
+    )
+    return marks, n

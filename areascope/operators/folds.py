@@ -45,7 +45,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 
 def with_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    return lookup_join(df, group_folds(df, group, k), group, "inner")
+    return lookup_join(df, group_folds(df, group, k), group, "inner", at_most=MAX_GROUPS)
 
 
 def row_folds(

@@ -16,21 +16,23 @@ SALTS = 64
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most `rows` rows (counts no further than that)."""
-    return df.limit(rows + 1).count() <= rows
+    """True when the frame has at most `rows` rows. A count adds up on the map side; a limit
+    before it would send that many rows of every partition to one task."""
+    return df.count() <= rows
 
 
 def lookup_join(
     left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
-    rows: int = BROADCAST_ROWS,
+    rows: int = BROADCAST_ROWS, at_most: int | None = None,
 ) -> DataFrame:
-    """Join rows to a table that is unique on the key.
+    """Join rows to a lookup table.
 
-    A counted small table is broadcast, so the large side does not move. A larger one is
-    shuffled with heavy keys salted: the lookup row of a heavy key is repeated once per salt.
+    A small table is broadcast, so the large side does not move; `at_most` is its known
+    largest size, else it is counted. A larger one is shuffled with heavy keys salted: the
+    lookup row of a heavy key is repeated once per salt.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if is_small(right, rows):
+    if at_most <= rows if at_most is not None else is_small(right, rows):
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, how)
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areascope.functions import registry
-from areascope.functions.ranking import exact_quantiles
-from areascope.operators.joins import lookup_join, null_safe
+from areascope.functions.ranking import grouped_stats
+from areascope.operators.joins import lookup_join
 from areascope.session import ROWS_PER_BUCKET
 
 # Polygon pieces carry edge lists, so fewer rows of them are broadcast than of plain tables.
@@ -110,18 +110,14 @@ def zonal_stats(
     Four of them combine on the map side; the median goes through counted buckets, so the
     largest area does not have to fit in a task.
     """
-    seen = inside.where(F.col(value).isNotNull() & ~F.isnan(value))
-    base = seen.groupBy(key, band).agg(
+    seen = inside.where(~F.isnan(value))
+    base = [
         F.avg(value).alias("MEAN"), F.min(value).alias("MINIMUM"), F.max(value).alias("MAXIMUM"),
         F.stddev_pop(value).alias("STD"), F.count(value).alias("n"),
-    )
-    mid = exact_quantiles(seen, [key, band], value, [0.5], "__q", rows_per_bucket).select(
-        key, band, F.col("__q")[0].alias("MEDIAN")
-    )
-    joined = base.join(mid, null_safe(base, mid, [key, band]))
-    return joined.select(
-        base[key], base[band], "n", *[F.col(s) for s in registry.AREA_STATS]
-    )
+    ]
+    out = grouped_stats(seen, [key, band], value, base, [0.5], "__q", rows_per_bucket)
+    out = out.withColumn("MEDIAN", F.col("__q")[0])
+    return out.select(key, band, "n", *registry.AREA_STATS)
 
 
 def zonal_wide(stats: DataFrame, key: str, names: list[str], band: str = "band") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from areascope.functions.ranking import (
     exact_quantiles,
+    grouped_stats,
     hash_rank,
     seeded_hash,
     value_rank,
@@ -42,12 +43,9 @@ def range_and_median(
 ) -> DataFrame:
     """Smallest, largest and median value, overall or per key."""
     keys = list(keys or [])
-    ends = df.groupBy(*keys).agg(F.min(c).alias("min"), F.max(c).alias("max"))
-    mid = exact_quantiles(df, keys, c, [0.5], "__q", rows_per_bucket)
-    mid = mid.select(*keys, F.col("__q")[0].alias("median"))
-    if not keys:
-        return ends.crossJoin(F.broadcast(mid))  # one row each
-    return ends.join(mid, keys, "left")
+    ends = [F.min(c).alias("min"), F.max(c).alias("max")]
+    out = grouped_stats(df, keys, c, ends, [0.5], "__q", rows_per_bucket)
+    return out.select(*keys, "min", "max", F.col("__q")[0].alias("median"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,11 +99,13 @@ def r2_score(
     )
 
 
-def fold_summary(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
+def fold_summary(
+    scores: DataFrame, keys: list[str], score: str, more: list[Column] | None = None
+) -> DataFrame:
     """Mean and population standard deviation over folds; a missing or NaN score is skipped."""
     s = F.when(~F.isnan(score), F.col(score))
     return scores.groupBy(*keys).agg(
-        F.avg(s).alias(f"{score}_mean"), F.stddev_pop(s).alias(f"{score}_std")
+        F.avg(s).alias(f"{score}_mean"), F.stddev_pop(s).alias(f"{score}_std"), *(more or [])
     )
 
 
@@ -141,15 +141,10 @@ def area_decile(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Label 1..n: one more than the number of interior edges strictly below the value."""
-    edges = percentile_edges(df, c, n, rows_per_bucket).select(
-        F.slice("edges", 2, n - 1).alias("__edges")
-    )
-    below = F.size(F.filter("__edges", lambda e: e < F.col(c)))
-    return (
-        df.crossJoin(F.broadcast(edges))  # one row
-        .withColumn(out, F.when(F.col(c).isNotNull(), below + 1))
-        .drop("__edges")
-    )
+    found = percentile_edges(df, c, n, rows_per_bucket).first()  # n + 1 numbers
+    inner = F.array(*[F.lit(e) for e in found["edges"][1:-1]]) if found else F.array()
+    below = F.size(F.filter(inner, lambda e: e < F.col(c)))
+    return df.withColumn(out, F.when(F.col(c).isNotNull(), below + 1))
 
 
 def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
@@ -184,15 +179,14 @@ def distribution(
     df: DataFrame, keys: list[str], c: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Shape of a value per key: count, mean, extremes, quartiles and median."""
-    base = df.groupBy(*keys).agg(
+    base = [
         F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max")
+    ]
+    out = grouped_stats(df, keys, c, base, [0.25, 0.5, 0.75], "__q", rows_per_bucket)
+    return out.select(
+        *keys, "n", "mean", "min", "max", F.col("__q")[0].alias("q1"),
+        F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"),
     )
-    q = exact_quantiles(df, keys, c, [0.25, 0.5, 0.75], "__q", rows_per_bucket)
-    q = q.select(
-        *keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-        F.col("__q")[2].alias("q3"),
-    )
-    return base.join(q, keys, "left")
 
 
 # --- order and sample ---------------------------------------------------------------------

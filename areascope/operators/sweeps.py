@@ -109,8 +109,9 @@ def cv_r2(
 ) -> DataFrame:
     """Cross-validated R² per outcome and model: mean and std over folds, and rows used."""
     scores = fold_scores(df, layout, models, fold, min_rows=min_rows)
-    n = scores.groupBy("outcome", "model").agg(F.sum("n_test").alias("n"))
-    return fold_summary(scores, ["outcome", "model"], "r2").join(n, ["outcome", "model"])
+    return fold_summary(
+        scores, ["outcome", "model"], "r2", [F.sum("n_test").alias("n")]
+    )
 
 
 def compare_sets(

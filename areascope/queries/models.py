@@ -19,6 +19,7 @@ from areascope.operators.survey import pivot_unique
 from areascope.operators.sweeps import Model
 from areascope.queries.base import query, rounded
 from areascope.queries.summaries import DIMS
+from areascope.session import materialise
 from areascope.sources.tables import table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -26,6 +27,11 @@ OUTCOMES = ["urgent", "high", "medium", "unspecified", "low"]
 
 
 def area_table(spark, d):
+    """The area table, written once: splits, edges and sums all read it."""
+    return materialise(build_areas(spark, d))
+
+
+def build_areas(spark, d):
     """One row per customer with orders: key, state, outcomes and indices."""
     orders = table(spark, d, "orders")
     cells = orders.groupBy("o_custkey", "o_orderpriority").agg(F.avg("o_totalprice").alias("v"))
@@ -364,7 +370,7 @@ def bins_fit(spark, d):
 
 def vector_areas(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("area"), "embedding")
-    return area_table(spark, d).join(e, "area")
+    return materialise(build_areas(spark, d).join(e, "area"))
 
 
 def vector_design(areas, keep):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A side is broadcast only after it was counted and found to have at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -42,3 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="areascope-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame that several jobs read to the shared checkpoint folder and read it back.
+
+    The copy is columnar and survives lost executors; later jobs prune its columns.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/areascope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
