@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areascope.operators.joins import lookup_join, null_safe
+from areascope.operators.joins import is_small, join_null_safe, lookup_join
 from areascope.session import BROADCAST_ROWS, ROWS_PER_BUCKET, materialise
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384
 
 
 def value_edges(
@@ -47,41 +47,50 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values per key: (keys..., out array).
 
-    With few rows in all, one `percentile` aggregate. Otherwise equal values are counted first
-    (a value shared by a third of the rows becomes one row), the bucket holding each wanted
-    rank is found from counts, and only those buckets are ordered.
+    With few rows in all, one `percentile` aggregate (or one ordered pass, without keys).
+    Otherwise rows are only counted by bucket, which says where each wanted rank lies, and the
+    rows of those buckets alone are moved: equal values first become one counted row (a value
+    may be shared by a third of the rows), then a bucket is ordered.
     """
     v, b, n = "__v", "__b", "__n"
     data = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias(v)
     )
-    edges = value_edges(data, v, rows_per_bucket, n_rows)
-    if not edges:
+    rows = data.count() if n_rows is None else n_rows
+    edges = value_edges(data, v, rows_per_bucket, rows)
+    if not edges and keys:
         q = F.percentile(v, F.array(*[F.lit(p) for p in probs])).alias(out)
         return data.groupBy(*keys).agg(q)
 
-    freq = with_bucket(data, v, edges, b).groupBy(*keys, b, v).agg(F.count(F.lit(1)).alias(n))
-    sizes = freq.groupBy(*keys, b).agg(F.sum(n).alias("__cnt"))
-    per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = per_key.orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn(
-        "__offset", F.coalesce(F.sum("__cnt").over(before), F.lit(0))
-    ).withColumn("__total", F.sum("__cnt").over(per_key))
-
     def low(p: float) -> Column:
         return F.floor((F.col("__total") - 1) * F.lit(p))
 
     def high(p: float) -> Column:
         return F.ceil((F.col("__total") - 1) * F.lit(p))
 
-    wanted = F.lit(False)
-    for p in probs:
-        for rank in (low(p), high(p)):
-            wanted |= (rank >= F.col("__offset")) & (rank < F.col("__offset") + F.col("__cnt"))
-    hit = sizes.where(wanted)
-    near = freq.join(hit, null_safe(freq, hit, [*keys, b])).select(
-        *[freq[k] for k in keys], freq[b], v, n, "__offset", "__total"
-    )
+    bucketed = with_bucket(data, v, edges, b)
+    if edges:
+        sizes = bucketed.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__cnt"))
+        per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+        before = per_key.orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+        sizes = sizes.withColumn(
+            "__offset", F.coalesce(F.sum("__cnt").over(before), F.lit(0))
+        ).withColumn("__total", F.sum("__cnt").over(per_key))
+        wanted = F.lit(False)
+        for p in probs:
+            for rank in (low(p), high(p)):
+                wanted |= (rank >= F.col("__offset")) & (rank < F.col("__offset") + F.col("__cnt"))
+        hit = materialise(sizes.where(wanted).drop("__cnt"))
+        counted = [F.count(F.lit(1)).alias(n)]
+        if is_small(hit):
+            near = join_null_safe(bucketed, F.broadcast(hit), [*keys, b])
+            near = near.groupBy(*keys, b, v, "__offset", "__total").agg(*counted)
+        else:
+            # very many keys: collapse equal values before they are moved
+            near = join_null_safe(bucketed.groupBy(*keys, b, v).agg(*counted), hit, [*keys, b])
+    else:
+        near = bucketed.groupBy(b, v).agg(F.count(F.lit(1)).alias(n))
+        near = near.withColumns({"__offset": F.lit(0), "__total": F.lit(rows)})
     running = F.sum(n).over(
         W.partitionBy(*keys, b).orderBy(v).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -116,15 +125,14 @@ def grouped_stats(
     """
     seen = df.where(F.col(value).isNotNull())
     n = seen.count()
-    if n <= rows_per_bucket:
+    if n <= rows_per_bucket and keys:
         q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]))
         return seen.groupBy(*keys).agg(*aggs, q.alias(out))
-    seen = materialise(seen)
+    if n > rows_per_bucket:
+        seen = materialise(seen)
     base = seen.groupBy(*keys).agg(*aggs)
     q = exact_quantiles(seen, keys, value, probs, out, rows_per_bucket, n)
-    names = [c for c in base.columns if c not in keys]
-    joined = base.join(q, null_safe(base, q, keys))
-    return joined.select(*[base[k] for k in keys], *names, out)
+    return join_null_safe(base, q, keys)
 
 
 def percentile_rank(
@@ -185,12 +193,16 @@ def hash_rank(
     sizes = hashed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__cnt"))
     per_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     before = per_group.orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(
-        *groups, b, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__offset")
+    sizes = materialise(
+        sizes.select(
+            *groups, b, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__offset")
+        )
     )
+    if is_small(sizes):
+        sizes = F.broadcast(sizes)
     inside = F.row_number().over(W.partitionBy(*groups, b).orderBy(h, key))
     return (
-        lookup_join(hashed, sizes, [*groups, b])
+        join_null_safe(hashed, sizes, [*groups, b])
         .withColumn(out, (F.col("__offset") + inside).cast("int"))
         .drop(h, b, "__offset")
     )
@@ -200,34 +212,38 @@ def value_rank(
     df: DataFrame, value: str, key: str, out: str, descending: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Number all rows 1..n by a numeric column (ties by `key`) without one global sort task.
+    """Number all rows 1..n by a numeric column without one global sort task.
 
-    Missing values come last. A value shared by very many rows is cut further by a hash of
-    the key, so no bucket is larger than planned.
+    Missing values come last; rows with the same value follow the hash of their key, so a
+    value shared by very many rows can be cut further and no bucket is larger than planned.
     """
-    v, b, s = "__v", "__b", "__s"
+    v, b, s, h = "__v", "__b", "__s", "__h"
     signed = -F.col(value).cast("double") if descending else F.col(value).cast("double")
-    data = df.withColumn(v, signed)
+    data = df.withColumns({v: signed, h: F.md5(F.col(key).cast("string"))})
     edges = value_edges(data.where(F.col(v).isNotNull()), v, rows_per_bucket)
+    order = [F.asc_nulls_last(v), h, key]
     if not edges:
-        order = W.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last(v), key)
-        return data.withColumn(out, F.row_number().over(order)).drop(v)
-    # A value that is itself an edge may be shared by many rows: it gets buckets of its own,
-    # ordered by the leading hash digits of the key.
-    shared = F.col(v).isin(edges) | F.col(v).isNull()
-    hashed = F.md5(F.col(key).cast("string"))
+        whole = W.partitionBy(F.lit(0)).orderBy(*order)
+        return data.withColumn(out, F.row_number().over(whole)).drop(v, h)
+    # A value shared by many rows is itself an edge: the first value of its bucket. It and
+    # the missing values get buckets of their own, cut by the leading digits of the hash.
+    missing = F.col(v).isNull()
+    shared = F.col(v).isin(edges) | missing
     data = with_bucket(data, v, edges, b)
-    data = data.withColumn(
-        s, F.when(shared, F.concat(F.lit("0"), F.substring(hashed, 1, 2))).otherwise("1")
+    data = data.withColumns(
+        {
+            b: F.when(missing, F.lit(float(len(edges) + 2))).otherwise(F.col(b)),
+            s: F.when(shared, F.concat(F.lit("0"), F.substring(h, 1, 2))).otherwise("1"),
+        }
     )
     sizes = data.groupBy(b, s).agg(F.count(F.lit(1)).alias("__cnt"))
     before = W.partitionBy(F.lit(0)).orderBy(b, s).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(
-        b, s, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__offset")
+    sizes = materialise(
+        sizes.select(b, s, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__offset"))
     )
-    inside = F.row_number().over(W.partitionBy(b, s).orderBy(F.asc_nulls_last(v), hashed, key))
+    inside = F.row_number().over(W.partitionBy(b, s).orderBy(*order))
     return (
         lookup_join(data, sizes, [b, s])
         .withColumn(out, (F.col("__offset") + inside).cast("int"))
-        .drop(v, b, s, "__offset")
+        .drop(v, h, b, s, "__offset")
     )

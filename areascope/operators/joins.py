@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areascope.session import BROADCAST_ROWS
@@ -120,8 +120,10 @@ def available(columns: list[str], wanted: list[str]) -> list[str]:
     return [c for c in wanted if c in have]
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition that also matches missing keys with each other."""
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True)
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which missing keys match each other, as groups with a missing key do."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.lit(True)
     )
+    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])

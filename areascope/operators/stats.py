@@ -240,7 +240,7 @@ def sample_rows(
 def paginate(
     df: DataFrame, value: str, key: str, size: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Page number (from 0) and place on the page, rows ordered by value then key."""
+    """Page number (from 0) and place on the page, rows ordered by value (ties by key hash)."""
     ranked = value_rank(df, value, key, "__r", rows_per_bucket=rows_per_bucket)
     return (
         ranked.withColumn("page", F.floor((F.col("__r") - 1) / F.lit(size)).cast("int"))

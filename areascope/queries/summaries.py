@@ -288,7 +288,7 @@ def best_and_worst(spark, d):
 @query(f"""
 WITH {SCORE_SQL}
 SELECT c.s_suppkey AS l_suppkey, s_acctbal,
-       CAST(row_number() OVER (ORDER BY s.score, s.l_suppkey) AS INTEGER) AS position
+       CAST(row_number() OVER (ORDER BY s.score, md5(CAST(s.l_suppkey AS VARCHAR))) AS INTEGER) AS position
 FROM supplier c JOIN s ON s.l_suppkey = c.s_suppkey
 """)
 def custom_order(spark, d):
@@ -328,8 +328,8 @@ def sampled_rows(spark, d):
 
 @query("""
 SELECT s_suppkey, s_acctbal,
-       CAST((row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1) // 10 AS INTEGER) AS page,
-       CAST((row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1) % 10 AS INTEGER) AS slot
+       CAST((row_number() OVER (ORDER BY s_acctbal, md5(CAST(s_suppkey AS VARCHAR))) - 1) // 10 AS INTEGER) AS page,
+       CAST((row_number() OVER (ORDER BY s_acctbal, md5(CAST(s_suppkey AS VARCHAR))) - 1) % 10 AS INTEGER) AS slot
 FROM supplier
 """)
 def pages_of_ten(spark, d):
