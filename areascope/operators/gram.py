@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BASE = -1  # outcome number of the sums that hold for all outcomes
-FLUSH_KEYS = 256
+FLUSH_BYTES = 256 * 2**20  # a task hands its partial sums on when they take this much memory
 
 
 def gram(df: DataFrame, keys: list[str], p: int, m: int, x: str = "x", y: str = "y") -> DataFrame:
@@ -51,7 +51,7 @@ def gram(df: DataFrame, keys: list[str], p: int, m: int, x: str = "x", y: str =
             for key, rows in _split(batch, keys):
                 part = held.setdefault(key, {BASE: np.zeros((p1 + 2, width))})
                 _add(part, xs[rows], ys[rows].astype("float64"), p1, m)
-            if len(held) > FLUSH_KEYS:
+            if sum(a.nbytes for part in held.values() for a in part.values()) > FLUSH_BYTES:
                 yield _emit(held, keys, arrow_schema)
                 held = {}
         if held:

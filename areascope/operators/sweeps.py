@@ -17,8 +17,12 @@ from pyspark.sql import types as T
 
 from areascope.functions.scalars import additional_var
 from areascope.operators.design import Layout
-from areascope.operators.gram import Sums, fit_bins, fit_ridge, gram, score
-from areascope.operators.stats import fold_summary
+from areascope.operators.gram import BASE, Sums, fit_bins, fit_ridge, gram, score
+from areascope.operators.joins import lookup_join
+from areascope.operators.stats import fold_summary, r2_score
+
+
+OUTCOMES_PER_TASK = 8
 
 
 @dataclass(frozen=True)
@@ -36,28 +40,34 @@ def _fit(model: Model, cols: list[int], xx: np.ndarray, xy: np.ndarray) -> np.nd
 
 
 def _per_group(
-    sums: DataFrame, groups: list[str], split: str, p: int, m: int, solve, fields: list
+    sums: DataFrame, groups: list[str], split: str, layout: Layout, solve, fields: list
 ) -> DataFrame:
-    """Run `solve({split value: Sums})` on each group's sums; yields tuples of `fields`.
+    """Run `solve({split value: Sums}, outcome numbers)` on each group's sums.
 
-    A group's input is (splits x features x features) numbers, whatever its rows were.
+    A task gets one group and a few outcomes: (splits x features x features) numbers for the
+    common sums and as many per outcome with missing rows, whatever the rows were.
     """
-    if not groups:
-        sums, groups_ = sums.withColumn("__all", F.lit(0)), ["__all"]
-    else:
-        groups_ = groups
-    shown = [sums.schema[g] for g in groups]
-    schema = T.StructType(shown + fields)
+    p, m = layout.p, len(layout.outcomes)
+    chunks = -(-m // OUTCOMES_PER_TASK)
+    chunk = F.when(
+        F.col("o") == BASE, F.sequence(F.lit(0), F.lit(chunks - 1))
+    ).otherwise(F.array(F.floor(F.col("o") / OUTCOMES_PER_TASK).cast("int")))
+    spread = sums.withColumn("__chunk", F.explode(chunk))
+    schema = T.StructType([sums.schema[g] for g in groups] + fields)
     names = [f.name for f in fields]
+    size = OUTCOMES_PER_TASK
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = {s: Sums.from_rows(part, p, m) for s, part in rows.groupby(split)}
-        out = pd.DataFrame(list(solve(parts)), columns=names)
+        first = int(key[-1]) * size
+        out = pd.DataFrame(
+            list(solve(parts, range(first, min(first + size, m)))), columns=names
+        )
         for i, g in enumerate(groups):
             out.insert(i, g, key[i])
         return out
 
-    return sums.groupBy(*groups_).applyInPandas(run, schema)
+    return spread.groupBy(*groups, "__chunk").applyInPandas(run, schema)
 
 
 _SCORE = [
@@ -83,11 +93,12 @@ def fold_scores(
     plan = [(model, layout.cols(*model.blocks)) for model in models]
     outcomes = layout.outcomes
 
-    def solve(parts: dict):
+    def solve(parts: dict, numbers: range):
         everything = None
         for s in parts.values():
             everything = s if everything is None else everything + s
-        for o, outcome in enumerate(outcomes):
+        for o in numbers:
+            outcome = outcomes[o]
             axx, axy, _, n = everything.outcome(o)
             if n < min_rows:
                 continue
@@ -101,7 +112,7 @@ def fold_scores(
                     yield outcome, model.name, int(f), r2, n - n_test, n_test
 
     fields = [*_SCORE, T.StructField("fold", T.IntegerType()), *_NUMBERS]
-    return _per_group(sums, groups, fold, p, m, solve, fields)
+    return _per_group(sums, groups, fold, layout, solve, fields)
 
 
 def cv_r2(
@@ -124,10 +135,11 @@ def compare_sets(
     plan = [(model, layout.cols(*model.blocks)) for model in models]
     outcomes = layout.outcomes
 
-    def solve(parts: dict):
+    def solve(parts: dict, numbers: range):
         if len(parts) < 2:
             return
-        for o, outcome in enumerate(outcomes):
+        for o in numbers:
+            outcome = outcomes[o]
             xx, xy, _, n_train = parts[False].outcome(o)
             txx, txy, tyy, n_test = parts[True].outcome(o)
             if n_train < min_train or n_test < min_test:
@@ -136,7 +148,7 @@ def compare_sets(
                 r2 = score(txx, txy, tyy, _fit(model, cols, xx, xy))
                 yield outcome, model.name, r2, n_train, n_test
 
-    return _per_group(sums, [], test, p, m, solve, [*_SCORE, *_NUMBERS])
+    return _per_group(sums, [], test, layout, solve, [*_SCORE, *_NUMBERS])
 
 
 def residual_r2(
@@ -154,10 +166,11 @@ def residual_r2(
     cols2 = layout.cols(*second.blocks)
     outcomes = layout.outcomes
 
-    def solve(parts: dict):
+    def solve(parts: dict, numbers: range):
         if len(parts) < 2:
             return
-        for o, outcome in enumerate(outcomes):
+        for o in numbers:
+            outcome = outcomes[o]
             xx, xy, _, n_train = parts[False].outcome(o)
             txx, txy, tyy, n_test = parts[True].outcome(o)
             if n_train < min_train or n_test < min_test:
@@ -175,7 +188,7 @@ def residual_r2(
         T.StructField("r2_index", T.DoubleType()), T.StructField("r2_residual", T.DoubleType()),
         T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
     ]
-    out = _per_group(sums, [], test, p, m, solve, fields)
+    out = _per_group(sums, [], test, layout, solve, fields)
     return out.withColumn(
         "additional_var", additional_var(F.col("r2_residual"), F.col("r2_index"))
     )
@@ -200,3 +213,49 @@ def sweep_by(
         *picks, F.count_distinct("outcome").alias("n_outcomes")
     )
     return means.join(sizes.where(F.col("n_tracts") >= min_group), group)
+
+
+def score_measures(
+    df: DataFrame, layout: Layout, models: list[Model], test: str = "test",
+    min_train: int = 50, min_test: int = 10, least_std: float = 1e-6,
+) -> DataFrame:
+    """Held-out R² and mean absolute error per outcome and model.
+
+    The error needs predictions, so the fitted weights (one short row per outcome and model)
+    are joined back to the test rows.
+    """
+    p, m = layout.p, len(layout.outcomes)
+    sums = gram(df, [test], p, m)
+    plan = [(model, layout.cols(*model.blocks)) for model in models]
+    outcomes = layout.outcomes
+
+    def solve(parts: dict, numbers: range):
+        if len(parts) < 2:
+            return
+        for o in numbers:
+            xx, xy, yy, n_train = parts[False].outcome(o)
+            n_test = parts[True].outcome(o)[3]
+            if n_train < min_train or n_test < min_test:
+                continue
+            if yy / n_train - (xy[0] / n_train) ** 2 < least_std**2:
+                continue
+            for model, cols in plan:
+                w = _fit(model, cols, xx, xy)
+                yield outcomes[o], model.name, o, list(w), n_train
+
+    fields = [
+        *_SCORE, T.StructField("o", T.IntegerType()),
+        T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("n_train", T.LongType()),
+    ]
+    weights = _per_group(sums, [], test, layout, solve, fields)
+    rows = df.where(F.col(test)).select("x", F.posexplode("y").alias("o", "y"))
+    size = len(outcomes) * len(models)  # rows of the weight table
+    line = F.aggregate(
+        F.zip_with("x", F.slice("w", 2, p), lambda a, b: a * b), F.get("w", F.lit(0)),
+        lambda acc, v: acc + v,
+    )
+    predicted = lookup_join(rows, weights, "o", "inner", at_most=size).withColumn("p", line)
+    scored = r2_score(predicted, "y", "p", ["outcome", "model", "n_train"])
+    return scored.select(
+        "outcome", "model", "r2", "mae", "n_train", F.col("n").alias("n_test")
+    )

@@ -17,6 +17,11 @@ from areascope.operators.sweeps import Model
 N, DIMS = 700, 6
 
 
+@pytest.fixture(autouse=True, params=[1, 8])
+def outcomes_per_task(request, monkeypatch):
+    monkeypatch.setattr(sweeps, "OUTCOMES_PER_TASK", request.param)
+
+
 @pytest.fixture(scope="module")
 def areas(spark):
     rng = np.random.default_rng(11)
@@ -52,7 +57,7 @@ def np_r2(y, p):
 def test_gram_sums(spark, areas, monkeypatch):
     df, x, state, _, y1, y2, few = areas
     rows = df.select("state", F.col("v").alias("x"), F.array("y1", "y2", "few").alias("y"))
-    monkeypatch.setattr(gram_module, "FLUSH_KEYS", 3)
+    monkeypatch.setattr(gram_module, "FLUSH_BYTES", 3000)
     sums = gram(rows, ["state"], DIMS, 3).toPandas()
     for s, part in sums.groupby("state"):
         got = Sums.from_rows(part, DIMS, 3)
@@ -245,3 +250,27 @@ def test_scores_and_gates(spark):
     assert r.r2_mean == pytest.approx(0.3) and r.r2_std == pytest.approx(0.1)
     kept = gate(df, ["k"], {"n": (F.lit(True), 2), "ones": (F.col("p") == 1, 1)})
     assert {r.k for r in kept.collect()} == {"a", "c"}
+
+
+def test_measures_with_error(spark, areas):
+    df, x, state, index, y1, *_ = areas
+    split = holdout(df.where("idx IS NOT NULL"), "state", 0.2, 42)
+    test_of = {r.id: r.test for r in split.select("id", "test").collect()}
+    split = split.withColumn("flat", F.lit(3.0))
+    rows, layout = design(
+        split, ["test"], ["y1", "few", "flat"], vector=("v", DIMS), numeric={"idx": ["idx"]},
+        scale=False,
+    )
+    models = [Model("emb", ("vector",)), Model("idx", ("idx",))]
+    got = {(r.outcome, r.model): r for r in sweeps.score_measures(
+        rows, layout, models, min_test=20).collect()}
+    assert set(got) == {("y1", "emb"), ("y1", "idx")}  # few: under 20 test rows; flat: constant
+    have = np.array([i in test_of for i in range(N)])
+    test = np.array([test_of.get(i, False) for i in range(N)])
+    for name, z in (("emb", x), ("idx", index[:, None])):
+        b, a = np_ridge(z[have & ~test], y1[have & ~test], 1.0)
+        p = z[test] @ b + a
+        r = got[("y1", name)]
+        assert r.r2 == pytest.approx(np_r2(y1[test], p), abs=1e-8)
+        assert r.mae == pytest.approx(np.abs(y1[test] - p).mean(), rel=1e-8)
+        assert (r.n_train, r.n_test) == ((have & ~test).sum(), test.sum())
