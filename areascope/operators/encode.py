@@ -30,6 +30,21 @@ def patch_means(patch: int) -> Callable[[], Encoder]:
     return load
 
 
+def standardised(
+    load: Callable[[], Encoder], means: list[float], stds: list[float]
+) -> Callable[[], Encoder]:
+    """The same encoder on channels brought to mean 0 and std 1, padding included."""
+    shape = (1, -1, 1, 1)
+
+    def load_scaled() -> Encoder:
+        encoder = load()
+        mean = np.asarray(means, dtype="float32").reshape(shape)
+        std = np.asarray(stds, dtype="float32").reshape(shape)
+        return lambda chips: encoder((chips - mean) / std)
+
+    return load_scaled
+
+
 def encode_chips(
     chips: DataFrame, load: Callable[[], Encoder], channels: int, px: int, batch: int = 8
 ) -> DataFrame:
