@@ -13,7 +13,12 @@ def complete_vector(v: Column) -> Column:
 
 def assemble(columns: list[str]) -> Column:
     """One array<double> from many numeric columns, missing values kept as null."""
-    return F.array(*[F.col(c).cast("double") for c in columns])
+    return F.expr("array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in columns) + ")")
+
+
+def double_array(values: list[float]) -> Column:
+    """Literal array of finite doubles, as one expression."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def spread(v: str, names: list[str]) -> list[Column]:
@@ -32,26 +37,25 @@ def weighted_mean(
     weight gives null elements.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    w = F.col(weight).cast("double")
-    sums = [
-        F.sum(F.get(F.col(vector), F.lit(i)).cast("double") * w).alias(f"__s{i}")
-        for i in range(dims)
-    ]
+    w = f"CAST(`{weight}` AS DOUBLE)"
+    sums = [F.expr(f"sum(get(`{vector}`, {i}) * {w}) AS __s{i}") for i in range(dims)]
     extra = [F.any_value(c).alias(c) for c in carry or []]
-    grouped = df.groupBy(*keys).agg(F.sum(w).alias(total), *extra, *sums)
-    mean = F.array(*[F.try_divide(F.col(f"__s{i}"), F.col(total)) for i in range(dims)])
-    return grouped.select(*keys, mean.alias(vector), total, *(carry or []))
+    grouped = df.groupBy(*keys).agg(F.expr(f"sum({w}) AS `{total}`"), *extra, *sums)
+    parts = ", ".join(f"try_divide(__s{i}, `{total}`)" for i in range(dims))
+    return grouped.select(
+        *keys, F.expr(f"array({parts})").alias(vector), total, *(carry or [])
+    )
 
 
 def mean_pool(df: DataFrame, key: str | list[str], vector: str, dims: int) -> DataFrame:
     """Plain mean vector per key (over time steps or band sets), missing elements skipped."""
     keys = [key] if isinstance(key, str) else list(key)
     means = [
-        F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"__s{i}")
-        for i in range(dims)
+        F.expr(f"avg(CAST(get(`{vector}`, {i}) AS DOUBLE)) AS __s{i}") for i in range(dims)
     ]
     grouped = df.groupBy(*keys).agg(*means)
-    return grouped.select(*keys, F.array(*[F.col(f"__s{i}") for i in range(dims)]).alias(vector))
+    parts = ", ".join(f"__s{i}" for i in range(dims))
+    return grouped.select(*keys, F.expr(f"array({parts})").alias(vector))
 
 
 def vector_rows(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

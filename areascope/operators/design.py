@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areascope.functions.ranking import exact_quantiles
+from areascope.functions.vectors import double_array
 from areascope.session import ROWS_PER_BUCKET
 
 
@@ -49,13 +50,12 @@ def design(
     layout = Layout(outcomes)
 
     dims = vector[1] if vector else 0
-    items = [F.get(F.col(vector[0]), F.lit(i)).cast("double") for i in range(dims)]
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.avg(c).alias(f"m_{c}") for c in plain]
     aggs += [F.stddev_pop(c).alias(f"s_{c}") for c in plain]
     if vector:
         # one vector aggregate instead of two per dimension
-        v = array_to_vector(F.transform(vector[0], lambda e: F.coalesce(e, F.lit(0.0)).cast("double")))
+        v = array_to_vector(F.transform(vector[0], lambda e: F.coalesce(e.cast("double"), F.lit(0.0))))
         aggs.append(Summarizer.metrics("mean", "std").summary(v).alias("vector"))
     stats = df.agg(*aggs).first()
     edges = _all_edges(df, list(binned.values()), bins, stats["rows"])
@@ -68,14 +68,15 @@ def design(
         return (filled - F.lit(mean)) / F.lit(std if std else 1.0)
 
     if vector:
-        parts.append(
-            F.array(
-                *[
-                    scaled(v, float(stats["vector"]["mean"][i]), float(stats["vector"]["std"][i]))
-                    for i, v in enumerate(items)
-                ]
-            )
-        )
+        raw = F.col(vector[0]).cast("array<double>")
+        means = double_array(stats["vector"]["mean"])
+        stds = double_array([s or 1.0 for s in stats["vector"]["std"]])
+        # missing elements become the mean
+        filled = F.zip_with(raw, means, lambda e, m: F.coalesce(e, m))
+        if scale:
+            centred = F.zip_with(filled, means, lambda e, m: e - m)
+            filled = F.zip_with(centred, stds, lambda e, s: e / s)
+        parts.append(filled)
         layout.add("vector", dims)
     for name, cols in numeric.items():
         values = [scaled(F.col(c), stats[f"m_{c}"], stats[f"s_{c}"]) for c in cols]
@@ -116,7 +117,7 @@ def bin_number(c: Column, edges: list[float]) -> Column:
     """Number of edges strictly below the value; missing values get a number of their own."""
     if not edges:
         return F.when(c.isNotNull(), F.lit(0)).otherwise(F.lit(1))
-    cuts = F.array(*[F.lit(e) for e in edges])
+    cuts = double_array(edges)
     return F.when(c.isNotNull(), F.size(F.filter(cuts, lambda e: e < c))).otherwise(
         F.lit(len(edges) + 1)
     )

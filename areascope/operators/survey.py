@@ -11,7 +11,6 @@ from areascope.functions import registry
 from areascope.functions.keys import pad_geoid
 from areascope.functions.scalars import (
     complement,
-    null_below,
     safe_ratio,
     share,
     sum_skipnull,
@@ -31,7 +30,13 @@ def cols_like(df: DataFrame, prefix: str = "", suffix: str = "") -> list[str]:
 
 def null_sentinels(df: DataFrame, columns: list[str], floor: float = -99999.0) -> DataFrame:
     """Missing-data codes to null in all the given columns, in one projection."""
-    return df.withColumns({c: null_below(F.col(c), floor) for c in columns})
+    wanted = set(columns)
+    return df.selectExpr(
+        *[
+            f"CASE WHEN `{c}` >= {floor}D THEN `{c}` END AS `{c}`" if c in wanted else f"`{c}`"
+            for c in df.columns
+        ]
+    )
 
 
 def to_percent(
@@ -40,7 +45,9 @@ def to_percent(
     """Counts as a percentage of their universe, where the frame has both; counts are dropped."""
     have = set(df.columns)
     usable = [s for s in specs if s[0] in have and s[1] in have]
-    out = df.withColumns({name: share(F.col(num), F.col(den)) for num, den, name in usable})
+    out = df.withColumns(
+        {name: F.expr(f"try_divide(`{num}`, `{den}`) * 100D") for num, den, name in usable}
+    )
     return out.drop(*[num for num, _, _ in usable], *(drop or []))
 
 

@@ -46,12 +46,15 @@ def read_parquet(spark: SparkSession, glob: str) -> DataFrame:
 
 def clean_nan(df: DataFrame) -> DataFrame:
     """NaN and null both mean missing; Spark aggregates only skip null."""
-    fixes = {
-        f.name: F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`"))
-        for f in df.schema.fields
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    }
-    return df.withColumns(fixes) if fixes else df
+    numbers = (T.DoubleType, T.FloatType)
+    return df.selectExpr(
+        *[
+            f"nullif(`{f.name}`, {f.dataType.simpleString()}('NaN')) AS `{f.name}`"
+            if isinstance(f.dataType, numbers)
+            else f"`{f.name}`"
+            for f in df.schema.fields
+        ]
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
