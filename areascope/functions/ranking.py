@@ -116,19 +116,20 @@ def exact_quantiles(
 
 def grouped_stats(
     df: DataFrame, keys: list[str], value: str, aggs: list[Column], probs: list[float],
-    out: str = "q", rows_per_bucket: int = ROWS_PER_BUCKET,
+    out: str = "q", rows_per_bucket: int = ROWS_PER_BUCKET, stored: bool = False,
 ) -> DataFrame:
     """Plain aggregates together with exact quantiles of the non-null values per key.
 
-    Few rows: one aggregate does both. Many: the rows are written once, then the aggregates
-    combine on the map side and the quantiles go through buckets.
+    Few rows: one aggregate does both. Many: the rows are written once (unless they are
+    `stored` already), then the aggregates combine on the map side and the quantiles go
+    through buckets.
     """
     seen = df.where(F.col(value).isNotNull())
     n = seen.count()
     if n <= rows_per_bucket and keys:
         q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]))
         return seen.groupBy(*keys).agg(*aggs, q.alias(out))
-    if n > rows_per_bucket:
+    if n > rows_per_bucket and not stored:
         seen = materialise(seen)
     base = seen.groupBy(*keys).agg(*aggs)
     q = exact_quantiles(seen, keys, value, probs, out, rows_per_bucket, n)

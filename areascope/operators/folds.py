@@ -11,6 +11,7 @@ from areascope.operators.stats import sample_groups
 from areascope.session import ROWS_PER_BUCKET
 
 MAX_GROUPS = 10_000
+LISTED_GROUPS = 1_000
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
@@ -58,6 +59,15 @@ def row_folds(
 
 
 def holdout(df: DataFrame, group: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add `test`: true for the rows of the held-out share of groups."""
-    held = sample_groups(df, group, seed, frac=frac).withColumn("test", F.lit(True))
-    return lookup_join(df, held, group).withColumn("test", F.coalesce("test", F.lit(False)))
+    """Add `test`: true for the rows of the held-out share of groups.
+
+    Few groups (states) become a literal list in the plan; many are joined.
+    """
+    k = max(1, round(frac * df.select(group).dropna().distinct().count()))
+    held = sample_groups(df, group, seed, k=k)
+    if k <= LISTED_GROUPS:
+        names = [r[0] for r in held.collect()]
+        return df.withColumn("test", F.coalesce(F.col(group).isin(names), F.lit(False)))
+    held = held.withColumn("test", F.lit(True))
+    joined = lookup_join(df, held, group, at_most=k)
+    return joined.withColumn("test", F.coalesce("test", F.lit(False)))

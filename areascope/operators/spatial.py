@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from areascope.functions import registry
 from areascope.functions.ranking import grouped_stats
 from areascope.operators.joins import lookup_join
-from areascope.session import ROWS_PER_BUCKET
+from areascope.session import ROWS_PER_BUCKET, materialise
 
 # Polygon pieces carry edge lists, so fewer rows of them are broadcast than of plain tables.
 BROADCAST_PIECES = 20_000
@@ -108,14 +108,15 @@ def zonal_stats(
     """Mean, median, min, max and population std per area and band, missing values skipped.
 
     Four of them combine on the map side; the median goes through counted buckets, so the
-    largest area does not have to fit in a task.
+    largest area does not have to fit in a task. The located values are written once, so the
+    spatial join behind them runs once.
     """
-    seen = inside.where(~F.isnan(value))
+    seen = materialise(inside.where(~F.isnan(value)).select(key, band, value))
     base = [
         F.avg(value).alias("MEAN"), F.min(value).alias("MINIMUM"), F.max(value).alias("MAXIMUM"),
         F.stddev_pop(value).alias("STD"), F.count(value).alias("n"),
     ]
-    out = grouped_stats(seen, [key, band], value, base, [0.5], "__q", rows_per_bucket)
+    out = grouped_stats(seen, [key, band], value, base, [0.5], "__q", rows_per_bucket, True)
     out = out.withColumn("MEDIAN", F.col("__q")[0])
     return out.select(key, band, "n", *registry.AREA_STATS)
 

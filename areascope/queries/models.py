@@ -96,15 +96,13 @@ FROM split, fit WHERE test GROUP BY n_train
 """)
 def holdout_index_r2(spark, d):
     """How well one area index explains an outcome in states it was not fitted on."""
-    areas = holdout(
-        table(spark, d, "customer").join(
-            table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-                F.avg("o_totalprice").alias("x")
-            ),
-            "c_custkey",
-        ).select(F.col("c_nationkey").alias("state"), F.col("c_acctbal").alias("y"), "x"),
-        "state",
+    index = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.avg("o_totalprice").alias("x")
     )
+    joined = table(spark, d, "customer").join(index, "c_custkey").select(
+        F.col("c_nationkey").alias("state"), F.col("c_acctbal").alias("y"), "x"
+    )
+    areas = holdout(materialise(joined), "state")
     line = areas.where("NOT test").agg(
         F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"),
         F.count(F.lit(1)).alias("n_train"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from areascope.functions.ranking import percentile_rank
+from areascope.functions.ranking import grouped_stats, percentile_rank
 from areascope.functions.vectors import mean_pool, vector_rows, weighted_mean
 from areascope.functions.keys import map_default, pad_geoid, state_of, tract_of
 from areascope.operators import stats
@@ -133,11 +133,19 @@ SELECT CAST(decile AS INTEGER) AS decile, count(*) AS n, round(median(x), 6) AS
 def area_deciles(spark, d):
     """Deciles by interior edges, with the median inside each."""
     li = stats.area_decile(table(spark, d, "lineitem"), "l_extendedprice")
-    base = li.groupBy("decile").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("mean_v")
-    )
-    mid = stats.median_by(li, ["decile"], "l_extendedprice", "median_x")
-    return rounded(base.join(mid, "decile"))
+    base = [F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("mean_v")]
+    out = grouped_stats(li, ["decile"], "l_extendedprice", base, [0.5])
+    return rounded(out.select("decile", "n", F.col("q")[0].alias("median_x"), "mean_v"))
+
+
+@query(f"""
+WITH {DECILE_SQL}
+SELECT CAST(decile AS INTEGER) AS decile, round(median(v), 6) AS median_v FROM dec GROUP BY decile
+""")
+def decile_medians(spark, d):
+    """Median of another column inside every decile."""
+    li = stats.area_decile(table(spark, d, "lineitem"), "l_extendedprice")
+    return rounded(stats.median_by(li, ["decile"], "l_discount", "median_v"))
 
 
 @query("""

@@ -274,3 +274,13 @@ def test_measures_with_error(spark, areas):
         assert r.r2 == pytest.approx(np_r2(y1[test], p), abs=1e-8)
         assert r.mae == pytest.approx(np.abs(y1[test] - p).mean(), rel=1e-8)
         assert (r.n_train, r.n_test) == ((have & ~test).sum(), test.sum())
+
+
+def test_holdout_with_many_groups(spark, areas, monkeypatch):
+    import areascope.operators.folds as folds
+
+    df, *_ = areas
+    listed = {(r.id, r.test) for r in holdout(df, "state", 0.2, 42).select("id", "test").collect()}
+    monkeypatch.setattr(folds, "LISTED_GROUPS", 0)
+    joined = {(r.id, r.test) for r in holdout(df, "state", 0.2, 42).select("id", "test").collect()}
+    assert listed == joined
