@@ -2,7 +2,7 @@
 
 Areas are customers: state = nation, outcomes = mean order price per priority (missing where a
 customer has no such order), indices = account balance, number of orders, mean order month.
-Queries on one feature have SQL; the same operators on 64-dimensional vectors do not.
+The SQL of the vector models solves the ridge systems by elimination in a recursive query.
 """
 
 from __future__ import annotations
@@ -363,7 +363,7 @@ def bins_fit(spark, d):
     return rounded(out.select("area", "test", "prediction"), 4)
 
 
-# --- the same on 64-dimensional vectors (checked against NumPy in tests) ------------------
+# --- the same on 64-dimensional vectors ----------------------------------------------------
 
 
 def vector_areas(spark, d):
@@ -385,16 +385,123 @@ INDICES = [
     Model("month", ("month",), "bins"),
 ]
 
+EIGHTHS = "[0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]"
 
-@query()
+# va: areas with vectors; feat: features of each ridge model; bin: bin of each index.
+VECTOR_SQL = f"""
+{AREA_SQL},
+va AS (SELECT area.*, embedding FROM area JOIN embeddings ON vec_id = area),
+el AS (SELECT area, i AS f, CAST(embedding[i] AS DOUBLE) AS x FROM va, (SELECT unnest(range(1, 65)) AS i)
+       UNION ALL SELECT area, 65, n_orders FROM va UNION ALL SELECT area, 66, mean_month FROM va),
+sc AS (SELECT f, avg(x) AS m, CASE WHEN f <= 64 THEN stddev_samp(x) ELSE stddev_pop(x) END AS s
+       FROM el GROUP BY f),
+emb AS (SELECT area, f, (x - m) / s AS x FROM el JOIN sc USING (f)),
+ed AS (SELECT quantile_cont(mean_price, {EIGHTHS}) AS p, quantile_cont(balance, {EIGHTHS}) AS b,
+              quantile_cont(mean_month, {EIGHTHS}) AS m FROM va),
+bin AS (
+  SELECT area, 'price' AS model, len(list_filter(p, lambda q: q < mean_price)) AS bin FROM va, ed
+  UNION ALL SELECT area, 'balance', len(list_filter(b, lambda q: q < balance)) FROM va, ed
+  UNION ALL SELECT area, 'month', len(list_filter(m, lambda q: q < mean_month)) FROM va, ed),
+marks AS (
+  SELECT area, k + 1 + CASE model WHEN 'price' THEN 0 WHEN 'balance' THEN 8 ELSE 16 END AS f,
+         CASE WHEN bin = k THEN 1.0::DOUBLE ELSE 0.0 END AS x
+  FROM bin, (SELECT unnest(range(0, 8)) AS k)),
+feat AS (
+  SELECT 'emb' AS model, area, f, x FROM emb
+  UNION ALL SELECT 'all indices', area, f, x FROM marks
+  UNION ALL SELECT 'all indices + emb', area, f, x FROM emb
+  UNION ALL SELECT 'all indices + emb', area, f + 66, x FROM marks)
+"""
+
+# Ridge with penalty 1 by elimination: src(model, sys, area, test, y) -> pred(..., p).
+SOLVE_SQL = """
+mx AS (SELECT model, sys, f, avg(x) AS m FROM src JOIN feat USING (model, area) WHERE NOT test
+       GROUP BY ALL),
+my AS (SELECT model, sys, avg(y) AS m FROM src WHERE NOT test GROUP BY ALL),
+cx AS (SELECT model, sys, area, f, x - mx.m AS x, y - my.m AS y
+       FROM src JOIN feat USING (model, area) JOIN mx USING (model, sys, f) JOIN my USING (model, sys)
+       WHERE NOT test),
+g AS (SELECT a.model, a.sys, a.f AS i, b.f AS j,
+             sum(a.x * b.x) + max(CASE WHEN a.f = b.f THEN 1 ELSE 0 END) AS v
+      FROM cx a JOIN cx b ON a.model = b.model AND a.sys = b.sys AND a.area = b.area
+      GROUP BY a.model, a.sys, a.f, b.f),
+rr AS (SELECT model, sys, f AS i, sum(x * y) AS v FROM cx GROUP BY ALL),
+aug AS (SELECT model, sys, i, list_append(list(g.v ORDER BY j), any_value(rr.v)) AS r
+        FROM g JOIN rr USING (model, sys, i) GROUP BY model, sys, i),
+elim AS (
+  SELECT model, sys, 0 AS k, i, r FROM aug
+  UNION ALL
+  SELECT e.model, e.sys, e.k + 1, e.i,
+         CASE WHEN e.i = e.k + 1 THEN list_transform(e.r, lambda v: v / p.r[e.k + 1])
+              ELSE list_transform(list_zip(e.r, p.r),
+                                  lambda z: z[1] - z[2] * e.r[e.k + 1] / p.r[e.k + 1]) END
+  FROM elim e JOIN elim p
+    ON p.model = e.model AND p.sys = e.sys AND p.i = e.k + 1 AND e.k < len(e.r) - 1),
+w AS (SELECT model, sys, i AS f, r[len(r)] AS b FROM elim WHERE k = len(r) - 1),
+pred AS (SELECT model, sys, area, test, any_value(y) AS y, any_value(my.m) + sum((x - mx.m) * b) AS p
+         FROM src JOIN feat USING (model, area) JOIN mx USING (model, sys, f)
+         JOIN my USING (model, sys) JOIN w USING (model, sys, f)
+         GROUP BY model, sys, area, test)
+"""
+
+VECTOR_SPLIT_SQL = f"""
+{VECTOR_SQL},
+st AS (SELECT state, row_number() OVER (ORDER BY md5(CAST(state AS VARCHAR) || '-42'), state)
+              <= greatest(1, round_even(0.2 * count(*) OVER (), 0)) AS test
+       FROM (SELECT DISTINCT state FROM va)),
+split AS (SELECT va.*, st.test FROM va JOIN st USING (state)),
+{long_sql("split", "area, test")},
+size AS (SELECT outcome, count(*) FILTER (NOT test) AS n_train, count(*) FILTER (test) AS n_test
+         FROM long GROUP BY 1 HAVING count(*) FILTER (NOT test) >= 100 AND count(*) FILTER (test) >= 50),
+mean AS (SELECT outcome, model, bin, avg(y) AS p FROM long JOIN bin USING (area) WHERE NOT test
+         GROUP BY ALL),
+overall AS (SELECT outcome, avg(y) AS o FROM long WHERE NOT test GROUP BY ALL),
+step AS (SELECT bin.model, outcome, area, test, y, coalesce(p, o) AS p
+         FROM long JOIN bin USING (area) JOIN overall USING (outcome)
+         LEFT JOIN mean USING (outcome, model, bin))
+"""
+
+
+@query(f"""
+WITH RECURSIVE {VECTOR_SQL},
+sizes AS (SELECT state AS g, count(*) AS size,
+                 row_number() OVER (ORDER BY count(*) DESC, state DESC) AS i FROM va GROUP BY 1),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS g, CAST(NULL AS INTEGER) AS fold,
+         [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT s.i, s.g, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+         list_transform(loads, lambda v, j: CASE WHEN j = list_position(loads, list_min(loads))
+                                                 THEN v + s.size ELSE v END)
+  FROM walk w JOIN sizes s ON s.i = w.i + 1),
+folded AS (SELECT va.*, fold FROM va JOIN walk ON g = state),
+{long_sql("folded", "area, fold")},
+src AS (SELECT 'emb' AS model, outcome || k AS sys, area, fold = k AS test, y
+        FROM long, (SELECT unnest(range(0, 5)) AS k)),
+{SOLVE_SQL},
+one AS (SELECT sys, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, count(*) AS n
+        FROM pred WHERE test GROUP BY sys)
+SELECT sys[:-2] AS outcome, 'emb' AS model, round(avg(r2), 5) AS r2_mean,
+       round(stddev_pop(r2), 5) AS r2_std, CAST(sum(n) AS BIGINT) AS n
+FROM one GROUP BY 1
+""")
 def cv_r2_vectors(spark, d):
     """Group-fold R² of the vectors for every outcome."""
     areas = with_group_folds(vector_areas(spark, d), "state", 5)
     rows, layout = vector_design(areas, ["fold"])
-    return sweeps.cv_r2(rows, layout, [EMBEDDINGS])
+    return rounded(sweeps.cv_r2(rows, layout, [EMBEDDINGS]), 5)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {VECTOR_SPLIT_SQL},
+src AS (SELECT m AS model, outcome AS sys, area, test, y
+        FROM long, (SELECT unnest(['emb', 'all indices', 'all indices + emb']) AS m)),
+{SOLVE_SQL},
+every AS (SELECT model, sys AS outcome, test, y, p FROM pred
+          UNION ALL SELECT model, outcome, test, y, p FROM step)
+SELECT outcome, model, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2, n_train, n_test
+FROM every JOIN size USING (outcome) WHERE test GROUP BY outcome, model, n_train, n_test
+""")
 def compare_six_sets(spark, d):
     """Each index, all indices, vectors, and both, on held-out states."""
     rows, layout = vector_design(holdout(vector_areas(spark, d), "state"), ["test"])
@@ -403,31 +510,85 @@ def compare_six_sets(spark, d):
         *INDICES, Model("all indices", names), EMBEDDINGS,
         Model("all indices + emb", (*names, "vector", "size")),
     ]
-    return sweeps.compare_sets(rows, layout, models)
+    return rounded(sweeps.compare_sets(rows, layout, models), 5)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {VECTOR_SPLIT_SQL},
+src AS (SELECT 'emb' AS model, model || '|' || outcome AS sys, area, test, y - p AS y FROM step),
+{SOLVE_SQL},
+one AS (SELECT model AS "index", outcome, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2_index
+        FROM step WHERE test GROUP BY 1, 2),
+two AS (SELECT sys, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2_residual
+        FROM pred WHERE test GROUP BY 1)
+SELECT "index", outcome, round(r2_index, 5) AS r2_index, round(r2_residual, 5) AS r2_residual,
+       round(greatest(0, r2_residual) * greatest(0, 1 - r2_index), 5) AS additional_var,
+       n_train, n_test
+FROM one JOIN two ON sys = "index" || '|' || outcome JOIN size USING (outcome)
+""")
 def residual_vectors(spark, d):
     """What the vectors explain of the residual each index leaves."""
     rows, layout = vector_design(holdout(vector_areas(spark, d), "state"), ["test"])
-    return sweeps.residual_r2(rows, layout, INDICES, EMBEDDINGS)
+    return rounded(sweeps.residual_r2(rows, layout, INDICES, EMBEDDINGS), 5)
 
 
-@query()
+def vector_sweep_sql(group: str, extra: str) -> str:
+    return f"""
+WITH RECURSIVE {VECTOR_SQL},
+{extra}
+f AS (SELECT *, CAST((row_number() OVER (PARTITION BY {group}
+          ORDER BY md5(CAST(area AS VARCHAR) || '-42'), area) - 1) % 2 AS INTEGER) AS fold FROM grouped),
+{long_sql("f", f"area, fold, {group}")},
+big AS (SELECT {group}, outcome FROM long GROUP BY 1, 2 HAVING count(*) >= 10),
+halves AS (SELECT {group}, outcome, area, fold = k AS test, y, k FROM long JOIN big USING ({group}, outcome),
+           (SELECT unnest([0, 1]) AS k)),
+src AS (SELECT 'emb' AS model, {group} || '|' || outcome || '|' || k AS sys, area, test, y FROM halves),
+{SOLVE_SQL},
+mean AS (SELECT {group}, outcome, k, model, bin, avg(y) AS p FROM halves JOIN bin USING (area)
+         WHERE NOT test GROUP BY ALL),
+overall AS (SELECT {group}, outcome, k, avg(y) AS o FROM halves WHERE NOT test GROUP BY ALL),
+every AS (
+  SELECT bin.model, {group} || '|' || outcome || '|' || k AS sys, y, coalesce(p, o) AS p
+  FROM halves JOIN bin USING (area) JOIN overall USING ({group}, outcome, k)
+  LEFT JOIN mean USING ({group}, outcome, k, model, bin) WHERE test
+  UNION ALL SELECT model, sys, y, p FROM pred WHERE test),
+sc1 AS (SELECT model, sys, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2 FROM every GROUP BY 1, 2),
+avg1 AS (SELECT model, CAST(split_part(sys, '|', 1) AS INTEGER) AS {group},
+                split_part(sys, '|', 2) AS outcome, avg(r2) AS r2 FROM sc1 GROUP BY 1, 2, 3),
+n AS (SELECT {group}, count(*) AS n_tracts FROM grouped GROUP BY 1 HAVING count(*) >= 10)
+SELECT {group}, round(avg(r2) FILTER (model = 'price'), 5) AS r2_price,
+       round(avg(r2) FILTER (model = 'balance'), 5) AS r2_balance,
+       round(avg(r2) FILTER (model = 'month'), 5) AS r2_month,
+       round(avg(r2) FILTER (model = 'emb'), 5) AS r2_emb,
+       count(DISTINCT outcome) AS n_outcomes, n_tracts
+FROM avg1 JOIN n USING ({group}) GROUP BY {group}, n_tracts
+"""
+
+
+@query(vector_sweep_sql("state", "grouped AS (SELECT * FROM va),"))
 def sweep_states_vectors(spark, d):
     """Inside-state R² of three indices and the vectors."""
     areas = row_folds(vector_areas(spark, d), "area", 2, 42, ["state"])
     rows, layout = vector_design(areas, ["state", "fold"])
-    return sweeps.sweep_by(rows, layout, [*INDICES, EMBEDDINGS], "state", min_group=10, min_rows=10)
+    return rounded(
+        sweeps.sweep_by(rows, layout, [*INDICES, EMBEDDINGS], "state", min_group=10, min_rows=10),
+        5,
+    )
 
 
-@query()
+@query(vector_sweep_sql("decile", """
+de AS (SELECT quantile_cont(n_orders, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM va),
+grouped AS (SELECT va.*, CAST(1 + len(list_filter(e, lambda q: q < n_orders)) AS INTEGER) AS decile
+            FROM va, de),"""))
 def sweep_deciles_vectors(spark, d):
     """Inside-decile R² of three indices and the vectors."""
     areas = area_decile(vector_areas(spark, d), "n_orders")
     areas = row_folds(areas, "area", 2, 42, ["decile"])
     rows, layout = vector_design(areas, ["decile", "fold"])
-    return sweeps.sweep_by(rows, layout, [*INDICES, EMBEDDINGS], "decile", min_group=10, min_rows=10)
+    return rounded(
+        sweeps.sweep_by(rows, layout, [*INDICES, EMBEDDINGS], "decile", min_group=10, min_rows=10),
+        5,
+    )
 
 
 @query()
