@@ -604,27 +604,86 @@ def boosted_fit(spark, d):
 # --- principal components -----------------------------------------------------------------
 
 
-@query()
+def pca_sql(k: int) -> str:
+    """Components from fit(area, i, x) by repeated squaring of the covariance, one at a time:
+    comp(component, lam, v), mu(i, m) and total(t). Squaring 29 times leaves the leading
+    direction; it is then taken off the covariance."""
+    take = "list_transform(c, lambda row, i: list_transform(row, lambda e, j: e - lam2 * v2[i] * v2[j]))"
+    return f"""
+mu AS (SELECT i, avg(x) AS m FROM fit GROUP BY i),
+cen AS (SELECT area, i, x - m AS x FROM fit JOIN mu USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(DISTINCT area) - 1 FROM fit) AS v
+        FROM cen a JOIN cen b USING (area) GROUP BY a.i, b.i),
+total AS (SELECT sum(v) AS t FROM cov WHERE i = j),
+mat AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(v ORDER BY j) AS r FROM cov GROUP BY i)),
+power AS (
+  SELECT 0 AS step, c AS c, c AS m, CAST(NULL AS DOUBLE) AS lam, CAST(NULL AS DOUBLE[]) AS v FROM mat
+  UNION ALL
+  SELECT step + 1, CASE WHEN step % 30 = 29 THEN {take} ELSE c END,
+         CASE WHEN step % 30 = 29 THEN {take}
+              ELSE list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / (tr * tr))) END,
+         lam2, v2
+  FROM (SELECT *, list_dot_product(v2, list_transform(c, lambda row: list_dot_product(row, v2))) AS lam2
+        FROM (SELECT *, list_transform(top, lambda e: e / sqrt(list_dot_product(top, top))) AS v2
+              FROM (SELECT step, c, m, list_sum(list_transform(m, lambda row, i: row[i])) AS tr,
+                           m[list_position(list_transform(m, lambda row, i: row[i]),
+                                           list_max(list_transform(m, lambda row, i: row[i])))] AS top
+                    FROM power WHERE step < {30 * k})))),
+raw AS (SELECT step // 30 - 1 AS component, lam, v, list_transform(v, lambda e: abs(e)) AS mag
+        FROM power WHERE step > 0 AND step % 30 = 0),
+comp AS (SELECT component, lam,
+                list_transform(v, lambda e: e * sign(v[list_position(mag, list_max(mag))])) AS v FROM raw)
+"""
+
+
+ALL_VECTORS_SQL = """
+fit AS (SELECT vec_id AS area, i, CAST(embedding[i] AS DOUBLE) AS x
+        FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+"""
+
+
+@query(f"""
+WITH RECURSIVE {ALL_VECTORS_SQL}, {pca_sql(2)},
+s AS (SELECT area, component, sum((x - m) * v[i]) AS score FROM fit JOIN mu USING (i), comp GROUP BY 1, 2)
+SELECT area AS vec_id, round(max(score) FILTER (component = 0), 6) AS pc1,
+       round(max(score) FILTER (component = 1), 6) AS pc2 FROM s GROUP BY 1
+""")
 def pca_two(spark, d):
     """Two components of every vector."""
     e = table(spark, d, "embeddings")
     scored = pca_apply(e, "embedding", pca_fit(e, "embedding", 2))
-    return scored.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    return rounded(
+        scored.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    )
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {ALL_VECTORS_SQL}, {pca_sql(10)}
+SELECT CAST(component AS INTEGER) AS component, round(lam / t, 6) AS ratio,
+       round(sum(lam / t) OVER (ORDER BY component), 6) AS cumulative FROM comp, total
+""")
 def pca_explained(spark, d):
     """Variance shares of ten components."""
     e = table(spark, d, "embeddings")
-    return pca_fit(e, "embedding", 10).explained(e)
+    return rounded(pca_fit(e, "embedding", 10).explained(e))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE el AS (SELECT vec_id AS area, i, CAST(embedding[i] AS DOUBLE) AS x
+                      FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+chosen AS (SELECT vec_id AS area FROM embeddings
+           QUALIFY row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'), vec_id)
+                   <= greatest(200, CAST(floor(count(*) OVER () * 0.05) AS BIGINT))),
+fit AS (SELECT el.* FROM el JOIN chosen USING (area)), {pca_sql(10)}
+SELECT area AS vec_id, CAST(component AS INTEGER) AS component,
+       round(sum((x - m) * v[i]), 6) AS score
+FROM el JOIN mu USING (i), comp GROUP BY 1, 2
+""")
 def pca_sampled(spark, d):
     """Ten components fitted on a seeded sample, applied to all rows."""
     e = table(spark, d, "embeddings")
     scored = pca_apply(e, "embedding", pca_fit_sample(e, "embedding", "vec_id", 10))
-    return scored.select("vec_id", F.posexplode("pc").alias("component", "score"))
+    return rounded(scored.select("vec_id", F.posexplode("pc").alias("component", "score")))
 
 
 @query("""
@@ -641,13 +700,25 @@ def pca_full_norm(spark, d):
     return rounded(scored.select("vec_id", norm.alias("norm")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {VECTOR_SPLIT_SQL},
+fit AS (SELECT area, i, CAST(embedding[i] AS DOUBLE) AS x FROM va, (SELECT unnest(range(1, 65)) AS i)),
+{pca_sql(10)},
+feat1 AS (SELECT 'components' AS model, area, component + 1 AS f, sum((x - m) * v[i]) AS x
+          FROM fit JOIN mu USING (i), comp GROUP BY area, component),
+src AS (SELECT 'components' AS model, outcome AS sys, area, test, y FROM long),
+{SOLVE_SQL.replace("feat ", "feat1 ")}
+SELECT sys AS outcome, model, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2,
+       round(avg(abs(y - p)), 4) AS mae, n_train, count(*) AS n_test
+FROM pred JOIN size ON sys = outcome WHERE test GROUP BY sys, model, n_train
+""")
 def ridge_on_components(spark, d):
     """Ridge of each outcome on ten components, held-out states: R² and mean error."""
     areas = vector_areas(spark, d)
     scored = pca_apply(areas, "embedding", pca_fit(areas, "embedding", 10))
-    names = [f"pc{i}" for i in range(10)]
-    scored = scored.select("*", *[F.col("pc")[i].alias(n) for i, n in enumerate(names)])
-    split = holdout(scored, "state").withColumn("train", ~F.col("test"))
-    out = fit_predict(split, names, "balance", "train", "ridge")
-    return r2_score(out.where("test"), "balance", "prediction")
+    rows, layout = design(
+        holdout(scored, "state"), ["test"], OUTCOMES, vector=("pc", 10), scale=False
+    )
+    models = [Model("components", ("vector",))]
+    scores = sweeps.score_measures(rows, layout, models, min_train=100, min_test=50)
+    return scores.withColumns({"r2": F.round("r2", 5), "mae": F.round("mae", 4)})
