@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # An encoder takes (batch, channels, px, px) and returns (batch, grid, grid, dims).
-Encoder = Callable[[np.ndarray], np.ndarray]
+Encoder = Callable[..., np.ndarray]
 
 
 def patch_means(patch: int) -> Callable[[], Encoder]:
@@ -46,12 +46,16 @@ def standardised(
 
 
 def encode_chips(
-    chips: DataFrame, load: Callable[[], Encoder], channels: int, px: int, batch: int = 8
+    chips: DataFrame, load: Callable[[], Encoder], channels: int, px: int, batch: int = 8,
+    extra: list[str] | None = None,
 ) -> DataFrame:
     """(row_off, col_off, grid, patches): `load` runs once per task, chips go in batches.
 
-    Rows stream through, so a task holds one batch of chips and the encoder.
+    `extra` names columns (latitude, longitude, year...) an encoder wants beside the pixels,
+    given as a second argument. Rows stream through, so a task holds one batch of chips and
+    the encoder.
     """
+    extra = list(extra or [])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load()
@@ -59,7 +63,8 @@ def encode_chips(
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 data = np.stack([np.asarray(d, dtype="float32") for d in part["data"]])
-                out = encoder(data.reshape(len(part), channels, px, px))
+                data = data.reshape(len(part), channels, px, px)
+                out = encoder(data, part[extra]) if extra else encoder(data)
                 grid = out.shape[1]
                 yield pd.DataFrame(
                     {
@@ -72,6 +77,6 @@ def encode_chips(
                     }
                 )
 
-    return chips.select("row_off", "col_off", "data").mapInPandas(
+    return chips.select("row_off", "col_off", "data", *extra).mapInPandas(
         run, "row_off int, col_off int, grid int, patches array<array<float>>"
     )

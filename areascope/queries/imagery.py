@@ -12,7 +12,7 @@ from areascope.operators import raster
 from areascope.operators.encode import encode_chips, patch_means
 from areascope.operators.spatial import overlaps, pixels_in_areas, zonal_stats, zonal_wide
 from areascope.queries.base import query, rounded
-from areascope.sources.scenes import stack_bands
+from areascope.sources.scenes import read_pixels, stack_bands
 from areascope.sources.tables import table
 
 CHIP, PATCH = 32, 8
@@ -217,6 +217,65 @@ def encoded_map(spark, d):
     return rounded(cells.withColumn("value", F.when(~F.isnan(value), value)), 5)
 
 
+SEASONS = ["spring", "summer", "fall"]
+
+
+@query("""
+WITH o AS (
+  SELECT CAST(o_custkey AS INTEGER) AS "row", CAST(day(o_orderdate) - 1 AS INTEGER) AS col,
+         CASE WHEN month(o_orderdate) BETWEEN 3 AND 5 THEN 0 WHEN month(o_orderdate) BETWEEN 6 AND 8 THEN 1
+              WHEN month(o_orderdate) BETWEEN 9 AND 11 THEN 2 END AS season,
+         CAST(avg(ln(o_totalprice)) AS FLOAT) AS value
+  FROM orders GROUP BY 1, 2, 3),
+c AS (SELECT CAST("row" // 32 * 32 AS INTEGER) AS row_off, CAST(col // 32 * 32 AS INTEGER) AS col_off,
+             season, count(*) AS n, sum(value::DOUBLE) AS total FROM o WHERE season IS NOT NULL GROUP BY 1, 2, 3)
+SELECT row_off, col_off, CAST(season AS INTEGER) AS place, n, round(total, 4) AS total FROM c
+WHERE (row_off, col_off) IN (SELECT (row_off, col_off) FROM c GROUP BY row_off, col_off HAVING count(*) = 3)
+""")
+def season_chips(spark, d):
+    """Seasonal chips of the same place, one after the other; per season its pixels and sum."""
+    orders = table(spark, d, "orders").select(
+        F.col("o_custkey").cast("int").alias("row"),
+        (F.day("o_orderdate") - 1).cast("int").alias("col"), F.lit("price").alias("band"),
+        season(F.col("o_orderdate")).alias("season"), F.ln("o_totalprice").alias("value"),
+    )
+    height = table(spark, d, "customer").agg(F.max("c_custkey") + 1).first()[0]
+    means = orders.groupBy("row", "col", "band", "season").agg(F.avg("value").alias("value"))
+    chips = None
+    for name in SEASONS:
+        part = raster.to_chips(means.where(F.col("season") == name), CHIP, ["price"], height, 31)
+        part = part.withColumn("season", F.lit(name))
+        chips = part if chips is None else chips.unionByName(part)
+    size = CHIP * CHIP
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(2)),
+        lambda k: F.filter(
+            F.slice("data", k * size + 1, F.lit(size)), lambda v: ~F.isnan(v) & (v != 0)
+        ),
+    )
+    stacked = raster.stack_seasons(chips, SEASONS)
+    return stacked.select("row_off", "col_off", F.posexplode(parts).alias("place", "seen")).select(
+        "row_off", "col_off", "place", F.size("seen").cast("bigint").alias("n"),
+        F.round(
+            F.aggregate("seen", F.lit(0.0), lambda acc, v: acc + v.cast("double")), 4
+        ).alias("total"),
+    )
+
+
+@query(f"""
+WITH {OBS_SQL},
+s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F')
+SELECT event_id, band, value, scl FROM obs JOIN s ON id = event_id WHERE band IN ('click', 'view')
+""")
+def scene_pixels(spark, d):
+    """Pixels of the chosen scenes and bands."""
+    scenes = table(spark, d, "orders").where("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("scene_id")
+    )
+    pixels = observations(spark, d).withColumn("scene_id", F.col("event_id"))
+    return read_pixels(pixels, scenes, ["click", "view"]).select("event_id", "band", "value", "scl")
+
+
 @query(f"""
 WITH {GRID_SQL}
 SELECT CAST("row" // 32 * 32 AS INTEGER) AS row_off, CAST(col // 32 * 32 AS INTEGER) AS col_off

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areascope.functions.keys import (
+    in_registry,
     index_labels,
     make_geoid,
     map_default,
@@ -465,3 +466,39 @@ def sweep_list(spark, d):
     outcomes = table(spark, d, "orders").select(F.col("o_orderpriority").alias("outcome")).distinct()
     sets = table(spark, d, "part").select(F.col("p_type").alias("model")).distinct()
     return cross_specs(outcomes, sets)
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS k, avg(o_totalprice) AS price FROM orders GROUP BY 1),
+s AS (SELECT s_suppkey AS k, s_acctbal AS extra FROM supplier)
+SELECT c.c_custkey AS k, round(price, 6) AS price, extra
+FROM customer c JOIN o ON o.k = c_custkey LEFT JOIN s ON s.k = c_custkey
+""")
+def merged_areas(spark, d):
+    """Areas in both tables, with a third table's columns where it has them."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.avg("o_totalprice").alias("price")
+    )
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("extra")
+    )
+    return rounded(c.join(o, "k", "inner").join(s, "k", "left"))
+
+
+@query("""
+SELECT l_partkey, 'qty_' || l_returnflag AS variable, round(sum(l_quantity), 4) AS value
+FROM lineitem WHERE 'qty_' || l_returnflag IN (SELECT 'qty_' || o_orderstatus FROM orders)
+   OR l_returnflag = 'R'
+GROUP BY 1, 2
+""")
+def registry_variables(spark, d):
+    """Variables a registry lists."""
+    listed = union_all(
+        table(spark, d, "orders").select(F.concat(F.lit("qty_"), "o_orderstatus").alias("variable")),
+        spark.createDataFrame([("qty_R",)], "variable string"),
+    )
+    long = table(spark, d, "lineitem").groupBy(
+        "l_partkey", F.concat(F.lit("qty_"), "l_returnflag").alias("variable")
+    ).agg(F.sum("l_quantity").alias("value"))
+    return rounded(in_registry(long, "variable", listed), 4)

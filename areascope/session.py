@@ -48,8 +48,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame that several jobs read to the shared checkpoint folder and read it back.
 
-    The copy is columnar and survives lost executors; later jobs prune its columns.
+    The copy is columnar and survives lost executors; later jobs prune its columns. Copies of
+    one application share a folder named after it, to be dropped when it has ended.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/areascope/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark)}/areascope/{app}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Masks, composites, chips, maps, polygons and resumable encoding."""
 
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -80,6 +81,23 @@ def test_missing_pixels_are_not_zero(spark):
     assert math.isnan(got[(0, 0)]) and not math.isnan(got[(1, 1)])
 
 
+def test_encoder_with_metadata(spark):
+    chips = spark.createDataFrame(
+        [(0, 0, [1.0, 1.0, 1.0, 1.0], 41.0), (0, 2, [2.0] * 4, 42.0)],
+        "row_off int, col_off int, data array<float>, lat double",
+    )
+
+    def load():
+        def encode(data, extra):
+            lat = extra["lat"].to_numpy()[:, None, None, None]
+            return data.mean(axis=(1, 2, 3)).reshape(-1, 1, 1, 1) + lat
+
+        return encode
+
+    got = encode_chips(chips, load, 1, 2, extra=["lat"]).collect()
+    assert {r.col_off: r.patches for r in got} == {0: [[42.0]], 2: [[44.0]]}
+
+
 def test_seasons_stack_in_order(spark):
     chips = spark.createDataFrame(
         [(0, 0, "fall", [3.0]), (0, 0, "spring", [1.0]), (0, 0, "summer", [2.0]), (0, 8, "fall", [9.0])],
@@ -260,7 +278,7 @@ def test_resume(spark, tmp_path):
     assert encode_pending(spark, chips, encode, out).count() == 8
 
     folder, target = str(tmp_path / "in"), str(tmp_path / "stream")
-    name = f"job-{tmp_path.name}"
+    name = f"job-{uuid.uuid4().hex}"
     chips.where("row_off = 0").write.mode("append").parquet(folder)
     assert encode_arrivals(spark, folder, encode, target, name).count() == 4
     chips.where("row_off = 8").write.mode("append").parquet(folder)
