@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areascope.functions import registry
 from areascope.operators.joins import lookup_join
@@ -190,34 +191,35 @@ def chip_index(pixels: DataFrame, px: int) -> DataFrame:
 
 def to_chips(
     pixels: DataFrame, px: int, bands: list[str], height: int, width: int, pad: float = 0.0,
-    value: str = "value",
+    value: str = "value", keys: list[str] | None = None,
 ) -> DataFrame:
-    """Non-overlapping chips (row_off, col_off, data), data = bands x px x px, row-major.
+    """Non-overlapping chips (keys..., row_off, col_off, data), data = bands x px x px, row-major.
 
     Places beyond the raster's edge hold `pad`; places inside it without a pixel hold NaN.
-    Pixels are unique per (row, col, band), as every composite is, so a chip group has at most
-    bands x px x px rows.
+    Pixels are unique per (keys, row, col, band), as every composite is, so a chip group has
+    at most bands x px x px rows. `keys` (the season) cuts several rasters in one pass.
     """
-    bands = list(bands)
+    bands, keys = list(bands), list(keys or [])
     number = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("band")) - 1
     placed = chip_index(pixels.where(F.col("band").isin(bands)), px).select(
-        "row_off", "col_off",
+        *keys, "row_off", "col_off",
         (number * px * px + F.col("place")).cast("int").alias("place"),
         F.col(value).cast("float").alias("v"),
     )
-    depth = len(bands)
+    depth, names = len(bands), [*keys, "row_off", "col_off"]
+    schema = T.StructType(
+        [placed.schema[n] for n in names] + [T.StructField("data", T.ArrayType(T.FloatType()))]
+    )
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        row_off, col_off = key
+        row_off, col_off = key[-2:]
         data = np.full((depth, px, px), np.float32(pad), dtype="float32")
         data[:, : max(0, height - row_off), : max(0, width - col_off)] = np.nan
         flat = data.reshape(-1)
         flat[group["place"].to_numpy()] = group["v"].to_numpy(dtype="float32")
-        return pd.DataFrame({"row_off": [row_off], "col_off": [col_off], "data": [flat]})
+        return pd.DataFrame({**dict(zip(names, ([k] for k in key), strict=True)), "data": [flat]})
 
-    return placed.groupBy("row_off", "col_off").applyInPandas(
-        fill, "row_off int, col_off int, data array<float>"
-    )
+    return placed.groupBy(*names).applyInPandas(fill, schema)
 
 
 def stack_seasons(chips: DataFrame, order: list[str]) -> DataFrame:

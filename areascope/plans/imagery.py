@@ -11,6 +11,7 @@ from areascope.functions import registry
 from areascope.functions.scalars import solar_day
 from areascope.operators import raster
 from areascope.operators.encode import encode_chips, patch_means, standardised
+from areascope.operators.joins import union_all
 from areascope.operators.projection import Projection, pca_apply, pca_fit_sample
 from areascope.operators.spatial import pixels_in_areas, zonal_stats, zonal_wide
 from areascope.sources.scenes import read_pixels, select_scenes, windows
@@ -52,14 +53,11 @@ def vector_map(
         (only,) = found.values()
         chips = raster.to_chips(only, px, bands, height, width)
     else:
-        parts = []
-        for name, pixels in found.items():
-            chips = raster.to_chips(pixels, px, bands, height, width)
-            parts.append(chips.withColumn("season", F.lit(name)))
-        stacked = parts[0]
-        for part in parts[1:]:
-            stacked = stacked.unionByName(part)
-        chips = raster.stack_seasons(stacked, list(found))
+        pixels = union_all(
+            *[part.withColumn("season", F.lit(name)) for name, part in found.items()]
+        )
+        cut = raster.to_chips(pixels, px, bands, height, width, keys=["season"])
+        chips = raster.stack_seasons(cut, list(found))
         means, stds = zip(*[registry.BAND_STATS[b] for b in bands], strict=True)
         load = standardised(load, means * len(found), stds * len(found))
     channels = len(bands) * len(found)

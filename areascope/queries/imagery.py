@@ -241,11 +241,8 @@ def season_chips(spark, d):
     )
     height = table(spark, d, "customer").agg(F.max("c_custkey") + 1).first()[0]
     means = orders.groupBy("row", "col", "band", "season").agg(F.avg("value").alias("value"))
-    chips = None
-    for name in SEASONS:
-        part = raster.to_chips(means.where(F.col("season") == name), CHIP, ["price"], height, 31)
-        part = part.withColumn("season", F.lit(name))
-        chips = part if chips is None else chips.unionByName(part)
+    seasonal = means.where(F.col("season").isNotNull())
+    chips = raster.to_chips(seasonal, CHIP, ["price"], height, 31, keys=["season"])
     size = CHIP * CHIP
     parts = F.transform(
         F.sequence(F.lit(0), F.lit(2)),
