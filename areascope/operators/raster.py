@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from areascope.functions import registry
 from areascope.operators.joins import lookup_join
+from areascope.session import by_key
 
 PIXEL = ["row", "col", "band"]
 
@@ -219,7 +220,7 @@ def to_chips(
         flat[group["place"].to_numpy()] = group["v"].to_numpy(dtype="float32")
         return pd.DataFrame({**dict(zip(names, ([k] for k in key), strict=True)), "data": [flat]})
 
-    return placed.groupBy(*names).applyInPandas(fill, schema)
+    return by_key(placed, names).groupBy(*names).applyInPandas(fill, schema)
 
 
 def stack_seasons(chips: DataFrame, order: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from areascope.operators.design import Layout
 from areascope.operators.gram import BASE, Sums, fit_bins, fit_ridge, gram, score
 from areascope.operators.joins import lookup_join
 from areascope.operators.stats import fold_summary, r2_score
+from areascope.session import by_key
 
 
 OUTCOMES_PER_TASK = 8
@@ -67,7 +68,8 @@ def _per_group(
             out.insert(i, g, key[i])
         return out
 
-    return spread.groupBy(*groups, "__chunk").applyInPandas(run, schema)
+    placed = by_key(spread, [*groups, "__chunk"])
+    return placed.groupBy(*groups, "__chunk").applyInPandas(run, schema)
 
 
 _SCORE = [

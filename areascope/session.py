@@ -45,6 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Place rows by key in the session's full number of partitions.
+
+    Work done in Python per group is heavy for its bytes; without a stated number the
+    partitions would be merged by size and the groups would queue in a few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame that several jobs read to the shared checkpoint folder and read it back.
 
