@@ -20,6 +20,9 @@ from areascope.session import BROADCAST_ROWS, ROWS_PER_BUCKET, materialise
 
 MAX_BUCKETS = 16384
 
+# Groups of at most this many rows are aggregated whole; an aggregate holds many at a time.
+GROUP_ROWS = 100_000
+
 
 def value_edges(
     df: DataFrame, value: str, rows_per_bucket: int, n: int | None = None
@@ -47,20 +50,45 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values per key: (keys..., out array).
 
-    With few rows in all, one `percentile` aggregate (or one ordered pass, without keys).
-    Otherwise rows are only counted by bucket, which says where each wanted rank lies, and the
-    rows of those buckets alone are moved: equal values first become one counted row (a value
-    may be shared by a third of the rows), then a bucket is ordered.
+    Groups that fit a task, as counted, take one `percentile` aggregate (or, without keys, one
+    ordered pass). In large groups rows are only counted by bucket, which says where each
+    wanted rank lies, and the rows of those buckets alone are moved: equal values first become
+    one counted row (a value may be shared by a third of the rows), then a bucket is ordered.
     """
-    v, b, n = "__v", "__b", "__n"
+    v = "__v"
     data = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias(v)
     )
     rows = data.count() if n_rows is None else n_rows
-    edges = value_edges(data, v, rows_per_bucket, rows)
-    if not edges and keys:
-        q = F.percentile(v, F.array(*[F.lit(p) for p in probs])).alias(out)
-        return data.groupBy(*keys).agg(q)
+    if not keys:
+        edges = value_edges(data, v, rows_per_bucket, rows)
+        return _select_ranks(data, keys, probs, out, edges, rows)
+    plain = F.percentile(v, F.array(*[F.lit(p) for p in probs])).alias(out)
+    if rows <= rows_per_bucket:
+        return data.groupBy(*keys).agg(plain)
+
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    large = materialise(sizes.where(F.col("__size") > min(GROUP_ROWS, rows_per_bucket)))
+    found = large.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("rows")).first()
+    if found["n"] == 0:
+        return data.groupBy(*keys).agg(plain)
+    if found["n"] > BROADCAST_ROWS:
+        edges = value_edges(data, v, rows_per_bucket, rows)
+        return _select_ranks(data, keys, probs, out, edges, rows)
+    marked = join_null_safe(data, F.broadcast(large), keys, "left")
+    few = marked.where("__size IS NULL").drop("__size").groupBy(*keys).agg(plain)
+    many = marked.where("__size IS NOT NULL").drop("__size")
+    # at least two buckets, so that no large group is taken whole
+    per_bucket = min(rows_per_bucket, found["rows"] // 2)
+    edges = value_edges(many, v, per_bucket, found["rows"])
+    return few.unionByName(_select_ranks(many, keys, probs, out, edges, found["rows"]))
+
+
+def _select_ranks(
+    data: DataFrame, keys: list[str], probs: list[float], out: str, edges: list[float], rows: int
+) -> DataFrame:
+    """Quantiles by counting rows per bucket and ordering only the buckets that hold a rank."""
+    v, b, n = "__v", "__b", "__n"
 
     def low(p: float) -> Column:
         return F.floor((F.col("__total") - 1) * F.lit(p))
@@ -69,7 +97,7 @@ def exact_quantiles(
         return F.ceil((F.col("__total") - 1) * F.lit(p))
 
     bucketed = with_bucket(data, v, edges, b)
-    if edges:
+    if keys or edges:
         sizes = bucketed.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__cnt"))
         per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
         before = per_key.orderBy(b).rowsBetween(W.unboundedPreceding, -1)

@@ -120,10 +120,12 @@ def available(columns: list[str], wanted: list[str]) -> list[str]:
     return [c for c in wanted if c in have]
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which missing keys match each other, as groups with a missing key do."""
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join in which missing keys match each other, as groups with a missing key do."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     same = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.lit(True)
     )
-    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])

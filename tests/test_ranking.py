@@ -56,6 +56,25 @@ def test_quantiles_overall(skewed, per_bucket):
     np.testing.assert_allclose(got, np.quantile(values, PROBS), rtol=1e-12)
 
 
+def test_quantiles_when_all_groups_are_large(skewed, monkeypatch):
+    import areascope.functions.ranking as ranking
+
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 3)
+    got = {r.k: r.q for r in exact_quantiles(
+        skewed, ["k"], "v", PROBS, rows_per_bucket=10).collect()}
+    want = by_key(skewed)
+    assert set(got) == set(want)
+    for k, values in want.items():
+        np.testing.assert_allclose(got[k], np.quantile(values, PROBS), rtol=1e-12)
+
+
+def test_quantiles_of_one_shared_value(spark):
+    df = spark.createDataFrame([(i % 2, 4.0) for i in range(50)], "k int, v double")
+    for per_bucket in (10**6, 5):
+        got = exact_quantiles(df, ["k"], "v", [0.5], rows_per_bucket=per_bucket).collect()
+        assert {r.k: r.q for r in got} == {0: [4.0], 1: [4.0]}
+
+
 def test_quantiles_when_hits_are_many(skewed, monkeypatch):
     import areascope.functions.ranking as ranking
 
