@@ -85,3 +85,11 @@ def r2_from_sums(sse: Column, sst: Column) -> Column:
     """1 - SSE/SST; a constant target scores 1 when hit exactly, else 0."""
     flat = F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return F.when(sst > 0, F.lit(1.0) - F.try_divide(sse, sst)).when(sst.isNotNull(), flat)
+
+
+def edges_below(c: Column, edges: list[float]) -> Column:
+    """Number of edges strictly below a value; null for a missing value.
+
+    Plain comparisons stay in generated code, which array functions do not.
+    """
+    return reduce(lambda a, b: a + b, [(c > F.lit(float(e))).cast("int") for e in edges], F.lit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areascope.functions.ranking import exact_quantiles
+from areascope.functions.scalars import edges_below
 from areascope.functions.vectors import double_array
 from areascope.session import ROWS_PER_BUCKET
 
@@ -115,19 +116,15 @@ def bin_edges(df: DataFrame, c: str, bins: int) -> list[float]:
 
 def bin_number(c: Column, edges: list[float]) -> Column:
     """Number of edges strictly below the value; missing values get a number of their own."""
-    if not edges:
-        return F.when(c.isNotNull(), F.lit(0)).otherwise(F.lit(1))
-    cuts = double_array(edges)
-    return F.when(c.isNotNull(), F.size(F.filter(cuts, lambda e: e < c))).otherwise(
-        F.lit(len(edges) + 1)
-    )
+    return F.when(c.isNotNull(), edges_below(c, edges)).otherwise(F.lit(len(edges) + 1))
 
 
 def bin_marks(c: Column, edges: list[float]) -> tuple[Column, int]:
     """0/1 marks of the bins, the last one for missing values, and their number."""
     n = len(edges) + 2
     number = bin_number(c, edges)
-    marks = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(number == i, 1.0).otherwise(0.0)
+    zero = F.lit(0.0)
+    marks = F.concat(
+        F.array_repeat(zero, number), F.array(F.lit(1.0)), F.array_repeat(zero, F.lit(n - 1) - number)
     )
     return marks, n

@@ -12,7 +12,7 @@ from areascope.functions.ranking import (
     seeded_hash,
     value_rank,
 )
-from areascope.functions.scalars import r2_from_sums
+from areascope.functions.scalars import edges_below, r2_from_sums
 from areascope.operators.joins import lookup_join, union_all
 from areascope.session import ROWS_PER_BUCKET
 
@@ -142,9 +142,8 @@ def area_decile(
 ) -> DataFrame:
     """Label 1..n: one more than the number of interior edges strictly below the value."""
     found = percentile_edges(df, c, n, rows_per_bucket).first()  # n + 1 numbers
-    inner = F.array(*[F.lit(e) for e in found["edges"][1:-1]]) if found else F.array()
-    below = F.size(F.filter(inner, lambda e: e < F.col(c)))
-    return df.withColumn(out, F.when(F.col(c).isNotNull(), below + 1))
+    inner = [e for e in found["edges"][1:-1] if e is not None]
+    return df.withColumn(out, F.when(F.col(c).isNotNull(), edges_below(F.col(c), inner) + 1))
 
 
 def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
