@@ -85,7 +85,6 @@ def targets(by_source: DataFrame, max_repeats: int) -> DataFrame:
 
 def thresholds(docs: DataFrame, by_source: DataFrame) -> DataFrame:
     """(source, total, target, times, below): times every document, once more if its u < below."""
-    spark = docs.sparkSession
     times = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0)
     plan = materialise(
         by_source.withColumn("times", times.cast("long")).withColumn(
@@ -127,9 +126,8 @@ def thresholds(docs: DataFrame, by_source: DataFrame) -> DataFrame:
     for more in done[1:]:
         edges = edges.unionByName(more)
     edges = edges.select(F.col("source").alias("__source"), "edge")
-    everything = spark.range(1).select(F.lit(1 << HASH_BITS)).first()[0]
     # a budget that ends in no bucket is the whole source
-    below = F.when(F.col("budget") > 0, F.coalesce("edge", F.lit(everything))).otherwise(0)
+    below = F.when(F.col("budget") > 0, F.coalesce("edge", F.lit(1 << HASH_BITS))).otherwise(0)
     return plan.join(edges, plan["source"].eqNullSafe(edges["__source"]), "left").select(
         "source", "total", "target", "times", below.alias("below")
     )

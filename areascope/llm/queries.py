@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areascope.llm import line_dedup, mixing, url_filter
+from areascope.llm import embedding_dedup, line_dedup, mixing, topk, url_filter
 from areascope.llm.url_filter import Rule
 
 QUERIES = {}
@@ -144,3 +144,34 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("times")).alias("taken"),
     )
+
+
+@query()
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 or more, their components and the ones kept."""
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query(
+    """
+    WITH e AS (
+        SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE len(list_filter(embedding, x -> NOT isfinite(x) OR x IS NULL)) = 0
+          AND len(embedding) > 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT
+                   AS score
+        FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        WHERE q.vec_id % 100 = 0),
+    r AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER
+                  AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """
+)
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector with all others, in integers."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10, 1024)
