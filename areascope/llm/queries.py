@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areascope.llm import embedding_dedup, line_dedup, mixing, topk, url_filter
+from areascope.llm import (
+    embedding_dedup, language_id, line_dedup, mixing, quality, topk, toxicity, url_filter,
+)
 from areascope.llm.url_filter import Rule
 
 QUERIES = {}
@@ -175,3 +177,23 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best inner products of every hundredth vector with all others, in integers."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10, 1024)
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a chain of classifiers learned from the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, labels)
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and what is kept."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, labels)
