@@ -35,6 +35,7 @@ from areascope.session import materialise
 ORDER = 5
 SHARD_ROWS = 2_000_000
 QUANTILE = 0.995
+MAX_LANGUAGES = 10_000  # rows of thresholds that are broadcast
 COUNTS = "lang string, gram long, n long"
 
 
@@ -334,6 +335,9 @@ def judge(
     limits = seen.groupBy("lang").agg(
         F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     )
+    limits = materialise(limits)
+    if limits.count() <= MAX_LANGUAGES:
+        limits = F.broadcast(limits)
     out = found.join(limits, "lang", "left")
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     lang = F.when(F.col("lang") != "", F.substr("lang", F.lit(2)))

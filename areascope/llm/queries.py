@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope.llm import (
-    embedding_dedup, language_id, line_dedup, mixing, quality, topk, toxicity, url_filter,
+    embedding_dedup, language_id, line_dedup, mixing, ngram_join, quality, topk, toxicity,
+    url_filter,
 )
 from areascope.llm.url_filter import Rule
 
@@ -197,3 +198,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of the trusted ones, and what is kept."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs, labels)
+
+
+@query()
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their 5-word shingles."""
+    out = ngram_join.join_components(table(spark, sf_dir, "documents"), 75)
+    return out.select("doc_id", "n_shingles", "component_id")
