@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ FEATURE_BITS = 12
 FEATURES = 1 << FEATURE_BITS
 ROUNDS = 60
 RIDGE = 1e-4
-AMBIGUOUS = 0.2
+AMBIGUOUS = 0.1
 SEED = 11
 
 PREDICTED = "lang_pred string, score double, ambiguous boolean"
@@ -143,7 +143,6 @@ def fit(
     docs: DataFrame, labelled: Column, sample: int = SAMPLE, seed: int = SEED
 ) -> Model:
     """A model from at most `sample` of the `labelled` rows."""
-    spark = docs.sparkSession
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -172,40 +171,31 @@ def fit(
     return Model(languages, words, w, np.array([r["weight"] for r in fitted]))
 
 
-def predict(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> DataFrame:
-    """The rows with lang_pred, score (share of the nearest) and ambiguous."""
-    from pyspark.sql.types import StructType
+def prediction(spark: SparkSession, model: Model, text: Column, ambiguous: float = AMBIGUOUS):
+    """A struct of lang_pred, score (the share of the nearest language) and ambiguous."""
+    shared = spark.sparkContext.broadcast(model)  # bits x FEATURES numbers
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bits x FEATURES numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(PREDICTED)
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for batch in batches:
+        for batch in texts:
+            batch = batch.reset_index(drop=True)
             langs = np.full(len(batch), "und", dtype=object)
             scores = np.zeros(len(batch))
             unsure = np.ones(len(batch), dtype=bool)
-            known = np.flatnonzero([has_letter(t) for t in batch["__text"]])
-            if not model.languages:
-                known = known[:0]
+            known = np.flatnonzero([bool(model.languages) and has_letter(t) for t in batch])
             for part in np.array_split(known, max(1, len(known) // 256)):
                 if not len(part):
                     continue
-                x = np.stack([features(batch["__text"].iloc[i]) for i in part])
-                if len(model.languages) == 1:
-                    best, share = np.zeros(len(part), dtype=int), np.ones((len(part), 1))
-                else:
-                    best, share = model.predict(x)
+                best, share = model.predict(np.stack([features(batch[i]) for i in part]))
                 top = np.sort(share, axis=1)
                 langs[part] = np.array(model.languages, dtype=object)[best]
                 scores[part] = np.clip(top[:, -1], 0, 1)
-                second = top[:, -2] if top.shape[1] > 1 else np.zeros(len(part))
+                second = top[:, -2] if top.shape[1] > 1 else 0.0
                 unsure[part] = top[:, -1] - second < ambiguous
-            yield batch.drop(columns="__text").assign(
-                lang_pred=langs, score=scores, ambiguous=unsure
-            )
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "ambiguous": unsure})
 
-    fields = [f for f in docs.schema.fields if f.name != "__text"]
-    return docs.mapInPandas(run, StructType(fields + StructType.fromDDL(PREDICTED).fields))
+    return predict.asNondeterministic()(text)  # so that it isn't run twice
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,8 +205,23 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous) of every document."""
+    held = held_out(F.col("doc_id"))
+    model = fit(docs, ~held, sample)
+    found = prediction(docs.sparkSession, model, F.col("text")).alias("__found")
+    return docs.select("doc_id", held.alias("held_out"), found).select(
+        "doc_id", "held_out", "__found.*"
+    )
+
+
+def known_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents in one of the learned languages; a missing lang becomes the predicted one.
+
+    Texts without a letter and texts between two languages are rejected.
+    """
     model = fit(docs, ~held_out(F.col("doc_id")), sample)
-    rows = docs.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("__text")
+    found = prediction(docs.sparkSession, model, F.col("text"))
+    rows = docs.withColumn("__found", found).where(
+        "__found.lang_pred <> 'und' AND NOT __found.ambiguous"
     )
-    return predict(rows, model)
+    lang = F.coalesce("lang", "__found.lang_pred")
+    return rows.withColumn("lang", lang).select(*docs.columns)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope.llm import (
-    embedding_dedup, language_id, line_dedup, mixing, ngram_join, quality, topk, toxicity,
-    url_filter,
+    embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, topk,
+    toxicity, url_filter,
 )
 from areascope.llm.url_filter import Rule
 
 QUERIES = {}
 SQL = {}
+TOKENIZER = "word_bpe_49k.json"
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -28,6 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -205,3 +212,9 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their 5-word shingles."""
     out = ngram_join.join_components(table(spark, sf_dir, "documents"), 75)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
