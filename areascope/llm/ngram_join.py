@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areascope.llm.components import components
-from areascope.llm.sketch import id_filter, may_hold, mix
+from areascope.llm.sketch import id_filter, may_hold, mix, prefilter
 from areascope.llm.text import partitions
 from areascope.session import materialise
 
@@ -40,7 +40,7 @@ SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 PIECES = 64
 PARTS = 256
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 HOT_SHARE = 0.25
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -381,9 +381,8 @@ def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = np.zeros(len(batch), dtype=bool)
-            for k, (a, b) in enumerate(zip(batch["set_a"], batch["set_b"])):
-                x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-                both = np.concatenate([x, y])
+            for k, (a, b) in enumerate(zip(batch["text_a"], batch["text_b"])):
+                both = np.concatenate([shingles(a), shingles(b)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 good[k] = 100 * common >= percent * (len(both) - common)
@@ -392,42 +391,50 @@ def _verify(percent: int):
     return run
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of the named nodes only: a filter first, then a join that settles it."""
-    words = docs.sparkSession.sparkContext.broadcast(id_filter(nodes, n))
+def texts_of(docs: DataFrame, nodes: DataFrame, words: np.ndarray) -> DataFrame:
+    """(node, text) of the named nodes only: a filter first, then a join that settles it.
+
+    Texts take half the room of the sets of hashes that they give.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done = set()
         for batch in batches:
-            found = [g for g in map(shingles, batch["text"]) if len(g)]
-            ids = np.array([node_of(g) for g in found], dtype=np.int64)
-            hit = may_hold(words.value, ids) if len(ids) else ids.astype(bool)
+            texts = batch["text"].to_numpy()
+            found = [(k, shingles(t)) for k, t in enumerate(texts)]
+            at = [k for k, g in found if len(g)]
+            ids = np.array([node_of(g) for _, g in found if len(g)], dtype=np.int64)
             out = {}
-            for k in np.flatnonzero(hit):
+            for k in np.flatnonzero(may_hold(shared.value, ids)):
                 if int(ids[k]) not in done:
                     done.add(int(ids[k]))
-                    out[int(ids[k])] = found[k].astype("<u8").tobytes()
-            yield pd.DataFrame({"node": np.array([*out], dtype=np.int64), "grams": [*out.values()]})
+                    out[int(ids[k])] = texts[at[k]]
+            yield pd.DataFrame({"node": np.array([*out], dtype=np.int64), "text": [*out.values()]})
 
-    rows = docs.select("text").mapInPandas(run, "node long, grams binary")
+    rows = docs.select("text").mapInPandas(run, "node long, text string")
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _nodes(pairs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The nodes of pairs and a filter of them."""
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return nodes, id_filter(nodes, nodes.count())
+
+
 def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link; `info` has (node, n, parts)."""
-    a = info.select(F.col("node").alias("a"), "n", F.col("parts").alias("parts_a"))
-    b = info.select(
+    few = prefilter(info.select("node", "n", "parts"), "node", _nodes(pairs)[1])
+    a = few.select(F.col("node").alias("a"), "n", F.col("parts").alias("parts_a"))
+    b = few.select(
         F.col("node").alias("b"), F.col("n").alias("m"), F.col("parts").alias("parts_b")
     )
     left = materialise(
         pairs.join(a, "a").join(b, "b").mapInPandas(_suffix_filter(percent), "a long, b long")
     )
-    nodes = materialise(
-        left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    )
-    found = materialise(whole_sets(docs, nodes, nodes.count()))
-    a = found.select(F.col("node").alias("a"), F.col("grams").alias("set_a"))
-    b = found.select(F.col("node").alias("b"), F.col("grams").alias("set_b"))
+    found = materialise(texts_of(docs, *_nodes(left)))
+    a = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return materialise(
         left.join(a, "a").join(b, "b").mapInPandas(_verify(percent), "a long, b long")
     )
