@@ -165,13 +165,13 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH e AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
         FROM embeddings
-        WHERE len(list_filter(embedding, x -> NOT isfinite(x) OR x IS NULL)) = 0
+        WHERE len(list_filter(embedding, lambda x: NOT isfinite(x) OR x IS NULL)) = 0
           AND len(embedding) > 0),
     s AS (
         SELECT q.vec_id AS query_id, c.vec_id,
-               list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT
+               list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT
                    AS score
         FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
         WHERE q.vec_id % 100 = 0),
