@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from areascope.session import materialise
 
-SAMPLE = 6000
+SAMPLE = 3000
 FEATURE_BITS = 12
 FEATURES = 1 << FEATURE_BITS
 ROUNDS = 60
+RATE = 8.0
 RIDGE = 1e-4
 AMBIGUOUS = 0.1
 SEED = 11
@@ -87,14 +88,13 @@ def codewords(languages: int) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and a bias by accelerated gradient steps; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = step = np.zeros(x.shape[1], dtype=np.float32)
-    rate = 1.0
+    w = step = np.zeros(x.shape[1] + 1, dtype=np.float32)
     for t in range(ROUNDS):
-        margin = y * (x @ step)
+        margin = y * (x @ step[:-1] + step[-1])
         pull = -(share * y / (1 + np.exp(np.clip(margin, -30, 30)))).astype(np.float32)
-        new = step - np.float32(rate * 8) * (x.T @ pull + np.float32(RIDGE) * step)
+        grad = np.append(x.T @ pull, pull.sum())
+        new = step - np.float32(RATE) * (grad + np.float32(RIDGE) * step)
         step = new + np.float32(t / (t + 3)) * (new - w)
         w = new
     return w

@@ -30,7 +30,7 @@ from areascope.session import materialise
 
 ROOM = 4096
 END = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 BUCKET_ROWS = 200_000
 
 # A word of letters that lower-case one by one, in front of a character that surely ends it; or
