@@ -202,6 +202,11 @@ def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
 
 
+def hash_digits(n: int, rows_per_bucket: int) -> int:
+    """Leading hex digits of a hash that cut n rows into parts of at most about `rows_per_bucket`."""
+    return 0 if n <= rows_per_bucket else math.ceil(math.log(n / rows_per_bucket, 16))
+
+
 def hash_rank(
     df: DataFrame, key: str, seed: int, out: str, within: list[str] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
@@ -213,11 +218,12 @@ def hash_rank(
     groups = list(within or [])
     h, b = "__h", "__b"
     n = df.count()
-    digits = 0 if n <= rows_per_bucket else min(4, math.ceil(math.log(n / rows_per_bucket, 16)))
+    digits = hash_digits(n, rows_per_bucket)
     hashed = df.withColumn(h, seeded_hash(F.col(key), seed))
     if digits == 0:
         order = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-        return hashed.withColumn(out, F.row_number().over(order.orderBy(h, key))).drop(h)
+        nth = F.row_number().over(order.orderBy(h, key)).cast("bigint")
+        return hashed.withColumn(out, nth).drop(h)
     hashed = hashed.withColumn(b, F.substring(h, 1, digits))
     sizes = hashed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__cnt"))
     per_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
@@ -232,7 +238,7 @@ def hash_rank(
     inside = F.row_number().over(W.partitionBy(*groups, b).orderBy(h, key))
     return (
         join_null_safe(hashed, sizes, [*groups, b])
-        .withColumn(out, (F.col("__offset") + inside).cast("int"))
+        .withColumn(out, F.col("__offset") + inside)
         .drop(h, b, "__offset")
     )
 
@@ -253,16 +259,18 @@ def value_rank(
     order = [F.asc_nulls_last(v), h, key]
     if not edges:
         whole = W.partitionBy(F.lit(0)).orderBy(*order)
-        return data.withColumn(out, F.row_number().over(whole)).drop(v, h)
+        return data.withColumn(out, F.row_number().over(whole).cast("bigint")).drop(v, h)
     # A value shared by many rows is itself an edge: the first value of its bucket. It and
     # the missing values get buckets of their own, cut by the leading digits of the hash.
     missing = F.col(v).isNull()
     shared = F.col(v).isin(edges) | missing
     data = with_bucket(data, v, edges, b)
+    most = data.where(shared).groupBy(v).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    digits = max(1, hash_digits(most[0] or 0, rows_per_bucket))
     data = data.withColumns(
         {
             b: F.when(missing, F.lit(float(len(edges) + 2))).otherwise(F.col(b)),
-            s: F.when(shared, F.concat(F.lit("0"), F.substring(h, 1, 2))).otherwise("1"),
+            s: F.when(shared, F.concat(F.lit("0"), F.substring(h, 1, digits))).otherwise("1"),
         }
     )
     sizes = data.groupBy(b, s).agg(F.count(F.lit(1)).alias("__cnt"))
@@ -273,6 +281,6 @@ def value_rank(
     inside = F.row_number().over(W.partitionBy(b, s).orderBy(*order))
     return (
         lookup_join(data, sizes, [b, s])
-        .withColumn(out, (F.col("__offset") + inside).cast("int"))
+        .withColumn(out, F.col("__offset") + inside)
         .drop(v, h, b, s, "__offset")
     )

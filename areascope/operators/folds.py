@@ -6,23 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areascope.functions.ranking import hash_rank
-from areascope.operators.joins import is_small, lookup_join
+from areascope.operators.joins import lookup_join
 from areascope.operators.stats import sample_groups
-from areascope.session import ROWS_PER_BUCKET
+from areascope.session import ROWS_PER_BUCKET, materialise
 
 MAX_GROUPS = 10_000
 LISTED_GROUPS = 1_000
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+def group_folds(
+    df: DataFrame, group: str, k: int = 5, max_groups: int = MAX_GROUPS
+) -> DataFrame:
     """(group, fold): groups from largest to smallest, each put in the lightest fold so far.
 
-    Rows are only counted; the assignment walks the short list of group sizes (states), which
-    is checked to be short.
+    Rows are only counted; the assignment walks the list of group sizes. Beyond `max_groups` groups
+    the largest ones are still placed so, and the others, which are small beside a fold, take folds
+    in turn in the order of a hash.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    if not is_small(sizes, MAX_GROUPS):
-        raise ValueError(f"{group} has over {MAX_GROUPS} values; group folds need a coarser key")
+    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("size")))
+    many = sizes.count() - max_groups
+    if many > 0:
+        order = [F.col("size").desc(), group]
+        large = materialise(sizes.orderBy(*order).limit(max_groups))
+        small = sizes.join(large.select(group), group, "left_anti")
+        turn = hash_rank(small, group, 0, "__r").withColumn(
+            "fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("int")
+        )
+        placed = group_folds_of(large, group, k, df)
+        return placed.unionByName(turn.select(group, "fold"))
+    return group_folds_of(sizes, group, k, df)
+
+
+def group_folds_of(sizes: DataFrame, group: str, k: int, df: DataFrame) -> DataFrame:
+    """Folds of groups whose sizes fit one row."""
     kind = df.schema[group].dataType.simpleString()
     ranked = sizes.agg(
         F.sort_array(F.collect_list(F.struct("size", F.col(group).alias("g"))), asc=False).alias("s")
@@ -46,7 +62,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 
 def with_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    return lookup_join(df, group_folds(df, group, k), group, "inner", at_most=MAX_GROUPS)
+    return lookup_join(df, group_folds(df, group, k), group, "inner")
 
 
 def row_folds(

@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areascope.session import BROADCAST_ROWS
+from areascope.session import BROADCAST_ROWS, materialise
 
-# A key is called heavy when it holds more than 1/HEAVY_SHARE of the rows, so there are
-# fewer than HEAVY_SHARE heavy keys whatever the data; their rows are cut into SALTS parts.
-HEAVY_SHARE = 64
-SALTS = 64
+# A key is heavy when it holds more rows than one task should get; its rows are cut into as
+# many parts as that takes. There are at most rows / ROWS_PER_TASK heavy keys.
+ROWS_PER_TASK = 1_000_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -23,52 +22,61 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def lookup_join(
     left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
-    rows: int = BROADCAST_ROWS, at_most: int | None = None,
+    rows: int = BROADCAST_ROWS, at_most: int | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join rows to a lookup table.
+    """Join rows to a lookup table, which never adds rows of its own.
 
     A small table is broadcast, so the large side does not move; `at_most` is its known
     largest size, else it is counted. A larger one is shuffled with heavy keys salted: the
     lookup row of a heavy key is repeated once per salt.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if how in ("right", "full", "outer", "right_outer", "full_outer"):
+        raise ValueError(f"a lookup keeps the rows of its left side: {how}")
     if at_most <= rows if at_most is not None else is_small(right, rows):
         return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how)
+    return salted_join(left, right, keys, how, rows_per_task)
 
 
-def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys holding more than 1/HEAVY_SHARE of the rows: fewer than HEAVY_SHARE rows."""
+def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(keys..., __salts) of keys with more than `rows_per_task` rows, in as many parts."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .where(F.col("__n") * HEAVY_SHARE > F.col("__total"))
-        .select(*keys)
-    )
+    parts = F.ceil(F.col("__n") / F.lit(rows_per_task)).cast("int")
+    return counts.where(F.col("__n") > rows_per_task).select(*keys, parts.alias("__salts"))
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Shuffle join that cuts the left rows of heavy keys, and of missing keys, into parts."""
-    heavy = heavy_keys(left, keys).withColumn("__heavy", F.lit(True))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int")
+    """Shuffle join that cuts the left rows of heavy keys, and of missing keys, into parts.
+
+    The left side and the heavy keys are written first: the parts of a row then follow from its
+    place in a fixed copy, so rows that are equal in all columns are spread as well, and a task
+    that runs again finds them where they were.
+    """
+    if how not in ("inner", "left", "leftouter", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join can't keep all rows of the repeated side: {how}")
+    left = materialise(left)
+    heavy = materialise(heavy_keys(left, keys, rows_per_task))
+    n, most = heavy.agg(F.count(F.lit(1)), F.max("__salts")).first()
+    if n <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salts = F.coalesce("__salts", F.when(any_null, F.lit(most or 64)), F.lit(1))
+    row = F.xxhash64(F.monotonically_increasing_id())
     spread = (
-        left.join(F.broadcast(heavy), keys, "left")
-        .withColumn(
-            "__salt", F.when(F.col("__heavy") | any_null, part).otherwise(F.lit(0))
-        )
-        .drop("__heavy")
-    )
-    salts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+        left.withColumn("__row", row)
+        .join(heavy, keys, "left")
+        .withColumn("__salt", F.pmod("__row", salts).cast("int"))
+        .drop("__salts", "__row")
     )
     repeated = (
-        right.join(F.broadcast(heavy), keys, "left")
-        .withColumn("__salt", F.explode(salts))
-        .drop("__heavy")
+        right.join(heavy, keys, "left")
+        .withColumn(
+            "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+        )
+        .drop("__salts")
     )
     return spread.join(repeated, [*keys, "__salt"], how).drop("__salt")
 

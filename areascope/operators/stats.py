@@ -242,7 +242,7 @@ def paginate(
     """Page number (from 0) and place on the page, rows ordered by value (ties by key hash)."""
     ranked = value_rank(df, value, key, "__r", rows_per_bucket=rows_per_bucket)
     return (
-        ranked.withColumn("page", F.floor((F.col("__r") - 1) / F.lit(size)).cast("int"))
+        ranked.withColumn("page", F.expr(f"(__r - 1) div {int(size)}"))
         .withColumn("slot", F.pmod(F.col("__r") - 1, F.lit(size)).cast("int"))
         .drop("__r")
     )

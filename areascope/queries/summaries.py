@@ -14,7 +14,7 @@ from areascope.operators.panel import (
     trajectories,
     trajectory_ends,
 )
-from areascope.queries.base import query, rounded
+from areascope.queries.base import QUERIES, query, rounded
 from areascope.sources.tables import table
 
 DIMS = 64
@@ -302,7 +302,8 @@ FROM supplier c JOIN s ON s.l_suppkey = c.s_suppkey
 def custom_order(spark, d):
     """Rows in the order another result gives their keys."""
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
-    return stats.order_like(sup, "l_suppkey", scores(spark, d), "score")
+    ordered = stats.order_like(sup, "l_suppkey", scores(spark, d), "score")
+    return ordered.withColumn("position", F.col("position").cast("int"))
 
 
 @query("""
@@ -343,7 +344,7 @@ FROM supplier
 def pages_of_ten(spark, d):
     """A sorted list cut into pages."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.paginate(s, "s_acctbal", "s_suppkey", 10)
+    return _pages(s)
 
 
 @query("""
@@ -364,3 +365,24 @@ SELECT l_partkey FROM lineitem GROUP BY 1 HAVING stddev_pop(l_quantity) >= 1e-6
 def varying_targets(spark, d):
     """Targets that are not constant."""
     return stats.varies(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity")
+
+
+def _pages(s, **more):
+    paged = stats.paginate(s, "s_acctbal", "s_suppkey", 10, **more)
+    return paged.withColumn("page", F.col("page").cast("int"))
+
+
+@query(QUERIES["pages_of_ten"].sql)
+def pages_bucketed(spark, d):
+    """The same pages by the way meant for large tables: buckets of few rows."""
+    columns = QUERIES["pages_of_ten"].build(spark, d).columns
+    s = table(spark, d, "supplier").select([c for c in columns if c not in ("page", "slot")])
+    return _pages(s, rows_per_bucket=3).select(columns)
+
+
+@query(QUERIES["sampled_rows"].sql)
+def sampled_rows_bucketed(spark, d):
+    """The same sample by hash buckets of few rows."""
+    columns = QUERIES["sampled_rows"].build(spark, d).columns
+    e = table(spark, d, "embeddings")
+    return stats.sample_rows(e, "vec_id", 20 * 2, 0.05, 42, rows_per_bucket=7).select(columns)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +75,10 @@ def write_panel(df: DataFrame, path: str, year: str) -> None:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True when a finished output is there (files appear only when a job commits)."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    """True when a finished output is there: a job marks its folder last, so files that a died
+    job left behind don't count."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def cached(

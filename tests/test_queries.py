@@ -15,9 +15,9 @@ def con():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    verdict, _, rows = compare(spark, con, name, FOLDER)
-    # held-out and per-group gates may leave nothing at this size
-    assert verdict in ("ok", "rows only") or rows == 0, verdict
+    verdict, _, _ = compare(spark, con, name, FOLDER)
+    # held-out and per-group gates may leave nothing at this size, then in the SQL too
+    assert verdict in ("ok", "rows only", "EMPTY"), verdict
 
 
 def test_entry_contract(spark):
