@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areascope.functions.ranking import exact_quantiles
 from areascope.functions.scalars import edges_below
-from areascope.functions.vectors import double_array
+from areascope.functions.vectors import complete_vector, double_array
 from areascope.session import ROWS_PER_BUCKET
 
 
@@ -34,16 +32,19 @@ class Layout:
 def design(
     df: DataFrame, keep: list[str], outcomes: list[str], vector: tuple[str, int] | None = None,
     numeric: dict[str, list[str]] | None = None, binned: dict[str, str] | None = None,
-    bins: int = 32, scale: bool = True,
+    bins: int = 32, scale: bool = True, train: str | None = None,
 ) -> tuple[DataFrame, Layout]:
     """Rows (keep..., x, y) and the layout of x.
 
-    vector: an array column of known length, block "vector". numeric: blocks of plain columns;
-    a missing value becomes the mean and a 0/1 mark is added. binned: one column each, cut at
+    vector: an array column of known length, block "vector"; a missing element becomes the mean
+    of its place, and one 0/1 mark says that the vector is incomplete or missing. numeric: blocks
+    of plain columns; a missing value becomes the mean and a 0/1 mark is added. NaN is missing.
+    binned: one column each, cut at
     percentiles into 0/1 marks, missing values in a mark of their own (a tree on one feature
     is such a step function). With `scale`, vector and numeric features are centred and
-    divided by their std, so a penalty treats a 0-1 and a square-metre column alike. Only the
-    means and edges (a few numbers per feature) come to the driver.
+    divided by their population std, so a penalty treats a 0-1 and a square-metre column alike.
+    `train` is the condition of the rows that means, stds and edges are taken from (all by default). Only these
+    few numbers per feature come to the driver.
     """
     numeric, binned = numeric or {}, binned or {}
     plain = [c for cols in numeric.values() for c in cols]
@@ -52,36 +53,37 @@ def design(
 
     dims = vector[1] if vector else 0
     aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [F.avg(c).alias(f"m_{c}") for c in plain]
-    aggs += [F.stddev_pop(c).alias(f"s_{c}") for c in plain]
-    if vector:
-        # one vector aggregate instead of two per dimension
-        v = array_to_vector(F.transform(vector[0], lambda e: F.coalesce(e.cast("double"), F.lit(0.0))))
-        aggs.append(Summarizer.metrics("mean", "std").summary(v).alias("vector"))
-    stats = df.agg(*aggs).first()
-    edges = _all_edges(df, list(binned.values()), bins, stats["rows"])
+    aggs += [F.avg(known(F.col(c))).alias(f"m_{c}") for c in plain]
+    aggs += [F.stddev_pop(known(F.col(c))).alias(f"s_{c}") for c in plain]
+    fitted = df if train is None else df.where(train)
+    stats = fitted.agg(*aggs).first()
+    edges = _all_edges(fitted, list(binned.values()), bins, stats["rows"])
 
     def scaled(c: Column, mean: float | None, std: float | None) -> Column:
         mean = mean or 0.0
-        filled = F.coalesce(c.cast("double"), F.lit(mean))
+        filled = F.coalesce(known(c), F.lit(mean))
         if not scale:
             return filled
         return (filled - F.lit(mean)) / F.lit(std if std else 1.0)
 
     if vector:
-        raw = F.col(vector[0]).cast("array<double>")
-        means = double_array(stats["vector"]["mean"])
-        stds = double_array([s or 1.0 for s in stats["vector"]["std"]])
-        # missing elements become the mean
-        filled = F.zip_with(raw, means, lambda e, m: F.coalesce(e, m))
+        raw = F.transform(F.slice(F.col(vector[0]).cast("array<double>"), 1, dims), known)
+        at = _element_stats(fitted, raw)
+        means = double_array([at[i][0] if i in at else 0.0 for i in range(dims)])
+        stds = double_array([at[i][1] or 1.0 if i in at else 1.0 for i in range(dims)])
+        # a missing or short vector is filled up, too
+        filled = F.zip_with(
+            F.coalesce(raw, F.array().cast("array<double>")), means, lambda e, m: F.coalesce(e, m)
+        )
+        whole = F.coalesce((F.size(raw) == dims) & complete_vector(raw), F.lit(False))
         if scale:
             centred = F.zip_with(filled, means, lambda e, m: e - m)
             filled = F.zip_with(centred, stds, lambda e, s: e / s)
-        parts.append(filled)
-        layout.add("vector", dims)
+        parts += [filled, F.array(F.when(whole, 0.0).otherwise(1.0))]
+        layout.add("vector", dims + 1)
     for name, cols in numeric.items():
         values = [scaled(F.col(c), stats[f"m_{c}"], stats[f"s_{c}"]) for c in cols]
-        marks = [F.when(F.col(c).isNull(), 1.0).otherwise(0.0) for c in cols]
+        marks = [F.when(known(F.col(c)).isNull(), 1.0).otherwise(0.0) for c in cols]
         parts.append(F.array(*values, *marks))
         layout.add(name, 2 * len(cols))
     for name, c in binned.items():
@@ -94,6 +96,22 @@ def design(
     return df.select(*keep, x.alias("x"), y.alias("y")), layout
 
 
+def known(c: Column) -> Column:
+    """The value as a double, NaN as null."""
+    value = c.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _element_stats(df: DataFrame, v: Column) -> dict[int, tuple[float, float]]:
+    """Mean and population std at each place of a vector, missing elements skipped; places
+    without any value are left out. One row per place comes to the driver."""
+    rows = (
+        df.select(F.posexplode(v).alias("i", "e")).where("e IS NOT NULL").groupBy("i")
+        .agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("std")).collect()
+    )
+    return {r["i"]: (r["mean"], r["std"]) for r in rows}
+
+
 def _all_edges(
     df: DataFrame, columns: list[str], bins: int, rows: int
 ) -> dict[str, list[float]]:

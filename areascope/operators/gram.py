@@ -1,6 +1,6 @@
 """Cross-product sums: the one pass over the rows that every linear model here is solved from.
 
-For rows with features x (array, complete) and outcomes y (array, missing allowed) the sums
+For rows with features x (array) and outcomes y (array, missing allowed) the sums
 Σxxᵀ, Σxy, Σy² and n add up over any split of the rows. Each task adds up its own rows with
 NumPy; Spark adds the partial sums up by (keys, outcome, matrix row). A key holding a third of
 the rows is thus summed in parallel, and what is shuffled does not grow with the rows.
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ def gram(df: DataFrame, keys: list[str], p: int, m: int, x: str = "x", y: str =
     o = -1: row i of [XᵀX | XᵀY] with a leading constant feature; i = p+1 and p+2 carry Σy²
     and the number of rows per outcome in their last m places.
     o >= 0: row i of XᵀX over the rows that miss outcome o, to be taken off.
+    Rows whose x or y is missing, or whose x has a missing element, are in no sum.
     """
     schema = T.StructType(
         [df.schema[k] for k in keys]
@@ -44,13 +46,17 @@ def gram(df: DataFrame, keys: list[str], p: int, m: int, x: str = "x", y: str =
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, dict] = {}
         for batch in batches:
+            batch = batch.filter(pc.and_(batch.column(x).is_valid(), batch.column(y).is_valid()))
             if batch.num_rows == 0:
                 continue
-            xs = batch.column(x).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-            ys = batch.column(y).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            xs = _matrix(batch.column(x), p)
+            ys = _matrix(batch.column(y), m)
+            whole = ~np.isnan(xs).any(axis=1)
+            if not whole.all():
+                batch, xs, ys = batch.filter(pa.array(whole)), xs[whole], ys[whole]
             for key, rows in _split(batch, keys):
                 part = held.setdefault(key, {BASE: np.zeros((p1 + 2, width))})
-                _add(part, xs[rows], ys[rows].astype("float64"), p1, m)
+                _add(part, xs[rows], ys[rows], p1, m)
             if sum(a.nbytes for part in held.values() for a in part.values()) > FLUSH_BYTES:
                 yield _emit(held, keys, arrow_schema)
                 held = {}
@@ -62,6 +68,14 @@ def gram(df: DataFrame, keys: list[str], p: int, m: int, x: str = "x", y: str =
     return partial.groupBy(*keys, "o", "i").agg(vector_to_array(total).alias("v"))
 
 
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as matrix rows, null elements as NaN."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    if len(flat) != len(lists) * width:
+        raise ValueError(f"every row needs {width} numbers")
+    return flat.reshape(-1, width)
+
+
 def _split(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     if not keys:
         yield (), np.arange(batch.num_rows)

@@ -118,7 +118,10 @@ def index_from_vectors(
     # states are held out before the join, as the vectors have them
     split = holdout(scored, "state_fips", 0.2, seed)
     joined = split.join(index.select("census_tract", "national_rank"), "census_tract")
-    rows, layout = design(joined, ["test"], ["national_rank"], vector=("pc", 10), scale=False)
+    rows, layout = design(
+        joined, ["test"], ["national_rank"], vector=("pc", 10), scale=False,
+        train="NOT test",
+    )
     return sweeps.score_measures(rows, layout, [Model("components", ("vector",))], least_std=0.0)
 
 
@@ -141,7 +144,7 @@ def measures_from_vectors(
     )
     rows, layout = design(
         joined, ["test"], names, vector=("pc", 10), numeric={"index": ["national_rank"]},
-        scale=False,
+        scale=False, train="NOT test",
     )
     models = [Model("components", ("vector",)), Model("index", ("index",))]
     found = sweeps.score_measures(rows, layout, models)

@@ -120,7 +120,7 @@ def load(
 def _rows(table: TractTable, df: DataFrame, keep: list[str], outcomes: list[str], dims: int):
     return design(
         df, keep, outcomes, vector=("vector", dims), numeric={"area": ["ALAND", "AWATER"]},
-        binned=INDEX_COLUMNS,
+        binned=INDEX_COLUMNS, train="NOT test" if "test" in keep else None,
     )
 
 

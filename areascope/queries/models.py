@@ -175,6 +175,7 @@ sc AS (
   FROM long l JOIN fits USING (fold, outcome) GROUP BY 1, 2)
 """
 
+TRAINING = "NOT test"
 LINE = Model("price", ("price",), alpha=0.0)
 
 
@@ -207,8 +208,8 @@ def fold_means(spark, d):
 BINS_SQL = f"""
 {SPLIT_SQL},
 {long_sql("split", "area, test, mean_price, balance")},
-pe AS (SELECT quantile_cont(mean_price, [0.25, 0.5, 0.75]) AS e FROM area),
-be AS (SELECT quantile_cont(balance, [0.25, 0.5, 0.75]) AS e FROM area),
+pe AS (SELECT quantile_cont(mean_price, [0.25, 0.5, 0.75]) AS e FROM split WHERE NOT test),
+be AS (SELECT quantile_cont(balance, [0.25, 0.5, 0.75]) AS e FROM split WHERE NOT test),
 marked AS (
   SELECT outcome, test, y, 'price' AS model, len(list_filter(pe.e, lambda q: q < mean_price)) AS bin FROM long, pe
   UNION ALL
@@ -230,7 +231,8 @@ def compare_index_bins(spark, d):
     """Two indices, each as a step function, compared on held-out states."""
     areas = holdout(area_table(spark, d), "state")
     rows, layout = design(
-        areas, ["test"], OUTCOMES, binned={"price": "mean_price", "balance": "balance"}, bins=4
+        areas, ["test"], OUTCOMES, binned={"price": "mean_price", "balance": "balance"}, bins=4,
+        train=TRAINING,
     )
     models = [Model("price", ("price",), "bins"), Model("balance", ("balance",), "bins")]
     return rounded(sweeps.compare_sets(rows, layout, models), 5)
@@ -239,7 +241,7 @@ def compare_index_bins(spark, d):
 @query(f"""
 WITH {SPLIT_SQL},
 {long_sql("split", "area, test, mean_price, balance, n_orders")},
-e AS (SELECT quantile_cont(mean_price, [0.25, 0.5, 0.75]) AS e FROM area),
+e AS (SELECT quantile_cont(mean_price, [0.25, 0.5, 0.75]) AS e FROM split WHERE NOT test),
 marked AS (SELECT outcome, test, y, n_orders, len(list_filter(e.e, lambda q: q < mean_price)) AS bin
            FROM long, e),
 means AS (SELECT outcome, bin, avg(y) AS p FROM marked WHERE NOT test GROUP BY 1, 2),
@@ -261,7 +263,7 @@ def residual_line(spark, d):
     areas = holdout(area_table(spark, d), "state")
     rows, layout = design(
         areas, ["test"], OUTCOMES, numeric={"orders": ["n_orders"]},
-        binned={"price": "mean_price"}, bins=4,
+        binned={"price": "mean_price"}, bins=4, train=TRAINING,
     )
     return rounded(
         sweeps.residual_r2(
@@ -371,11 +373,25 @@ def vector_areas(spark, d):
     return materialise(build_areas(spark, d).join(e, "area"))
 
 
+def holed(areas):
+    """Areas with holes in the vectors: null and NaN elements, and whole vectors missing."""
+    a = F.col("area")
+
+    def hole(e, i):
+        place = F.when(a % 3 == 0, (a + i) % 5)
+        return F.when(place == 0, F.lit(None)).when(place == 1, F.lit(float("nan"))).otherwise(
+            e.cast("double")
+        )
+
+    return areas.withColumn("embedding", F.when(a % 50 != 7, F.transform("embedding", hole)))
+
+
 def vector_design(areas, keep):
     return design(
         areas, keep, OUTCOMES, vector=("embedding", DIMS),
         numeric={"size": ["n_orders", "mean_month"]},
         binned={"price": "mean_price", "balance": "balance", "month": "mean_month"}, bins=8,
+        train=TRAINING if "test" in keep else None,
     )
 
 
@@ -387,17 +403,27 @@ INDICES = [
 
 EIGHTHS = "[0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]"
 
-# va: areas with vectors; feat: features of each ridge model; bin: bin of each index.
-VECTOR_SQL = f"""
+ELEMENT = "CAST(embedding[i] AS DOUBLE)"
+HOLED = f"""CASE WHEN area % 50 <> 7 AND NOT (area % 3 = 0 AND (area + i - 1) % 5 < 2)
+                 THEN {ELEMENT} END"""
+
+
+def vector_sql(split: str = "", fitted: str = "va", element: str = ELEMENT) -> str:
+    """va: areas with vectors; feat: features of each ridge model; bin: bin of each index.
+    Means, stds and edges come from the rows of `fitted`, which `split` may define."""
+    return f"""
 {AREA_SQL},
 va AS (SELECT area.*, embedding FROM area JOIN embeddings ON vec_id = area),
-el AS (SELECT area, i AS f, CAST(embedding[i] AS DOUBLE) AS x FROM va, (SELECT unnest(range(1, 65)) AS i)
+{split}
+fitted AS (SELECT * FROM {fitted}),
+el AS (SELECT area, i AS f, {element} AS x FROM va, (SELECT unnest(range(1, 65)) AS i)
        UNION ALL SELECT area, 65, n_orders FROM va UNION ALL SELECT area, 66, mean_month FROM va),
-sc AS (SELECT f, avg(x) AS m, CASE WHEN f <= 64 THEN stddev_samp(x) ELSE stddev_pop(x) END AS s
-       FROM el GROUP BY f),
-emb AS (SELECT area, f, (x - m) / s AS x FROM el JOIN sc USING (f)),
+sc AS (SELECT f, avg(x) AS m, stddev_pop(x) AS s FROM el WHERE area IN (SELECT area FROM fitted) GROUP BY f),
+emb AS (SELECT area, f, coalesce((x - m) / s, 0) AS x FROM el JOIN sc USING (f)
+        UNION ALL SELECT area, 67, max(CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) FROM el
+        WHERE f <= 64 GROUP BY area),
 ed AS (SELECT quantile_cont(mean_price, {EIGHTHS}) AS p, quantile_cont(balance, {EIGHTHS}) AS b,
-              quantile_cont(mean_month, {EIGHTHS}) AS m FROM va),
+              quantile_cont(mean_month, {EIGHTHS}) AS m FROM fitted),
 bin AS (
   SELECT area, 'price' AS model, len(list_filter(p, lambda q: q < mean_price)) AS bin FROM va, ed
   UNION ALL SELECT area, 'balance', len(list_filter(b, lambda q: q < balance)) FROM va, ed
@@ -410,9 +436,12 @@ feat AS (
   SELECT 'emb' AS model, area, f, x FROM emb
   UNION ALL SELECT 'all indices', area, f, x FROM marks
   UNION ALL SELECT 'all indices + emb', area, f, x FROM emb
-  UNION ALL SELECT 'all indices + emb', area, f + 66, x FROM marks)
+  UNION ALL SELECT 'all indices + emb', area, f + 67, x FROM marks)
 """
 
+
+VECTOR_SQL = vector_sql()
+
 # Ridge with penalty 1 by elimination: src(model, sys, area, test, y) -> pred(..., p).
 SOLVE_SQL = """
 mx AS (SELECT model, sys, f, avg(x) AS m FROM src JOIN feat USING (model, area) WHERE NOT test
@@ -444,12 +473,17 @@ pred AS (SELECT model, sys, area, test, any_value(y) AS y, any_value(my.m) + sum
          GROUP BY model, sys, area, test)
 """
 
-VECTOR_SPLIT_SQL = f"""
-{VECTOR_SQL},
+VECTOR_STATES_SQL = """
 st AS (SELECT state, row_number() OVER (ORDER BY md5(CAST(state AS VARCHAR) || '-42'), state)
               <= greatest(1, round_even(0.2 * count(*) OVER (), 0)) AS test
        FROM (SELECT DISTINCT state FROM va)),
 split AS (SELECT va.*, st.test FROM va JOIN st USING (state)),
+"""
+
+
+def vector_split_sql(element: str = ELEMENT) -> str:
+    return f"""
+{vector_sql(VECTOR_STATES_SQL, "split WHERE NOT test", element)},
 {long_sql("split", "area, test")},
 size AS (SELECT outcome, count(*) FILTER (NOT test) AS n_train, count(*) FILTER (test) AS n_test
          FROM long GROUP BY 1 HAVING count(*) FILTER (NOT test) >= 100 AND count(*) FILTER (test) >= 50),
@@ -462,8 +496,12 @@ step AS (SELECT bin.model, outcome, area, test, y, coalesce(p, o) AS p
 """
 
 
-@query(f"""
-WITH RECURSIVE {VECTOR_SQL},
+VECTOR_SPLIT_SQL = vector_split_sql()
+
+
+def cv_sql(vectors: str) -> str:
+    return f"""
+WITH RECURSIVE {vectors},
 sizes AS (SELECT state AS g, count(*) AS size,
                  row_number() OVER (ORDER BY count(*) DESC, state DESC) AS i FROM va GROUP BY 1),
 walk AS (
@@ -484,7 +522,10 @@ one AS (SELECT sys, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, count
 SELECT sys[:-2] AS outcome, 'emb' AS model, round(avg(r2), 5) AS r2_mean,
        round(stddev_pop(r2), 5) AS r2_std, CAST(sum(n) AS BIGINT) AS n
 FROM one GROUP BY 1
-""")
+"""
+
+
+@query(cv_sql(VECTOR_SQL))
 def cv_r2_vectors(spark, d):
     """Group-fold R² of the vectors for every outcome."""
     areas = with_group_folds(vector_areas(spark, d), "state", 5)
@@ -492,8 +533,17 @@ def cv_r2_vectors(spark, d):
     return rounded(sweeps.cv_r2(rows, layout, [EMBEDDINGS]), 5)
 
 
-@query(f"""
-WITH RECURSIVE {VECTOR_SPLIT_SQL},
+@query(cv_sql(vector_sql(element=HOLED)))
+def cv_r2_holes(spark, d):
+    """The same with missing elements and missing vectors."""
+    areas = with_group_folds(holed(vector_areas(spark, d)), "state", 5)
+    rows, layout = vector_design(areas, ["fold"])
+    return rounded(sweeps.cv_r2(rows, layout, [EMBEDDINGS]), 5)
+
+
+def compare_sql(vectors: str) -> str:
+    return f"""
+WITH RECURSIVE {vectors},
 src AS (SELECT m AS model, outcome AS sys, area, test, y
         FROM long, (SELECT unnest(['emb', 'all indices', 'all indices + emb']) AS m)),
 {SOLVE_SQL},
@@ -501,10 +551,23 @@ every AS (SELECT model, sys AS outcome, test, y, p FROM pred
           UNION ALL SELECT model, outcome, test, y, p FROM step)
 SELECT outcome, model, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2, n_train, n_test
 FROM every JOIN size USING (outcome) WHERE test GROUP BY outcome, model, n_train, n_test
-""")
+"""
+
+
+@query(compare_sql(VECTOR_SPLIT_SQL))
 def compare_six_sets(spark, d):
     """Each index, all indices, vectors, and both, on held-out states."""
-    rows, layout = vector_design(holdout(vector_areas(spark, d), "state"), ["test"])
+    return six_sets(vector_areas(spark, d))
+
+
+@query(compare_sql(vector_split_sql(HOLED)))
+def compare_holes(spark, d):
+    """The same with missing elements and missing vectors."""
+    return six_sets(holed(vector_areas(spark, d)))
+
+
+def six_sets(areas):
+    rows, layout = vector_design(holdout(areas, "state"), ["test"])
     names = ("price", "balance", "month")
     models = [
         *INDICES, Model("all indices", names), EMBEDDINGS,
@@ -717,7 +780,7 @@ def ridge_on_components(spark, d):
     areas = vector_areas(spark, d)
     scored = pca_apply(areas, "embedding", pca_fit(areas, "embedding", 10))
     rows, layout = design(
-        holdout(scored, "state"), ["test"], OUTCOMES, vector=("pc", 10), scale=False
+        holdout(scored, "state"), ["test"], OUTCOMES, vector=("pc", 10), scale=False, train=TRAINING
     )
     models = [Model("components", ("vector",))]
     scores = sweeps.score_measures(rows, layout, models, min_train=100, min_test=50)

@@ -104,7 +104,7 @@ def test_cv_matches_refits(spark, areas):
     got = {(r.outcome): r for r in sweeps.cv_r2(
         rows, layout, [Model("emb", ("vector",))], min_rows=100).collect()}
     assert set(got) == {"y1", "y2"}  # the third has under 100 rows
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    z = (x - x.mean(0)) / x.std(0)
     for name, y in (("y1", y1), ("y2", y2)):
         scores = []
         for f in range(4):
@@ -132,7 +132,7 @@ def test_two_stage_and_sets(spark, areas):
     known[np.arange(N) % 13 == 0] = np.nan
     edges = np.nanquantile(known, [i / 8 for i in range(1, 8)])
     bins = np.where(np.isnan(known), 8, np.searchsorted(edges, np.nan_to_num(known)))
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    z = (x - x.mean(0)) / x.std(0)
     for name, y in (("y1", y1), ("y2", y2)):
         ok = ~np.isnan(y)
         tr, te = ~test & ok, test & ok
@@ -162,7 +162,7 @@ def test_sweep_by_group(spark, areas):
     rows, layout = design(folded, ["state", "fold"], ["y1", "y2", "few"], vector=("v", DIMS))
     out = {r.state: r for r in sweeps.sweep_by(
         rows, layout, [Model("emb", ("vector",))], "state").collect()}
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    z = (x - x.mean(0)) / x.std(0)
     for s in range(12):
         here = state == s
         if here.sum() < 50:
@@ -284,3 +284,25 @@ def test_holdout_with_many_groups(spark, areas, monkeypatch):
     monkeypatch.setattr(folds, "LISTED_GROUPS", 0)
     joined = {(r.id, r.test) for r in holdout(df, "state", 0.2, 42).select("id", "test").collect()}
     assert listed == joined
+
+
+def test_vectors_with_holes(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 2.0], 1.0), (2, [3.0, None], 2.0), (3, [nan, 6.0], 3.0), (4, None, 4.0), (5, [5.0], 5.0)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, y double")
+    out, layout = design(df, ["id"], ["y"], vector=("v", 2))
+    got = {r.id: r.x for r in out.collect()}
+    s = np.std([1.0, 3.0, 5.0])
+    assert layout.cols("vector") == [1, 2, 3]
+    assert got[1] == pytest.approx([-2 / s, -1, 0]) and got[2] == pytest.approx([0, 0, 1])
+    assert got[3] == pytest.approx([0, 1, 1]) and got[4] == [0, 0, 1]
+    assert got[5] == pytest.approx([2 / s, 0, 1])
+    part, _ = design(df, ["id"], ["y"], vector=("v", 2), train="id <= 2")
+    assert {r.id: r.x for r in part.collect()}[5] == pytest.approx([3, 0, 1])
+
+
+def test_sums_leave_out_incomplete_rows(spark):
+    rows = [([1.0, 2.0], [1.0]), (None, [9.0]), ([3.0, None], [9.0]), ([float("nan"), 1.0], [9.0]), ([2.0, 5.0], [None])]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>")
+    xx, xy, yy, n = Sums.from_rows(gram(df, [], 2, 1).toPandas(), 2, 1).outcome(0)
+    assert n == 1 and yy == 1.0 and list(xy) == [1.0, 1.0, 2.0] and xx[0, 0] == 1
