@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # An encoder takes (batch, channels, px, px) and returns (batch, grid, grid, dims).
 Encoder = Callable[..., np.ndarray]
@@ -47,15 +48,16 @@ def standardised(
 
 def encode_chips(
     chips: DataFrame, load: Callable[[], Encoder], channels: int, px: int, batch: int = 8,
-    extra: list[str] | None = None,
+    extra: list[str] | None = None, keys: list[str] | None = None,
 ) -> DataFrame:
-    """(row_off, col_off, grid, patches): `load` runs once per task, chips go in batches.
+    """(keys..., row_off, col_off, grid, patches): `load` runs once per task, chips go in batches.
 
     `extra` names columns (latitude, longitude, year...) an encoder wants beside the pixels,
     given as a second argument. Rows stream through, so a task holds one batch of chips and
     the encoder.
     """
-    extra = list(extra or [])
+    extra, names = list(extra or []), [*(keys or []), "row_off", "col_off"]
+    given = list(dict.fromkeys([*names, "data", *extra]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load()
@@ -68,8 +70,7 @@ def encode_chips(
                 grid = out.shape[1]
                 yield pd.DataFrame(
                     {
-                        "row_off": part["row_off"].to_numpy(),
-                        "col_off": part["col_off"].to_numpy(),
+                        **{n: part[n].to_numpy() for n in names},
                         "grid": grid,
                         "patches": [
                             list(v.reshape(grid * grid, -1).astype("float32")) for v in out
@@ -77,6 +78,6 @@ def encode_chips(
                     }
                 )
 
-    return chips.select("row_off", "col_off", "data", *extra).mapInPandas(
-        run, "row_off int, col_off int, grid int, patches array<array<float>>"
-    )
+    patches = T.ArrayType(T.ArrayType(T.FloatType()))
+    schema = T.StructType([chips.schema[n] for n in names]).add("grid", T.IntegerType()).add("patches", patches)
+    return chips.select(*given).mapInPandas(run, schema)

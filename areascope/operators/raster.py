@@ -93,18 +93,20 @@ def band_stats(df: DataFrame) -> DataFrame:
 
 
 def overviews(
-    pixels: DataFrame, levels: tuple[int, ...] = registry.OVERVIEW_LEVELS, value: str = "value"
+    pixels: DataFrame, levels: tuple[int, ...] = registry.OVERVIEW_LEVELS, value: str = "value",
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Block averages at every level: (level, row, col, band, value).
+    """Block averages at every level: (keys..., level, row, col, band, value); `keys` name the raster.
 
     Pixels are placed once, by the coarsest block (at most 32 x 32 of them); every level's
     grouping contains that block, so all levels are computed where the pixels already are.
     """
     top = max(levels)
-    block = ["__br", "__bc", "band"]
+    keys = list(keys or [])
+    block = [*keys, "__br", "__bc", "band"]
     placed = (
         pixels.select(
-            "row", "col", "band", F.col(value).cast("double").alias(value),
+            *keys, "row", "col", "band", F.col(value).cast("double").alias(value),
             F.floor(F.col("row") / top).alias("__br"), F.floor(F.col("col") / top).alias("__bc"),
         )
         .repartition(*block)
@@ -119,7 +121,7 @@ def overviews(
             )
             .agg(F.avg(value).alias(value))
             .select(
-                F.lit(level).alias("level"), F.col("__r").alias("row"),
+                *keys, F.lit(level).alias("level"), F.col("__r").alias("row"),
                 F.col("__c").alias("col"), "band", value,
             )
         )
@@ -190,15 +192,25 @@ def chip_index(pixels: DataFrame, px: int) -> DataFrame:
     )
 
 
+def chip_grid(rasters: DataFrame, px: int, height: int, width: int) -> DataFrame:
+    """Every chip offset of each raster (a row each): columns row_off and col_off."""
+
+    def offsets(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(max(int(n) - 1, 0)), F.lit(px)))
+
+    return rasters.withColumn("row_off", offsets(height)).withColumn("col_off", offsets(width))
+
+
 def to_chips(
     pixels: DataFrame, px: int, bands: list[str], height: int, width: int, pad: float = 0.0,
     value: str = "value", keys: list[str] | None = None,
 ) -> DataFrame:
     """Non-overlapping chips (keys..., row_off, col_off, data), data = bands x px x px, row-major.
 
-    Places beyond the raster's edge hold `pad`; places inside it without a pixel hold NaN.
-    Pixels are unique per (keys, row, col, band), as every composite is, so a chip group has
-    at most bands x px x px rows. `keys` (the season) cuts several rasters in one pass.
+    The grid is dense: a chip without any pixel is there, too. Places beyond the raster's edge
+    hold `pad`; places inside it without a pixel hold NaN. Pixels are unique per (keys, row, col,
+    band), as every composite is, so a chip group has at most bands x px x px rows; two pixels at
+    one place are an error. `keys` (raster, year, season) cuts several rasters in one pass.
     """
     bands, keys = list(bands), list(keys or [])
     number = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("band")) - 1
@@ -212,27 +224,40 @@ def to_chips(
         [placed.schema[n] for n in names] + [T.StructField("data", T.ArrayType(T.FloatType()))]
     )
 
+    rasters = pixels.select(*keys).distinct() if keys else pixels.sparkSession.range(1).select()
+    empty = chip_grid(rasters, px, height, width).select(
+        *names, F.lit(-1).alias("place"), F.lit(None).cast("float").alias("v")
+    )
+
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         row_off, col_off = key[-2:]
+        group = group[group["place"] >= 0]
+        if group["place"].duplicated().any():
+            raise ValueError(f"two pixels at one place of chip {key}")
         data = np.full((depth, px, px), np.float32(pad), dtype="float32")
         data[:, : max(0, height - row_off), : max(0, width - col_off)] = np.nan
         flat = data.reshape(-1)
         flat[group["place"].to_numpy()] = group["v"].to_numpy(dtype="float32")
         return pd.DataFrame({**dict(zip(names, ([k] for k in key), strict=True)), "data": [flat]})
 
-    return by_key(placed, names).groupBy(*names).applyInPandas(fill, schema)
+    return by_key(placed.unionByName(empty), names).groupBy(*names).applyInPandas(fill, schema)
 
 
-def stack_seasons(chips: DataFrame, order: list[str]) -> DataFrame:
-    """One chip per place with its seasons one after the other; all seasons must be there."""
+def stack_seasons(
+    chips: DataFrame, order: list[str], keys: list[str] | None = None
+) -> DataFrame:
+    """One chip per raster (`keys`) and place with its seasons one after the other; a season that
+    is missing there holds NaN."""
+    place = [*(keys or []), "row_off", "col_off"]
     parts = [
         F.any_value(F.when(F.col("season") == s, F.col("data")), ignoreNulls=True).alias(f"__{s}")
         for s in order
     ]
-    joined = chips.groupBy("row_off", "col_off").agg(*parts).dropna("any")
-    return joined.select(
-        "row_off", "col_off", F.concat(*[F.col(f"__{s}") for s in order]).alias("data")
-    )
+    joined = chips.where(F.col("season").isin(order)).groupBy(*place).agg(*parts)
+    seen = F.coalesce(*[F.col(f"__{s}") for s in order])
+    nothing = F.transform(seen, lambda _: F.lit(float("nan")).cast("float"))
+    whole = [F.coalesce(F.col(f"__{s}"), nothing) for s in order]
+    return joined.select(*place, F.concat(*whole).alias("data"))
 
 
 def chip_count(height: int, width: int, px: int) -> int:
@@ -245,15 +270,17 @@ def first_chips(chips: DataFrame, n: int) -> DataFrame:
 
 
 def from_chips(
-    encoded: DataFrame, stride: int, height: int, width: int
+    encoded: DataFrame, stride: int, height: int, width: int, keys: list[str] | None = None
 ) -> DataFrame:
-    """Patch vectors back to a map (row, col, vector), cells beyond the raster trimmed.
+    """Patch vectors back to maps (keys..., row, col, vector), cells beyond the raster trimmed.
 
     `encoded` has (row_off, col_off, grid, patches): grid x grid vectors, row-major.
     """
+    keys = list(keys or [])
     cells = encoded.select(
-        "row_off", "col_off", "grid", F.posexplode("patches").alias("pos", "vector")
+        *keys, "row_off", "col_off", "grid", F.posexplode("patches").alias("pos", "vector")
     ).select(
+        *keys,
         (F.floor(F.col("row_off") / stride) + F.floor(F.col("pos") / F.col("grid")))
         .cast("int").alias("row"),
         (F.floor(F.col("col_off") / stride) + F.pmod("pos", "grid")).cast("int").alias("col"),

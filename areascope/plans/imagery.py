@@ -39,8 +39,9 @@ def composites(
 def vector_map(
     found: dict[str, DataFrame], height: int, width: int, seasonal: bool = False,
     load: Callable | None = None, chip: int | None = None, patch: int | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Composites to a map of patch vectors (row, col, vector).
+    """Composites to maps of patch vectors (keys..., row, col, vector); `keys` name the raster.
 
     Seasonal composites are stacked and standardised by band after padding; `load` brings the
     encoder, by default the mean per band and patch.
@@ -51,17 +52,18 @@ def vector_map(
     load = load or patch_means(stride)
     if not seasonal:
         (only,) = found.values()
-        chips = raster.to_chips(only, px, bands, height, width)
+        chips = raster.to_chips(only, px, bands, height, width, keys=keys)
     else:
         pixels = union_all(
             *[part.withColumn("season", F.lit(name)) for name, part in found.items()]
         )
-        cut = raster.to_chips(pixels, px, bands, height, width, keys=["season"])
-        chips = raster.stack_seasons(cut, list(found))
+        cut = raster.to_chips(pixels, px, bands, height, width, keys=[*(keys or []), "season"])
+        chips = raster.stack_seasons(cut, list(found), keys)
         means, stds = zip(*[registry.BAND_STATS[b] for b in bands], strict=True)
         load = standardised(load, means * len(found), stds * len(found))
     channels = len(bands) * len(found)
-    return raster.from_chips(encode_chips(chips, load, channels, px), stride, height, width)
+    encoded = encode_chips(chips, load, channels, px, keys=keys)
+    return raster.from_chips(encoded, stride, height, width, keys)
 
 
 def reduce_map(

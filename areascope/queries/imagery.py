@@ -174,47 +174,95 @@ def overview_pyramid(spark, d):
     return rounded(raster.overviews(grid(spark, d)))
 
 
+def two_grids(spark, d):
+    """The same for open and finished lines, two rasters in one table; the open one has no pixels
+    in its first rows."""
+    lines = table(spark, d, "lineitem").where("l_linestatus = 'F' OR l_suppkey >= 40")
+    return lines.groupBy(
+        F.col("l_linestatus").alias("raster"), F.col("l_suppkey").cast("int").alias("row"),
+        (F.col("l_quantity") - 1).cast("int").alias("col"), F.col("l_returnflag").alias("band"),
+    ).agg(F.avg(F.ln("l_extendedprice")).alias("value"))
+
+
+TWO_GRIDS_SQL = """
+grid AS (SELECT l_linestatus AS raster, CAST(l_suppkey AS INTEGER) AS "row",
+                CAST(l_quantity - 1 AS INTEGER) AS col, l_returnflag AS band,
+                avg(ln(l_extendedprice)) AS value
+         FROM lineitem WHERE l_linestatus = 'F' OR l_suppkey >= 40 GROUP BY 1, 2, 3, 4)
+"""
+
+
+@query(f"""
+WITH {TWO_GRIDS_SQL},
+l AS (SELECT unnest([2, 4, 8, 16, 32]) AS level)
+SELECT raster, CAST(level AS INTEGER) AS level, CAST("row" // level AS INTEGER) AS "row",
+       CAST(col // level AS INTEGER) AS col, band, round(avg(value), 6) AS value
+FROM grid, l GROUP BY ALL
+""")
+def two_rasters_pyramid(spark, d):
+    """Block averages of two rasters at once."""
+    return rounded(raster.overviews(two_grids(spark, d), keys=["raster"]))
+
+
 def grid_size(pixels) -> tuple[int, int]:
     """Height and width of a pixel table (two numbers)."""
     r = pixels.agg(F.max("row").alias("h"), F.max("col").alias("w")).first()
     return r["h"] + 1, r["w"] + 1
 
 
-def patch_map(spark, d):
+def patch_map(spark, d, pixels, keys=None):
     """Chips, default encoder, map."""
-    pixels = grid(spark, d)
     height, width = grid_size(
         table(spark, d, "lineitem").select(
             F.col("l_suppkey").cast("int").alias("row"),
             (F.col("l_quantity") - 1).cast("int").alias("col"),
         )
     )
-    chips = raster.to_chips(pixels, CHIP, FLAGS, height, width)
-    encoded = encode_chips(chips, patch_means(PATCH), len(FLAGS), CHIP)
-    return raster.from_chips(encoded, PATCH, height, width)
+    chips = raster.to_chips(pixels, CHIP, FLAGS, height, width, keys=keys)
+    encoded = encode_chips(chips, patch_means(PATCH), len(FLAGS), CHIP, keys=keys)
+    return raster.from_chips(encoded, PATCH, height, width, keys)
 
 
-@query(f"""
-WITH {GRID_SQL},
+def map_sql(pixels: str, raster: str = "") -> str:
+    """The full grid of cells; `raster` is the key column and a comma, or nothing."""
+    names = f"SELECT DISTINCT {raster} 0 AS zero FROM grid"
+    same = "AND s.raster = p.raster" if raster else ""
+    return f"""
+WITH {pixels},
 size AS (SELECT max(l_suppkey) + 1 AS h, max(CAST(l_quantity AS BIGINT)) AS w FROM lineitem),
-cells AS (SELECT DISTINCT r."row" // 32 * 4 + i AS "row", r.col // 32 * 4 + j AS col
-          FROM (SELECT DISTINCT "row" // 32 * 32 AS "row", col // 32 * 32 AS col FROM grid) r,
-               (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j)),
-sums AS (SELECT "row" // 8 AS "row", col // 8 AS col, band, count(*) AS n,
-                sum(CAST(CAST(value AS FLOAT) AS DOUBLE)) AS s FROM grid GROUP BY 1, 2, 3),
+cells AS (SELECT {raster} "row", col FROM ({names}),
+                 (SELECT unnest(range(0, (h + 7) // 8)) AS "row" FROM size),
+                 (SELECT unnest(range(0, (w + 7) // 8)) AS col FROM size)),
+sums AS (SELECT {raster} "row" // 8 AS "row", col // 8 AS col, band, count(*) AS n,
+                sum(CAST(CAST(value AS FLOAT) AS DOUBLE)) AS s FROM grid GROUP BY ALL),
 b AS (SELECT unnest(['A', 'N', 'R']) AS band, unnest([0, 1, 2]) AS pos),
-pad AS (SELECT c."row", c.col, 64 - (least(h, c."row" * 8 + 8) - c."row" * 8)
+pad AS (SELECT {raster} c."row", c.col, 64 - (least(h, c."row" * 8 + 8) - c."row" * 8)
                                  * (least(w, c.col * 8 + 8) - c.col * 8) AS n_pad
-        FROM cells c, size WHERE c."row" * 8 < h AND c.col * 8 < w)
-SELECT CAST(p."row" AS INTEGER) AS "row", CAST(p.col AS INTEGER) AS col, CAST(b.pos AS INTEGER) AS pos,
+        FROM cells c, size)
+SELECT {raster and "p.raster,"} CAST(p."row" AS INTEGER) AS "row", CAST(p.col AS INTEGER) AS col, CAST(b.pos AS INTEGER) AS pos,
        round(CAST(coalesce(s, 0) / nullif(coalesce(n, 0) + n_pad, 0) AS FLOAT)::DOUBLE, 5) AS value
-FROM pad p CROSS JOIN b LEFT JOIN sums s ON s."row" = p."row" AND s.col = p.col AND s.band = b.band
-""")
+FROM pad p CROSS JOIN b
+LEFT JOIN sums s ON s."row" = p."row" AND s.col = p.col AND s.band = b.band {same}
+"""
+
+
+@query(map_sql(GRID_SQL))
 def encoded_map(spark, d):
     """Chips padded with zeros at the edge, mean per patch and band, trimmed to the raster."""
-    cells = vector_rows(patch_map(spark, d), ["row", "col"], "vector")
+    return map_values(patch_map(spark, d, grid(spark, d)), ["row", "col"])
+
+
+@query(map_sql(TWO_GRIDS_SQL, "raster,"))
+def two_rasters_map(spark, d):
+    """Two rasters cut, encoded and mapped in one pass; chips without pixels stay."""
+    cells = patch_map(spark, d, two_grids(spark, d), ["raster"])
+    return map_values(cells, ["raster", "row", "col"])
+
+
+def map_values(cells, names):
+    rows = vector_rows(cells, names, "vector")
     value = F.col("value").cast("double")
-    return rounded(cells.withColumn("value", F.when(~F.isnan(value), value)), 5)
+    return rounded(rows.withColumn("value", F.when(~F.isnan(value), value)), 5)
 
 
 SEASONS = ["spring", "summer", "fall"]
@@ -228,9 +276,13 @@ WITH o AS (
          CAST(avg(ln(o_totalprice)) AS FLOAT) AS value
   FROM orders GROUP BY 1, 2, 3),
 c AS (SELECT CAST("row" // 32 * 32 AS INTEGER) AS row_off, CAST(col // 32 * 32 AS INTEGER) AS col_off,
-             season, count(*) AS n, sum(value::DOUBLE) AS total FROM o WHERE season IS NOT NULL GROUP BY 1, 2, 3)
-SELECT row_off, col_off, CAST(season AS INTEGER) AS place, n, round(total, 4) AS total FROM c
-WHERE (row_off, col_off) IN (SELECT (row_off, col_off) FROM c GROUP BY row_off, col_off HAVING count(*) = 3)
+             season, count(*) AS n, sum(value::DOUBLE) AS total FROM o WHERE season IS NOT NULL GROUP BY 1, 2, 3),
+every AS (SELECT CAST(row_off AS INTEGER) AS row_off, 0 AS col_off, season
+          FROM (SELECT unnest(range(0, max(c_custkey) + 1, 32)) AS row_off FROM customer),
+               (SELECT unnest([0, 1, 2]) AS season))
+SELECT row_off, col_off, CAST(season AS INTEGER) AS place, coalesce(n, 0) AS n,
+       round(coalesce(total, 0), 4) AS total
+FROM every LEFT JOIN c USING (row_off, col_off, season)
 """)
 def season_chips(spark, d):
     """Seasonal chips of the same place, one after the other; per season its pixels and sum."""

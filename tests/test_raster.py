@@ -104,7 +104,25 @@ def test_seasons_stack_in_order(spark):
         "row_off int, col_off int, season string, data array<float>",
     )
     got = raster.stack_seasons(chips, list(registry.SEASON_MONTHS)).collect()
-    assert [(r.col_off, r.data) for r in got] == [(0, [1.0, 2.0, 3.0])]
+    data = {r.col_off: r.data for r in got}
+    assert data[0] == [1.0, 2.0, 3.0]
+    assert np.isnan(data[8][:2]).all() and data[8][2] == 9.0
+
+
+def test_rasters_keep_apart_and_whole(spark):
+    pixels = spark.createDataFrame(
+        [("p", 0, 0, "a", 1.0), ("q", 0, 0, "a", 3.0)], "raster string, row int, col int, band string, value double"
+    )
+    chips = raster.to_chips(pixels, 4, ["a"], 6, 8, keys=["raster"])
+    assert chips.count() == 2 * raster.chip_count(6, 8, 4) == 8
+    encoded = encode_chips(chips, patch_means(2), 1, 4, keys=["raster"])
+    got = {(r.raster, r.row, r.col): r.vector[0] for r in raster.from_chips(encoded, 2, 6, 8, ["raster"]).collect()}
+    assert len(got) == 2 * 3 * 4 and got["p", 0, 0] == 1.0 and got["q", 0, 0] == 3.0
+    assert np.isnan(got["p", 2, 3])
+    over = raster.overviews(pixels, (2,), keys=["raster"]).collect()
+    assert {(r.raster, r.value) for r in over} == {("p", 1.0), ("q", 3.0)}
+    with pytest.raises(Exception, match="two pixels at one place"):
+        raster.to_chips(pixels, 4, ["a"], 6, 8).collect()
 
 
 def test_standardise(spark):
