@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from areascope.functions import registry
@@ -12,8 +14,10 @@ from areascope.operators import raster
 from areascope.operators.encode import encode_chips, patch_means
 from areascope.operators.spatial import overlaps, pixels_in_areas, zonal_stats, zonal_wide
 from areascope.queries.base import query, rounded
+from areascope.session import checkpoint_dir
 from areascope.sources.scenes import read_pixels, stack_bands
 from areascope.sources.tables import table
+from areascope.streaming.resume import encode_pending
 
 CHIP, PATCH = 32, 8
 FLAGS = ["A", "N", "R"]
@@ -210,14 +214,18 @@ def grid_size(pixels) -> tuple[int, int]:
     return r["h"] + 1, r["w"] + 1
 
 
-def patch_map(spark, d, pixels, keys=None):
-    """Chips, default encoder, map."""
-    height, width = grid_size(
+def map_size(spark, d):
+    return grid_size(
         table(spark, d, "lineitem").select(
             F.col("l_suppkey").cast("int").alias("row"),
             (F.col("l_quantity") - 1).cast("int").alias("col"),
         )
     )
+
+
+def patch_map(spark, d, pixels, keys=None):
+    """Chips, default encoder, map."""
+    height, width = map_size(spark, d)
     chips = raster.to_chips(pixels, CHIP, FLAGS, height, width, keys=keys)
     encoded = encode_chips(chips, patch_means(PATCH), len(FLAGS), CHIP, keys=keys)
     return raster.from_chips(encoded, PATCH, height, width, keys)
@@ -259,6 +267,23 @@ def two_rasters_map(spark, d):
     return map_values(cells, ["raster", "row", "col"])
 
 
+@query(map_sql(TWO_GRIDS_SQL, "raster,"))
+def resume_two_rasters(spark, d):
+    """The same in two runs: the second encodes only what the first left open."""
+    height, width = map_size(spark, d)
+    chips = raster.to_chips(two_grids(spark, d), CHIP, FLAGS, height, width, keys=["raster"])
+    path = f"{checkpoint_dir(spark)}/resume/{uuid.uuid4().hex}"
+
+    def encode(part):
+        return encode_chips(part, patch_means(PATCH), len(FLAGS), CHIP, keys=["raster"])
+
+    encode_pending(spark, chips.where("raster = 'F'"), encode, path, ["raster"])
+    done = encode_pending(spark, chips, encode, path, ["raster"])
+    return map_values(
+        raster.from_chips(done, PATCH, height, width, ["raster"]), ["raster", "row", "col"]
+    )
+
+
 def map_values(cells, names):
     rows = vector_rows(cells, names, "vector")
     value = F.col("value").cast("double")

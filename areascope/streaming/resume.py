@@ -7,6 +7,7 @@ died is simply run again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,16 @@ CHIP_SCHEMA = "row_off int, col_off int, data array<float>"
 
 
 def encode_pending(
-    spark: SparkSession, chips: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str
+    spark: SparkSession, chips: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Encode the chips the output does not have yet, add them, return the whole output."""
+    """Encode the chips the output does not have yet, add them, return the whole output.
+
+    `keys` name the raster (tile, area, year) a chip belongs to, when there are several.
+    """
     todo = chips
     if exists(spark, path):
-        todo = pending(chips, spark.read.parquet(path), CHIP)
+        todo = pending(chips, spark.read.parquet(path), [*(keys or []), *CHIP])
     encode(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
@@ -33,13 +38,15 @@ def encode_arrivals(
     spark: SparkSession, folder: str, encode: Callable[[DataFrame], DataFrame], path: str,
     name: str, schema: str = CHIP_SCHEMA,
 ) -> DataFrame:
-    """Encode chip files not seen by earlier runs of the job `name`, each exactly once."""
+    """Encode chip files not seen by earlier runs of the job `name` with this input and output,
+    each exactly once."""
+    job = hashlib.md5(f"{folder}\n{path}".encode()).hexdigest()
     arrived = spark.readStream.schema(schema).parquet(folder)
     query = (
         encode(arrived)
         .writeStream.format("parquet")
         .option("path", path)
-        .option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}")
+        .option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}-{job}")
         .trigger(availableNow=True)
         .start()
     )
