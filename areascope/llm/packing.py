@@ -30,7 +30,7 @@ from areascope.session import materialise
 
 ROOM = 4096
 END = 2
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 BUCKET_ROWS = 200_000
 
 # A word of letters that lower-case one by one, in front of a character that surely ends it; or
@@ -46,6 +46,9 @@ class Encoder:
     The tokenizer drops white space and never joins letters with the punctuation listed in _UNIT, so
     a text's ids are those of its units in a row. Texts with characters whose lower case or normal
     form depends on their neighbours, or with a special token's mark, go to the tokenizer whole.
+
+    The memory is two generations of CACHE_WORDS words: when the younger is full it becomes the older,
+    and words still in use move up again, so frequent words outlast the many that come once.
     """
 
     def __init__(self, path: str):
@@ -57,15 +60,23 @@ class Encoder:
         letters = [chr(c) for c in range(0xDF, 0x100) if _WORD.fullmatch(chr(c))]
         self.spelled = str.maketrans({c: spell.pre_tokenize_str(c)[0][0] for c in letters})
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, unit: str) -> bytes:
+    def _ids(self, unit: str) -> bytes:
         if _WORD.fullmatch(unit):
-            ids = [t.id for t in self.model.tokenize(unit.translate(self.spelled))]
+            spelled = unit if unit.isascii() else unit.translate(self.spelled)
+            ids = [t.id for t in self.model.tokenize(spelled)]
         else:
             ids = self.whole.encode(unit, add_special_tokens=False).ids
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        self.known[unit] = out = np.array(ids, dtype="<u4").tobytes()
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _learn(self, unit: str) -> bytes:
+        out = self.known.get(unit)  # a long text may still look up in a generation that has aged
+        if out is None:
+            out = self.older.get(unit) or self._ids(unit)
+            if len(self.known) >= CACHE_WORDS:
+                self.older, self.known = self.known, {}
+            self.known[unit] = out
         return out
 
     def encode(self, text: str) -> bytes:

@@ -507,3 +507,13 @@ def test_quality_without_trusted_text(spark):
     got = quality.judge(frame(spark, [doc(1, "abc")]), labels).collect()
     assert [(r["doc_id"], r["kept"]) for r in got] == [(1, False)]
     assert quality.judge(frame(spark, []), labels).count() == 0
+
+
+def test_small_word_memory_gives_the_same_ids(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    encoder = packing.Encoder(tokenizer)
+    text = "one two three four one größe two five, six one 7 seven one two " * 3
+    for _ in range(2):
+        want = encoder.whole.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(want, dtype="<u4").tobytes()
+        assert len(encoder.known) <= 3 and len(encoder.older) <= 3
