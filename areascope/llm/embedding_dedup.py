@@ -1,16 +1,21 @@
-"""Near copies among vectors by sorted projection passes.
+"""Near copies among vectors by random projection cells.
 
-Equal vectors become one counted vector. In each pass the vectors are ordered by a concatenation of
-random hashes (the axis of a random projection that a vector is nearest to, with its sign), cut into
-blocks of `window` vectors, and every vector is compared with those of its own and the neighbouring
-blocks, in double precision. A pair that an earlier pass compared is left out by the block numbers,
-so counts add up without moving pairs; what leaves a task is a count per vector and the edges of a
-spanning forest, never the pairs. Components are joined across passes.
+Equal vectors become one counted vector. In each pass a vector's cell is given by its leading random
+hashes (the axis of a random projection that a vector is nearest to, with its sign), and every two
+vectors of a cell are compared, in double precision. What leaves a task are the edges of a spanning
+forest, never the pairs. Components are joined across passes; then every two vectors of a component
+are compared to count links, so counts are complete whatever the size of a group.
 
-Order and blocks come from a range partitioning whose partitions are counted, so blocks run on
-across partitions and a hash that a third of the vectors share is spread over many tasks. The number
-of passes follows from the number of vectors: the chance that a pair at the threshold shares enough
-hashes to be neighbours in one pass is `same ** hashes`, and the passes together must reach `recall`.
+Whatever is compared in full, a cell or a component, is cut into blocks of about `window` vectors, and
+each two blocks meet in a group of their own: a hash that a third of the vectors share makes more
+groups, not larger ones.
+
+The chance that a pair has the same hash depends on its cosine alone (`same_hash`). A pair at the
+threshold shares a cell in one pass with `same_hash ** depth`, however full the cells are, and the
+passes together must reach `recall`. Depth is chosen per dimension by the counted sizes of the cells:
+deep cells hold fewer pairs but need more passes. Up to `window` vectors all pairs are compared. The
+chance is of one pair over the choice of the axes; a pair that is missed is still linked and counted
+if other links join its component.
 
 Defined results: vectors that are missing, empty, zero or hold a missing or non-finite component
 link with nothing, nor do vectors of different dimensions. Repeated rows are vectors like others. A
@@ -21,11 +26,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areascope.llm.components import components
@@ -33,12 +38,10 @@ from areascope.llm.text import partitions
 from areascope.session import materialise
 
 WINDOW = 1024
-RUN_BLOCKS = 16
 HASHES = 7
 AXES = 64
-SAME_HASH = 0.7  # at a cosine of 0.95, measured over random pairs, rounded down
 RECALL = 0.99
-MIN_PASSES = 4
+PILOT_PASSES = 2
 SEED = 20_240_501
 
 
@@ -46,8 +49,30 @@ def _axes(dim: int, which: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, which]).standard_normal((dim, AXES))
 
 
-def _codes(passes: int):
-    """One long per pass: HASHES numbers of 7 bits, the first in the highest place."""
+@lru_cache
+def same_hash(least: float, samples: int = 200_000) -> float:
+    """Chance that a hash is the same at a cosine of `least`: simulated, less three std errors.
+
+    The axes see a pair as two normal numbers with that correlation, whatever the dimension.
+    """
+    rng, same, step = np.random.default_rng(SEED), 0, 10_000
+    for _ in range(samples // step):
+        u = rng.standard_normal((step, AXES))
+        v = least * u + math.sqrt(max(0.0, 1 - least * least)) * rng.standard_normal(u.shape)
+        i, j, at = np.abs(u).argmax(axis=1), np.abs(v).argmax(axis=1), np.arange(step)
+        same += int(((i == j) & (u[at, i] * v[at, j] > 0)).sum())
+    p = same / samples
+    return max(p - 3 * math.sqrt(p * (1 - p) / samples), 1 / samples)
+
+
+def passes_for(depth: int, same: float, recall: float = RECALL) -> int:
+    """Passes in which a pair shares `depth` hashes at least once with a chance of `recall`."""
+    chance = same**depth
+    return 1 if chance >= recall else math.ceil(math.log(1 - recall) / math.log1p(-chance))
+
+
+def _codes(plan: dict[int, tuple[int, int]]):
+    """One long per pass: `depth` numbers of 7 bits, the first in the highest place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -55,9 +80,10 @@ def _codes(passes: int):
             for dim in np.unique(dims):
                 part = batch[dims == dim]
                 x = np.stack(part["x"].to_numpy()).astype(np.float64)
+                depth, passes = plan.get(int(dim), (0, 1))
                 for p in range(passes):
                     code = np.zeros(len(x), dtype=np.int64)
-                    for h in range(HASHES):
+                    for h in range(depth):
                         seen = x @ _axes(int(dim), p * HASHES + h)
                         axis = np.abs(seen).argmax(axis=1)
                         sign = np.take_along_axis(seen, axis[:, None], 1)[:, 0] > 0
@@ -69,19 +95,39 @@ def _codes(passes: int):
     return run
 
 
-def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places within a sorted partition."""
-    from pyspark import TaskContext
+def _coded(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
+    return nodes.select("node", "x").mapInPandas(
+        _codes(plan), "dim int, pass int, code long, node long"
+    )
 
-    part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        yield pd.DataFrame(
-            {
-                "node": batch["node"], "pass": batch["pass"], "part": part,
-                "place": np.arange(n, n + len(batch)),
-            }
-        )
-        n += len(batch)
+
+def _plan(nodes: DataFrame, least: float, window: int) -> dict[int, tuple[int, int]]:
+    """(depth, passes) of each dimension with more than `window` vectors, by counted cells.
+
+    A pass costs each vector its cell, and the work of moving it, about `window` comparisons.
+    """
+    dims = nodes.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["dim"]: r["n"] for r in dims.where(F.col("n") > window).collect()}
+    if not sizes:
+        return {}
+    same = same_hash(least)
+    large = nodes.where(F.size("x").isin([*sizes]))
+    codes = _coded(large, {dim: (HASHES, PILOT_PASSES) for dim in sizes})
+    cells = materialise(
+        codes.groupBy("dim", "pass", "code").agg(F.count(F.lit(1)).alias("n"))
+    )
+    depths = F.explode(F.array(*[F.lit(h) for h in range(1, HASHES + 1)]))
+    lead = F.floor(F.col("code") / F.pow(F.lit(128), F.lit(HASHES) - F.col("depth")))
+    leading = (
+        cells.withColumn("depth", depths)
+        .groupBy("dim", "pass", "depth", lead.alias("lead")).agg(F.sum("n").cast("double").alias("n"))
+        .groupBy("dim", "depth").agg(F.sum(F.col("n") * (F.col("n") + window)).alias("cost"))
+    )
+    costs = {(dim, 0): float(n) * (n + window) for dim, n in sizes.items()}
+    for r in leading.collect():
+        costs[r["dim"], r["depth"]] = r["cost"] / PILOT_PASSES * passes_for(r["depth"], same)
+    best = {dim: min(range(HASHES + 1), key=lambda h: costs[dim, h]) for dim in sizes}
+    return {dim: (depth, passes_for(depth, same)) for dim, depth in best.items()}
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -97,130 +143,69 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-class _Block:
-    def __init__(self, rows: pd.DataFrame):
-        self.node = rows["node"].to_numpy()
-        self.copies = rows["copies"].to_numpy()
-        self.blocks = np.stack(rows["blocks"].to_numpy())
-        self.dims = rows["x"].map(len).to_numpy()
-        self.unit = {}
-        for dim in np.unique(self.dims):
-            at = np.flatnonzero(self.dims == dim)
-            x = np.stack(rows["x"].to_numpy()[at]).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            self.unit[dim] = (at, x / np.linalg.norm(x, axis=1, keepdims=True))
-
-
-def _pairs(a: _Block, b: _Block, least: float, nth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and b that link and that no pass before the nth has compared."""
-    found = [np.zeros((0, 2), dtype=np.int64)]
-    for dim, (at, unit) in a.unit.items():
-        if dim not in b.unit:
-            continue
-        to, other = b.unit[dim]
-        i, j = np.nonzero(unit @ other.T >= least)
-        if a is b:
-            i, j = i[i < j], j[i < j]
-        i, j = at[i], to[j]
-        for p in range(nth):
-            new = np.abs(a.blocks[i, p] - b.blocks[j, p]) > 1
-            i, j = i[new], j[new]
-        found.append(np.stack([i, j], axis=1))
-    both = np.concatenate(found)
-    return both[:, 0], both[:, 1]
-
-
-def _compare(least: float):
-    """Streams rows sorted by (pass, run, block); keeps the block before the current one."""
-
-    def links(a: _Block | None, b: _Block, nth: int, first: bool) -> pd.DataFrame:
-        i, j = _pairs(b, b, least, nth) if not first else (np.zeros(0, int), np.zeros(0, int))
-        blocks = [b]
-        if a is not None:
-            blocks = [a, b]
-            k, m = _pairs(a, b, least, nth)
-            shift = len(a.node)
-            i, j = np.concatenate([i + shift, k]), np.concatenate([j + shift, m + shift])
-        node = np.concatenate([x.node for x in blocks])
-        copies = np.concatenate([x.copies for x in blocks])
-        links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-        root = _forest(len(node), i, j) if len(i) else np.arange(len(node))
-        hit = links > 0
-        return pd.DataFrame(
-            {
-                "node": node[hit], "root": node[root[hit]],
-                "links": np.rint(links[hit]).astype(np.int64),
-            }
-        )
+def _compare(least: float, group: list[str], count: bool):
+    """Streams rows sorted by group and own block: links counted per node, or a forest's edges."""
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        node, own = rows["node"].to_numpy(), rows["own"].to_numpy()
+        x = np.stack(rows["x"].to_numpy()).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        # rows of one block meet in that block's own group
+        start = int(np.searchsorted(own, high)) if low < high else 0
+        stop = start if low < high else len(x)
+        i, j = np.nonzero(x[:stop] @ x[start:].T >= least)
+        j = j + start
+        i, j = i[i < j], j[i < j]
+        if count:
+            copies = rows["copies"].to_numpy()
+            links = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
+            links = np.rint(links).astype(np.int64)
+            return pd.DataFrame({"node": node[links > 0], "links": links[links > 0]})
+        root = _forest(len(x), i, j) if len(i) else np.arange(len(x))
+        hit = root != np.arange(len(x))
+        return pd.DataFrame({"node": node[hit], "root": node[root[hit]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows, before = None, [], None
-
-        def close(last, now):
-            block = _Block(pd.concat(now))
-            nth, _, number, carried = key
-            near = last if last and last[0] == (nth, key[1], number - 1) else None
-            out = links(near[1] if near else None, block, nth, carried)
-            return ((nth, key[1], number), block), out
-
+        left = None
         for batch in batches:
-            keys = list(zip(batch["pass"], batch["run"], batch["block"], batch["carried"]))
-            cut = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
-            for start, stop in zip([0, *cut], [*cut, len(keys)]):
-                if start == stop:
-                    continue
-                if keys[start] != key and rows:
-                    before, out = close(before, rows)
-                    rows = []
-                    yield out
-                key = keys[start]
-                rows.append(batch.iloc[start:stop])
-        if rows:
-            yield close(before, rows)[1]
+            if left is not None:
+                batch = pd.concat([left, batch], ignore_index=True)
+            keys = batch[group].to_numpy()
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            starts = [0, *cut.tolist()]
+            for start, stop in zip(starts, starts[1:]):
+                if stop - start > 1:
+                    yield meet(batch.iloc[start:stop])
+            # the last group may go on in the next batch
+            left = batch.iloc[starts[-1]:]
+        if left is not None and len(left) > 1:
+            yield meet(left)
 
     return run
 
 
-def passes_for(n: int, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes that find a pair at the threshold among n vectors with a chance of `recall`."""
-    hashes = max(1.0, math.log(max(n / window, 1)) / math.log(2 * AXES))
-    return max(MIN_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - SAME_HASH**hashes)))
-
-
-def _links(nodes: DataFrame, n: int, least: float, window: int) -> DataFrame:
-    """(node, root, links) per block; links between nodes count the copies of the other."""
-    passes = passes_for(n, window)
-    width = partitions(nodes)
-    order = ["dim", "pass", "code", "node"]
-    coded = materialise(
-        nodes.mapInPandas(_codes(passes), "dim int, pass int, code long, node long")
-    )
-    placed = materialise(
-        coded.repartitionByRange(width, *order).sortWithinPartitions(*order)
-        .mapInPandas(_number, "node long, pass int, part int, place long")
-    )
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    block = F.floor((F.col("place") + F.col("before")) / window).cast("long")
-    blocks = (
-        placed.join(offsets, "part")
-        .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("pass", block.alias("block")))).alias("b"))
-        .select("node", F.col("b.block").alias("blocks"))
-    )
-    rows = nodes.join(blocks, "node").select(
-        "node", "copies", "x", "blocks", F.posexplode("blocks").alias("pass", "block")
+def _meet(
+    nodes: DataFrame, members: DataFrame, key: list[str], least: float, window: int, count: bool
+) -> DataFrame:
+    """All pairs of nodes with the same key compared, in groups of at most two blocks."""
+    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / window).cast("int").alias("blocks")
+    rows = members.join(materialise(sizes.select(*key, blocks)), key).join(nodes, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # a block meets every block, itself included
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other).select(
+        *key, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "own", "node", "copies", "x",
     )
-    # a run of blocks is one task's work; its last block is carried to the next run
-    run = F.floor(F.col("block") / RUN_BLOCKS).cast("long")
-    carry = F.col("block") % RUN_BLOCKS == RUN_BLOCKS - 1
-    runs = F.when(carry, F.array(run, run + 1)).otherwise(F.array(run))
-    rows = rows.withColumn("run", F.explode(runs)).withColumn("carried", F.col("run") > run)
+    group = [*key, "low", "high"]
+    out = "node long, links long" if count else "node long, root long"
     return (
-        rows.repartition(width, "pass", "run")
-        .sortWithinPartitions("pass", "run", "block")
-        .mapInPandas(_compare(least), "node long, root long, links long")
+        rows.repartition(partitions(nodes), *group)
+        .sortWithinPartitions(*group, "own")
+        .mapInPandas(_compare(least, group, count), out)
     )
 
 
@@ -240,10 +225,12 @@ def near_copies(vectors: DataFrame, least: float = 0.95, window: int = WINDOW) -
             F.first("x").alias("x"),
         )
     )
-    n = nodes.count()
-    links = materialise(_links(nodes.select("node", "copies", "x"), n, least, window))
-    edges = links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(edges)
+    coded = materialise(_coded(nodes, _plan(nodes, least, window)))
+    seen = nodes.select("node", "copies", "x")
+    edges = _meet(seen, coded, ["dim", "pass", "code"], least, window, count=False)
+    edges = materialise(edges.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = materialise(components(edges))
+    links = materialise(_meet(seen, roots, ["root"], least, window, count=True))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = (
         nodes.drop("x").join(roots, "node", "left").join(counts, "node", "left")

@@ -136,6 +136,31 @@ def test_near_vectors_recall_with_small_windows(spark):
     assert found >= 0.95 * 3000
 
 
+def test_near_vectors_recall_among_similar_ones(spark):
+    """A third of all vectors with a mutual cosine of 0.85 holds the pairs: full cells lose none."""
+    rng = np.random.default_rng(5)
+
+    def units(n):
+        x = rng.standard_normal((n, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    hot = math.sqrt(0.85) * units(1) + math.sqrt(0.15) * units(2700)
+    hot /= np.linalg.norm(hot, axis=1, keepdims=True)
+    side = units(300)
+    side -= (side * hot[:300]).sum(axis=1, keepdims=True) * hot[:300]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.955 * hot[:300] + math.sqrt(1 - 0.955**2) * side
+    rows = np.concatenate([hot, near, units(6000)])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], VECTORS)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_copies(df, window=16).collect()}
+    found = sum(got[i]["component_id"] == got[2700 + i]["component_id"] for i in range(300))
+    assert found >= 0.9 * 300
+
+
+def test_same_hash():
+    assert 0.58 < embedding_dedup.same_hash(0.95) < 0.61
+
+
 def best_of(rows, k, queries):
     ints = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows
             if v and all(x is not None and math.isfinite(x) for x in v)]
