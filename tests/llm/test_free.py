@@ -157,6 +157,12 @@ def test_near_vectors_recall_among_similar_ones(spark):
     assert found >= 0.9 * 300
 
 
+def test_near_vectors_all_links_of_large_groups(spark):
+    """Different vectors that are all near each other, in a group of many blocks."""
+    rng = np.random.default_rng(6)
+    check_vectors(spark, list(enumerate(near_vectors(rng, 2, 300, 32, 0.1))), window=16)
+
+
 def test_same_hash():
     assert 0.58 < embedding_dedup.same_hash(0.95) < 0.61
 
