@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from areascope.operators.design import bin_edges, bin_number
 from areascope.operators.gram import Sums, fit_ridge, gram
+from areascope.session import materialise
 
 
 def fit_predict(
@@ -85,8 +86,10 @@ def _gbt(df, features, y, train, out, trees, step, depth, min_leaf, seed):
     ]
     marks = [F.col(c).isNull().cast("double") for c in features]
     x = array_to_vector(F.array(*filled, *marks)).alias("__x")
+    # every tree reads the rows again; the shared folder also cuts the lineage of many trees
+    rows = materialise(rows.select(x, F.col(y).cast("double").alias(y)))
     model = GBTRegressor(
         featuresCol="__x", labelCol=y, predictionCol=out, maxIter=trees, stepSize=step,
         maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
-    ).fit(rows.select(x, F.col(y).cast("double").alias(y)))
+    ).fit(rows)
     return model.transform(df.withColumn("__x", x)).drop("__x")

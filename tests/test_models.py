@@ -216,6 +216,25 @@ def test_bins_and_trees(spark, areas):
         fit_predict(wide, ["idx"], "y1", "train", "other")
 
 
+def test_boosted_fit_is_not_cut(spark, monkeypatch):
+    """The registered query fits the reference's 300 trees at a step of 0.05."""
+    from inspect import signature
+
+    from areascope.queries import models
+
+    used = {}
+
+    def record(df, *args, **more):
+        call = signature(fit_predict).bind(df, *args, **more)
+        call.apply_defaults()
+        used.update(call.arguments)
+        return df.withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(models, "fit_predict", record)
+    models.boosted_fit(spark, "/root/testdata/sf0.001")
+    assert (used["learner"], used["trees"], used["step"]) == ("gbt", 300, 0.05)
+
+
 def test_pca(spark, areas, tmp_path):
     df, x, *_ = areas
     holes = df.select("id", F.when(F.col("id") == 5, F.array(*[F.lit(None).cast("double")] * DIMS))
