@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +59,13 @@ def design(
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.avg(known(F.col(c))).alias(f"m_{c}") for c in plain]
     aggs += [F.stddev_pop(known(F.col(c))).alias(f"s_{c}") for c in plain]
+    if vector:
+        raw = F.transform(F.slice(F.col(vector[0]).cast("array<double>"), 1, dims), known)
+        aggs += _place_sums(raw, dims)
     fitted = df if train is None else df.where(train)
-    stats = fitted.agg(*aggs).first()
+    # grouped by a constant, no rows give no row: vector statistics need one row at least
+    stats = fitted.groupBy(F.lit("all")).agg(*aggs).first()
+    stats = stats.asDict() if stats else defaultdict(lambda: None, rows=0)
     edges = _all_edges(fitted, list(binned.values()), bins, stats["rows"])
 
     def scaled(c: Column, mean: float | None, std: float | None) -> Column:
@@ -67,10 +76,9 @@ def design(
         return (filled - F.lit(mean)) / F.lit(std if std else 1.0)
 
     if vector:
-        raw = F.transform(F.slice(F.col(vector[0]).cast("array<double>"), 1, dims), known)
-        at = _element_stats(fitted, raw)
-        means = double_array([at[i][0] if i in at else 0.0 for i in range(dims)])
-        stds = double_array([at[i][1] or 1.0 if i in at else 1.0 for i in range(dims)])
+        places = _place_stats(stats, dims)
+        means = double_array([mean for mean, _ in places])
+        stds = double_array([std or 1.0 for _, std in places])
         # a missing or short vector is filled up, too
         filled = F.zip_with(
             F.coalesce(raw, F.array().cast("array<double>")), means, lambda e, m: F.coalesce(e, m)
@@ -102,14 +110,34 @@ def known(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _element_stats(df: DataFrame, v: Column) -> dict[int, tuple[float, float]]:
-    """Mean and population std at each place of a vector, missing elements skipped; places
-    without any value are left out. One row per place comes to the driver."""
-    rows = (
-        df.select(F.posexplode(v).alias("i", "e")).where("e IS NOT NULL").groupBy("i")
-        .agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("std")).collect()
-    )
-    return {r["i"]: (r["mean"], r["std"]) for r in rows}
+def _place_sums(v: Column, dims: int) -> list[Column]:
+    """Aggregates of every place of a vector in the pass that all other statistics share."""
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    have = F.coalesce(v, F.array().cast("array<double>"))
+    filled = F.zip_with(have, zeros, lambda e, z: F.coalesce(e, z))
+    there = F.zip_with(have, zeros, lambda e, z: F.when(e.isNull(), 0.0).otherwise(1.0))
+    both = Summarizer.metrics("mean", "variance").summary(array_to_vector(filled))
+    return [
+        both.alias("__vector"),
+        Summarizer.sum(array_to_vector(there)).alias("__known"),
+    ]
+
+
+def _place_stats(stats: dict, dims: int) -> list[tuple[float, float]]:
+    """Mean and population std of the known elements at each place.
+
+    The sums hold a zero for every missing element; these are taken out again. A place without
+    any value has mean and std 0.
+    """
+    n = stats["rows"]
+    if n == 0:
+        return [(0.0, 0.0)] * dims
+    mean, spread = stats["__vector"]["mean"].toArray(), stats["__vector"]["variance"].toArray()
+    k = stats["__known"].toArray()
+    known_mean = mean * n / np.maximum(k, 1)
+    squares = spread * (n - 1) - k * (known_mean - mean) ** 2 - (n - k) * mean**2
+    std = np.sqrt(np.maximum(squares, 0.0) / np.maximum(k, 1))
+    return list(zip(known_mean.tolist(), std.tolist(), strict=True))
 
 
 def _all_edges(

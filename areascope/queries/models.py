@@ -195,14 +195,14 @@ def cv_r2_line(spark, d):
 @query(f"""
 WITH {FOLD5_SQL}
 SELECT outcome, round(avg(r2), 5) AS r2_mean, round(stddev_pop(r2), 5) AS r2_std
-FROM sc WHERE fold < 4 GROUP BY 1
+FROM sc GROUP BY 1
 """)
 def fold_means(spark, d):
     """Mean and spread over folds."""
     areas = row_folds(area_table(spark, d), "area", 5, 42)
     rows, layout = design(areas, ["fold"], OUTCOMES, numeric={"price": ["mean_price"]})
     scores = sweeps.fold_scores(rows, layout, [LINE])
-    return rounded(fold_summary(scores.where("fold < 4"), ["outcome"], "r2"), 5)
+    return rounded(fold_summary(scores, ["outcome"], "r2"), 5)
 
 
 BINS_SQL = f"""
@@ -225,7 +225,7 @@ pred AS (SELECT m.*, coalesce(p, o) AS p, n_train FROM marked m
 WITH {BINS_SQL}
 SELECT outcome, model, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2,
        n_train, count(*) AS n_test
-FROM pred GROUP BY outcome, model, n_train
+FROM pred GROUP BY outcome, model, n_train HAVING n_train >= 100 AND count(*) >= 50
 """)
 def compare_index_bins(spark, d):
     """Two indices, each as a step function, compared on held-out states."""
@@ -253,7 +253,8 @@ line AS (SELECT outcome, regr_slope(res, n_orders) AS b, regr_intercept(res, n_o
 s AS (SELECT outcome, n_train, count(*) AS n_test,
              1 - sum(res ** 2) / (var_pop(y) * count(*)) AS r2_index,
              1 - sum((res - a - b * n_orders) ** 2) / (var_pop(res) * count(*)) AS r2_residual
-      FROM res JOIN line USING (outcome) WHERE test GROUP BY 1, 2)
+      FROM res JOIN line USING (outcome) WHERE test GROUP BY 1, 2
+      HAVING n_train >= 100 AND count(*) >= 50)
 SELECT 'price' AS "index", outcome, round(r2_index, 5) AS r2_index, round(r2_residual, 5) AS r2_residual,
        round(greatest(0, r2_residual) * greatest(0, 1 - r2_index), 5) AS additional_var, n_train, n_test
 FROM s
