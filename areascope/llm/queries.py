@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope.llm import (
-    embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, topk,
+    conversation_repair, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, topk,
     toxicity, url_filter,
 )
 from areascope.llm.url_filter import Rule
@@ -218,3 +218,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations with their faults, the cheapest edits and the repaired text's hash."""
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repaired_hashes(damaged, "times")
