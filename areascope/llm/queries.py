@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope.llm import (
-    conversation_repair, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, topk,
+    collocations, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, topk,
     toxicity, url_filter,
 )
 from areascope.llm.url_filter import Rule
@@ -225,3 +225,52 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations with their faults, the cheapest edits and the repaired text's hash."""
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
     return conversation_repair.repaired_hashes(damaged, "times")
+
+
+PHRASE_BREAK = r"[.,;:!?\x0A-\x0D]"
+
+
+@query(
+    f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '{PHRASE_BREAK}'))
+                   AS piece
+        FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+    grams AS (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f
+          WHERE k >= 2 AND f >= 30),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r,
+               ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+        FROM c, (SELECT unnest([1, 2, 3]) AS j)
+        JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(w[1:j], ' ')
+        JOIN f r ON r.lang = c.lang AND r.k = c.k - j
+                AND r.phrase = array_to_string(w[j + 1:], ' ')
+        WHERE j < c.k),
+    best AS (
+        SELECT * FROM cuts
+        QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    inside AS (
+        SELECT DISTINCT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+        FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i)
+        WHERE m < k AND i + m - 1 <= k),
+    longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+    ranked AS (
+        SELECT best.*, row_number() OVER (
+                   PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+        FROM best LEFT JOIN longer USING (lang, phrase)
+        WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang)
+    WHERE rank <= 2000
+    """
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words belong together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))

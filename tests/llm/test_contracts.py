@@ -45,6 +45,11 @@ COLUMNS = {
     ],
     "op9_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op3_toxicity": ["doc_id", "toxic", "score"],
+    "op11_conversation_repair": [
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        "repaired_sha256",
+    ],
+    "op12_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op10_quality": ["doc_id", "lang", "n_bytes", "log_p", "perplexity", "threshold", "kept"],
 }
 
