@@ -246,14 +246,16 @@ PHRASE_BREAK = r"[.,;:!?\x0A-\x0D]"
     n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f
           WHERE k >= 2 AND f >= 30),
+    parts AS (
+        SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head,
+               array_to_string(w[j + 1:], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+    common AS (SELECT lang, phrase, f FROM f WHERE f >= 30),
     cuts AS (
-        SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r,
-               ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
-        FROM c, (SELECT unnest([1, 2, 3]) AS j)
-        JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(w[1:j], ' ')
-        JOIN f r ON r.lang = c.lang AND r.k = c.k - j
-                AND r.phrase = array_to_string(w[j + 1:], ' ')
-        WHERE j < c.k),
+        SELECT p.lang, p.phrase, p.a, j, l.f AS l, r.f AS r,
+               ((2000000::HUGEINT * p.a) // (l.f + r.f))::BIGINT AS score
+        FROM parts p JOIN common l ON l.lang = p.lang AND l.phrase = head
+        JOIN common r ON r.lang = p.lang AND r.phrase = tail),
     best AS (
         SELECT * FROM cuts
         QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
