@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope.llm import (
-    collocations, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, topk,
+    collocations, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, personal_data, quality, topk,
     toxicity, url_filter,
 )
 from areascope.llm.url_filter import Rule
@@ -276,3 +276,10 @@ PHRASE_BREAK = r"[.,;:!?\x0A-\x0D]"
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 phrases of each language whose words belong together most."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: exact patterns, and what the random field adds."""
+    model = personal_data.fit(personal_data.labelled_table(spark))
+    return personal_data.find(table(spark, sf_dir, "documents"), model)

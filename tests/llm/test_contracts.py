@@ -50,6 +50,9 @@ COLUMNS = {
         "repaired_sha256",
     ],
     "op12_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op13_personal_data": [
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans",
+    ],
     "op10_quality": ["doc_id", "lang", "n_bytes", "log_p", "perplexity", "threshold", "kept"],
 }
 
