@@ -61,9 +61,13 @@ COLUMNS = {
 def test_columns(spark, name):
     df = QUERIES[name](spark, FOLDER)
     assert df.columns[: len(COLUMNS[name])] == COLUMNS[name]
-    source = "embeddings" if name.startswith("op4") else "documents"
-    rows = spark.read.parquet(f"{FOLDER}/{source}.parquet").count()
-    assert df.count() >= rows
+    if name.startswith("op12"):
+        return  # has its SQL
+    source = {"op4": "embeddings", "op11": "conversations"}.get(name.split("_")[0], "documents")
+    rows = spark.read.parquet(f"{FOLDER}/{source}.parquet")
+    if source == "conversations":
+        rows = rows.select("conv_id").distinct()
+    assert df.count() >= rows.count()
 
 
 def test_pipeline_stages(spark, tmp_path):
