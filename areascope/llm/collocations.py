@@ -1,10 +1,11 @@
 """Phrases whose words belong together, counted by broadcast double-array tries.
 
 Candidates are found level by level, as in Apriori: a phrase of k words can only be frequent where both
-phrases of k - 1 words in it are. A pass over the texts proposes the phrases of k words whose two
-parts pass a Bloom filter of the frequent phrases before (at most 8 MB however many there are; a full
-filter only proposes more), and Spark adds up the proposals by their text. What stays is small, and
-no pair is made that no text holds.
+phrases of k - 1 words in it are. A pass over the texts counts the phrases of k words by a 64-bit hash,
+where the hashes of both parts pass a Bloom filter of the frequent ones before (at most 8 MB however
+many there are; a full filter only lets more through). Equal hashes only add up, so no frequent phrase is
+lost, and no pair is made that no text holds. One more pass lists the texts of what stays. Texts are dealt
+into slots by their CRC-32, and a phrase is listed from the least slot that has it, so few tasks list it.
 
 Then the tries count. Phrases are dealt over shards of at most `SHARD_BYTES` bytes of phrases, so a trie
 has at most that many nodes. Tasks lower the texts of a chunk, and the trie moves the states of all
@@ -18,14 +19,16 @@ and a limited window per language.
 Defined results: a missing text is empty, a missing lang is `und`, together with the lang of that
 name; repeated rows count each. Texts of any length are read whole: longer than a chunk, they are cut
 where pieces end. Other columns are ignored, whatever their names. An empty table gives an empty
-result. Ties in the ranking are broken by count, then by the bytes of the phrase. Inside one chunk
-proposals are told apart by 64-bit hashes; the counts are not.
+result. Ties in the ranking are broken by count, then by the bytes of the phrase. Only where candidates are
+listed does a hash stand for its text, inside one chunk; the counts are of texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areascope.llm.sketch import id_filter, may_hold, mix
+from areascope.llm.sketch import mix
+from areascope.llm.text import partitions
 from areascope.session import materialise
 
 LONGEST = 4
-CHUNK_BYTES = 2 << 20
-SHARD_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+SHARD_BYTES = 12 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
+SLOTS = 1 << 12
+SLICE = 1 << 12  # counts that move together
 
 SPACE, BREAK = 1, 2
 CLASS = np.zeros(256, dtype=np.uint8)
@@ -70,6 +76,7 @@ class Chunk:
         self.bytes = low[word]
         self.size = ends - starts
         self.starts = np.cumsum(self.size + 1) - self.size - 1
+        self.slots = np.array([zlib.crc32(t) % SLOTS for t in texts], dtype=np.int32)
         text_starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
         self.names, codes = np.unique(np.array(langs, dtype=object), return_inverse=True)
         self.text = np.searchsorted(text_starts, starts, side="right") - 1
@@ -141,50 +148,135 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Chunk]:
         yield Chunk(texts, langs)
 
 
-PROPOSAL = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+HELD = 1 << 20  # hashes that a task holds before it adds them up and hands them on
+FILTER_WORDS = 1 << 20
 
 
-def _proposals(k: int, known, limit: int):
-    """Distinct phrases of k words of each chunk whose parts may be frequent. Of single words, also
-    the number of all words of a language, under the empty phrase."""
+def _word_and_bits(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a filter that a hash belongs to, and its four bits there."""
+    one, bits = np.uint64(1), np.zeros(len(hashes), dtype=np.uint64)
+    for shift in (0, 6, 12, 18):
+        bits |= one << ((hashes >> np.uint64(shift)) & np.uint64(63))
+    return ((hashes >> np.uint64(24)) % np.uint64(words)).astype(np.int64), bits
+
+
+def _passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at, bits = _word_and_bits(hashes, len(words))
+    return (words[at] & bits) == bits
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the one column of longs, 16 bits each, at most 8 MB."""
+    size = min(FILTER_WORDS, max(16, -(-hashes.count() // 4)))
+    name = hashes.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = _word_and_bits(batch.column(name).to_numpy().view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    words = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = words.toArrow()  # at most FILTER_WORDS rows
+    out = np.zeros(size, dtype=np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _hash_counts(k: int, parts, limit: int):
+    """Counts by hash of the phrases of k words whose two parts pass the filter, and their least slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for chunk in _chunks(batches, limit):
             words = chunk.hashes()
             grams, there = chunk.grams(words, k)
-            if k > 1:
-                parts, whole = chunk.grams(words, k - 1)
-                hold = np.zeros(len(parts) + 1, dtype=bool)
-                hold[:-1][whole] = may_hold(known.value, parts[whole].view(np.int64))
+            if parts is not None:
+                before, _ = chunk.grams(words, k - 1)
+                hold = np.append(_passes(parts.value, before), False)
                 there = there & hold[:-1] & hold[1:]
-            else:
-                total = np.bincount(chunk.lang, minlength=len(chunk.names))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(chunk.names, pa.string()), pa.array([""] * len(total)), pa.array(total)],
-                    schema=PROPOSAL,
-                )
-            at = np.flatnonzero(there)
-            _, first, n = np.unique(grams[at], return_index=True, return_counts=True)
-            at = at[first]
-            langs = pa.array(chunk.names, pa.string()).take(pa.array(chunk.lang[at]))
+            slots = chunk.slots[chunk.text]
+            held.append(_added([(grams[there], np.ones(int(there.sum()), dtype=np.int64), slots[there])]))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_added(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield _hash_batch(*held[0])
+                    held, size = [], 0
+        if held:
+            yield _hash_batch(*_added(held))
+
+    return run
+
+
+def _added(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal hashes added up, and their least slot."""
+    hashes, counts, slots = (np.concatenate(part) for part in zip(*held, strict=True))
+    if not len(hashes):
+        return hashes, counts, slots
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return (
+        hashes[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(slots[order], first)
+    )
+
+
+def _hash_batch(hashes: np.ndarray, counts: np.ndarray, slots: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(hashes.view(np.int64)), pa.array(counts), pa.array(slots)], names=["hash", "n", "slot"]
+    )
+
+
+def _in_slot(hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return mix(hashes + slots.astype(np.uint64) * ODD)
+
+
+LISTED = pa.schema(
+    [("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())]
+)
+
+
+def _list(filters: list, limit: int):
+    """Phrases of each chunk that pass the filters of their length, alone and with their slot; the
+    number of all words of a language is with the phrase of no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, limit):
+            names, size = pa.array(chunk.names, pa.string()), len(chunk.names)
+            total = np.bincount(chunk.lang, minlength=size)
             yield pa.RecordBatch.from_arrays(
-                [langs, chunk.phrases(at, k), pa.array(n, pa.int64())], schema=PROPOSAL
+                [names, pa.array([""] * size), pa.array([0] * size, pa.int32()), pa.array(total)],
+                schema=LISTED,
             )
+            words, slots = chunk.hashes(), chunk.slots[chunk.text]
+            for k, (heavy, keyed) in enumerate(filters, 1):
+                grams, there = chunk.grams(words, k)
+                at = np.flatnonzero(there)
+                at = at[_passes(heavy.value, grams[at])]
+                at = at[_passes(keyed.value, _in_slot(grams[at], slots[at]))]
+                _, first = np.unique(grams[at], return_index=True)
+                at = at[first]
+                zero = pa.array(np.zeros(len(at), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(chunk.lang[at])), chunk.phrases(at, k),
+                     pa.array(np.full(len(at), k, dtype=np.int32)), zero], schema=LISTED,
+                )
 
     return run
 
 
-def _filter(found: DataFrame, k: int):
-    """A Bloom filter of phrases of k words, shared with all tasks."""
+def _keys(counts: DataFrame) -> DataFrame:
+    """The hashes with their least slots, as `_list` looks them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, CHUNK_BYTES):
-            grams, there = chunk.grams(chunk.hashes(), k)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[there].view(np.int64))], names=["id"])
+        for batch in batches:
+            hashes, slots = (batch.column(c).to_numpy() for c in ("hash", "slot"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_in_slot(hashes.view(np.uint64), slots).view(np.int64))], names=["key"]
+            )
 
-    rows = found.select("lang", F.col("phrase").alias("text"))
-    words = id_filter(rows.mapInArrow(run, "id long"), found.count())
-    return found.sparkSession.sparkContext.broadcast(words)  # at most 8 MB
+    return counts.mapInArrow(run, "key long")
 
 
 class Trie:
@@ -197,8 +289,8 @@ class Trie:
     def __init__(self, keys: list[tuple[str, bytes]]):
         langs = sorted({lang for lang, _ in keys})
         self.roots = {lang: i for i, lang in enumerate(langs)}
-        parent, label = [np.zeros(len(langs), dtype=np.int64)], [np.zeros(len(langs), dtype=np.uint8)]
-        count, ends = len(langs), {}
+        parent, label = array("i", bytes(4 * len(langs))), bytearray(len(langs))
+        ends, keys_of = array("i"), array("i")
         path, last = [0], (None, b"")
         spaced = [(lang, phrase + b" ") for lang, phrase in keys]
         for i in sorted(range(len(keys)), key=spaced.__getitem__):
@@ -209,24 +301,27 @@ class Trie:
             else:
                 path = [self.roots[lang]]
             del path[same + 1 :]
-            new = range(count, count + len(phrase) - same)
+            new = range(len(parent), len(parent) + len(phrase) - same)
             if new:
-                parent.append(np.array([path[-1], *new[:-1]]))
-                label.append(np.frombuffer(phrase[same:], dtype=np.uint8))
+                parent.append(path[-1])
+                parent.extend(new[:-1])
+                label += phrase[same:]
                 path.extend(new)
-                count = new.stop
-            ends[path[-1]] = i
+            ends.append(path[-1])
+            keys_of.append(i)
             last = lang, phrase
-        parent, label = np.concatenate(parent), np.concatenate(label).astype(np.int64)
-        child = np.arange(len(langs), count)
-        least, most = np.full(count, 255), np.zeros(count, dtype=np.int64)
+        del spaced
+        count = len(parent)
+        parent, label = np.array(parent, dtype=np.int32), np.frombuffer(label, dtype=np.uint8).astype(np.int32)
+        child = np.arange(len(langs), count, dtype=np.int32)
+        least, most = np.full(count, 255, dtype=np.int32), np.zeros(count, dtype=np.int32)
         np.minimum.at(least, parent[child], label[child])
         np.maximum.at(most, parent[child], label[child])
         n = np.bincount(parent[child], minlength=count)
         many = np.flatnonzero(n > 1)
         width = most[many] - least[many] + 1
         offset = len(langs) + 256 + np.cumsum(width) - width
-        base = np.zeros(count, dtype=np.int64)
+        base = np.zeros(count, dtype=np.int32)
         base[many] = offset - least[many]
         wide = np.flatnonzero(n[parent] > 1)
         wide = wide[wide >= len(langs)]
@@ -237,7 +332,7 @@ class Trie:
         free = np.flatnonzero(~taken)[: len(single)]
         free = np.concatenate([free, len(taken) + np.arange(len(single) - len(free))])
         base[single] = free - least[single]
-        slot = np.arange(count)
+        slot = np.arange(count, dtype=np.int32)
         slot[child] = base[parent[child]] + label[child]
         size = int(slot.max(initial=0)) + 257
         self.base = np.zeros(size, dtype=np.int32)
@@ -245,32 +340,37 @@ class Trie:
         self.accept = np.full(size, -1, dtype=np.int32)
         self.base[slot] = base
         self.check[slot[child]] = slot[parent[child]]
-        self.accept[slot[np.array([*ends], dtype=np.int64)]] = np.array([*ends.values()], dtype=np.int64)
+        self.accept[slot[np.array(ends, dtype=np.int32)]] = np.array(keys_of, dtype=np.int32)
         self.keys = len(keys)
 
     def count(self, chunk: Chunk) -> np.ndarray:
         """How often each key occurs in the chunk."""
         codes = np.where(chunk.bytes == 10, 32, chunk.bytes).astype(np.int32)
-        root = np.array([self.roots.get(name, -1) for name in chunk.names])[chunk.lang]
-        state, at = root[root >= 0], chunk.starts[root >= 0]
+        root = np.array([self.roots.get(name, -1) for name in chunk.names], dtype=np.int32)[chunk.lang]
+        state, at = root[root >= 0], chunk.starts[root >= 0].astype(np.int32)
         accepted = []
         while len(at):
-            to = self.base[state] + codes[at]
-            good = self.check[to] == state
+            code = codes[at]
+            to = self.base[state] + code
+            good = np.flatnonzero(self.check[to] == state)
             state, at = to[good], at[good]
-            ended = codes[at] == 32
-            accepted.append(state[ended])
-            go_on = chunk.bytes[at] != 10
-            state, at = state[go_on], at[go_on] + 1
+            ended = np.flatnonzero(code[good] == 32)
+            if len(ended):
+                accepted.append(state[ended])
+                stop = ended[chunk.bytes[at[ended]] == 10]
+                state, at = np.delete(state, stop), np.delete(at, stop)
+            at += 1
         keys = self.accept[np.concatenate([np.zeros(0, dtype=np.int64), *accepted])]
         return np.bincount(keys[keys >= 0], minlength=self.keys)
 
 
 def _count(texts: DataFrame, shard: DataFrame, limit: int) -> DataFrame:
     """(id, f) of the phrases of a shard (id, lang, phrase)."""
-    rows = shard.collect()  # at most about SHARD_BYTES bytes of phrases
-    trie = Trie([(r["lang"], r["phrase"].encode()) for r in rows])
-    ids = np.array([r["id"] for r in rows], dtype=np.int64)
+    rows = shard.toArrow()  # at most about SHARD_BYTES bytes of phrases
+    langs, phrases = rows["lang"].to_pylist(), rows["phrase"].cast(pa.binary()).to_pylist()
+    trie = Trie(list(zip(langs, phrases, strict=True)))
+    ids = rows["id"].to_numpy()
+    del rows, langs, phrases
     shared = texts.sparkSession.sparkContext.broadcast((trie, ids))  # 12 bytes a node and some
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +378,25 @@ def _count(texts: DataFrame, shard: DataFrame, limit: int) -> DataFrame:
         sums = np.zeros(len(ids), dtype=np.int64)
         for chunk in _chunks(batches, limit):
             sums += trie.count(chunk)
-        some = sums > 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(sums[some])], names=["id", "f"])
+        parts = [sums[i : i + SLICE] for i in range(0, len(sums), SLICE)]
+        held = [i for i, part in enumerate(parts) if part.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int64()), pa.array([parts[i].tobytes() for i in held], pa.binary())],
+            names=["slice", "counts"],
+        )
 
-    sums = texts.mapInArrow(run, "id long, f long").groupBy("id").agg(F.sum("f").alias("f"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sums = shared.value[1], {}
+        for batch in batches:
+            for number, counts in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+                sums[number] = sums.get(number, 0) + np.frombuffer(counts.as_py(), dtype=np.int64)
+        for number, counts in sums.items():
+            own = ids[number * SLICE : number * SLICE + SLICE][counts > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[counts > 0])], names=["id", "f"])
+
+    # a row for every SLICE counts, not for every phrase
+    sliced = texts.mapInArrow(run, "slice long, counts binary").repartition(partitions(texts), "slice")
+    sums = sliced.mapInArrow(add, "id long, f long")
     out = materialise(sums)
     shared.unpersist()
     return out
@@ -296,22 +411,19 @@ def frequent_phrases(
     texts = docs.select(
         F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
-    schema, levels, known, totals = "lang string, phrase string, n long", [], None, None
+    spark, parts, filters = docs.sparkSession, None, []
     for k in range(1, longest + 1):
-        proposed = texts.mapInArrow(_proposals(k, known, chunk_bytes), schema)
-        sums = proposed.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        found = materialise(sums.where((F.col("n") >= least) | (F.col("phrase") == "")))
-        if k == 1:
-            totals = found.where("phrase = ''").select("lang", "n")
-            found = found.where("phrase <> ''")
-        levels.append(found.select("lang", "phrase", F.lit(k).alias("words")))
-        if known:
-            known.unpersist()
-        known = _filter(found, k) if k < longest else None
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    every = materialise(every.withColumn("id", F.monotonically_increasing_id()))
+        counts = texts.mapInArrow(_hash_counts(k, parts, chunk_bytes), "hash long, n long, slot int")
+        sums = counts.groupBy("hash").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"))
+        heavy = materialise(sums.where(F.col("n") >= least).select("hash", "slot"))
+        parts = spark.sparkContext.broadcast(_filter(heavy.select("hash")))  # at most 8 MB
+        filters.append((parts, spark.sparkContext.broadcast(_filter(_keys(heavy)))))
+    schema = "lang string, phrase string, words int, n long"
+    listed = texts.mapInArrow(_list(filters, chunk_bytes), schema)
+    listed = materialise(listed.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
+    totals = listed.where("words = 0").select("lang", "n")
+    phrases = listed.where("words > 0").select("lang", "phrase", "words")
+    every = materialise(phrases.withColumn("id", F.monotonically_increasing_id()))
     size = every.agg(F.sum(F.octet_length("phrase") + 1)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards))
