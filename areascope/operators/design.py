@@ -36,7 +36,7 @@ class Layout:
 def design(
     df: DataFrame, keep: list[str], outcomes: list[str], vector: tuple[str, int] | None = None,
     numeric: dict[str, list[str]] | None = None, binned: dict[str, str] | None = None,
-    bins: int = 32, scale: bool = True, train: str | None = None,
+    bins: int = 32, scale: bool = True, train: str | None = None, missing: str = "fill",
 ) -> tuple[DataFrame, Layout]:
     """Rows (keep..., x, y) and the layout of x.
 
@@ -47,10 +47,13 @@ def design(
     percentiles into 0/1 marks, missing values in a mark of their own (a tree on one feature
     is such a step function). With `scale`, vector and numeric features are centred and
     divided by their population std, so a penalty treats a 0-1 and a square-metre column alike.
+    With `missing="keep"` vector and numeric features stay as they are, without marks, as trees take them.
     `train` is the condition of the rows that means, stds and edges are taken from (all by default). Only these
     few numbers per feature come to the driver.
     """
     numeric, binned = numeric or {}, binned or {}
+    if missing == "keep":
+        return _plain_design(df, keep, outcomes, vector, numeric)
     plain = [c for cols in numeric.values() for c in cols]
     parts: list[Column] = []
     layout = Layout(outcomes)
@@ -104,6 +107,21 @@ def design(
     return df.select(*keep, x.alias("x"), y.alias("y")), layout
 
 
+def _plain_design(df, keep, outcomes, vector, numeric) -> tuple[DataFrame, Layout]:
+    """Features as they are, missing ones null."""
+    parts, layout = [], Layout(outcomes)
+    if vector:
+        have = F.coalesce(F.col(vector[0]).cast("array<double>"), F.array().cast("array<double>"))
+        empty = F.array_repeat(F.lit(None).cast("double"), vector[1])
+        parts.append(F.zip_with(F.slice(have, 1, vector[1]), empty, lambda e, _: known(e)))
+        layout.add("vector", vector[1])
+    for name, cols in numeric.items():
+        parts.append(F.array(*[known(F.col(c)) for c in cols]))
+        layout.add(name, len(cols))
+    y = F.array(*[known(F.col(o)) for o in outcomes])
+    return df.select(*keep, F.concat(*parts).alias("x"), y.alias("y")), layout
+
+
 def known(c: Column) -> Column:
     """The value as a double, NaN as null."""
     value = c.cast("double")

@@ -1,13 +1,14 @@
 """Model sweeps: every outcome, predictor set, fold and group from one pass over the rows.
 
 A model is named by its feature blocks and a learner: "ridge" on any blocks, "bins" on one
-binned block. All fits are solved from the sums of `gram`; the rows are read once however many
-models there are.
+binned block. Their fits are solved from the sums of `gram`; the rows are read once however many
+models there are. "gbt" is boosted trees on any blocks (`boosting`), a few passes a tree for all
+models that share their settings; give it a design with `missing="keep"`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areascope.functions.scalars import additional_var
+from areascope.operators.boosting import Fit, binned, boost, boosted_scores, residuals, scores
 from areascope.operators.design import Layout
 from areascope.operators.gram import BASE, Sums, fit_bins, fit_ridge, gram, score
 from areascope.operators.joins import lookup_join
@@ -32,6 +34,9 @@ class Model:
     blocks: tuple[str, ...]
     learner: str = "ridge"
     alpha: float = 1.0
+    trees: int = 300
+    step: float = 0.05
+    leaves: int = 31
 
 
 def _fit(model: Model, cols: list[int], xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
@@ -83,6 +88,35 @@ _NUMBERS = [
 ]
 
 
+def _boosted(
+    df: DataFrame, layout: Layout, models: list[Model], split: str, tests: list,
+    groups: list[str] | None = None, **least,
+) -> list[DataFrame]:
+    """Scores of the boosted models, those of equal settings together."""
+    kinds: dict[tuple, list[Model]] = {}
+    for model in models:
+        if model.learner == "gbt":
+            kinds.setdefault((model.trees, model.step, model.leaves), []).append(model)
+    return [
+        boosted_scores(
+            df, layout.outcomes, layout.p, same, [_places(layout, model) for model in same], split,
+            tests, groups, **least,
+        )
+        for same in kinds.values()
+    ]
+
+
+def _places(layout: Layout, model: Model) -> list[int]:
+    return [c - 1 for c in layout.cols(*model.blocks)]
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def fold_scores(
     df: DataFrame, layout: Layout, models: list[Model], fold: str = "fold",
     groups: list[str] | None = None, min_rows: int = 100,
@@ -90,6 +124,13 @@ def fold_scores(
     """R² of each model on each fold, fitted on the other folds: (groups..., outcome, model,
     fold, r2, n_train, n_test). Outcomes with under `min_rows` rows in a group are left out."""
     groups = list(groups or [])
+    solved = [model for model in models if model.learner != "gbt"]
+    if len(solved) < len(models):
+        folds = sorted(r[0] for r in df.select(fold).distinct().dropna().collect())
+        frames = _boosted(df, layout, models, fold, folds or [0], groups, min_rows=min_rows)
+        if solved:
+            frames.append(fold_scores(df, layout, solved, fold, groups, min_rows))
+        return _together(frames)
     p, m = layout.p, len(layout.outcomes)
     sums = gram(df, [*groups, fold], p, m)
     plan = [(model, layout.cols(*model.blocks)) for model in models]
@@ -132,6 +173,13 @@ def compare_sets(
     min_train: int = 100, min_test: int = 50,
 ) -> DataFrame:
     """R² on held-out groups per outcome and predictor set."""
+    solved = [model for model in models if model.learner != "gbt"]
+    if len(solved) < len(models):
+        least = {"min_train": min_train, "min_test": min_test}
+        frames = [f.drop(test) for f in _boosted(df, layout, models, test, [True], **least)]
+        if solved:
+            frames.append(compare_sets(df, layout, solved, test, min_train, min_test))
+        return _together(frames)
     p, m = layout.p, len(layout.outcomes)
     sums = gram(df, [test], p, m)
     plan = [(model, layout.cols(*model.blocks)) for model in models]
@@ -160,8 +208,10 @@ def residual_r2(
     """Two stages on held-out groups: outcome on an index, its residual on the vectors.
 
     A residual of a step function or a line is a combination of columns already summed, so
-    the second stage needs no second pass.
+    the second stage needs no second pass. With boosted trees, both stages are.
     """
+    if second.learner == "gbt":
+        return _boosted_residual(df, layout, indices, second, test, min_train, min_test)
     p, m = layout.p, len(layout.outcomes)
     sums = gram(df, [test], p, m)
     first = [(model, layout.cols(*model.blocks)) for model in indices]
@@ -196,6 +246,34 @@ def residual_r2(
     )
 
 
+def _boosted_residual(
+    df: DataFrame, layout: Layout, indices: list[Model], second: Model, test: str,
+    min_train: int, min_test: int,
+) -> DataFrame:
+    """Trees on an index, then trees on what they leave, for all indices and outcomes together."""
+    p, m, names = layout.p, len(layout.outcomes), layout.outcomes
+    if any(replace(i, name="", blocks=()) != replace(indices[0], name="", blocks=()) for i in indices):
+        raise ValueError("the first stages need equal settings")
+    plan = [(index, o) for index in indices for o in range(m)]
+    least = {"min_train": min_train, "min_test": min_test}
+    stage = [Fit(o, tuple(_places(layout, index)), True) for index, o in plan]
+    rows = binned(df, p, m, len(stage), [test])
+    rows = boost(rows, p, m, stage, test, None, indices[0].trees, indices[0].step, indices[0].leaves)
+    r2_index = scores(rows, [(names[o], index.name, True, o) for index, o in plan], test, [], **least)
+    left = residuals(rows, p, m, [o for _, o in plan], len(plan), [test])
+    stage = [Fit(k, tuple(_places(layout, second)), True) for k in range(len(plan))]
+    left = boost(left, p, len(plan), stage, test, None, second.trees, second.step, second.leaves)
+    named = [(names[o], index.name, True, k) for k, (index, o) in enumerate(plan)]
+    r2_left = scores(left, named, test, [], **least).withColumnRenamed("r2", "r2_residual")
+    both = r2_index.withColumnRenamed("r2", "r2_index").join(
+        r2_left.select("outcome", "model", "r2_residual"), ["outcome", "model"]
+    )
+    return both.select(
+        F.col("model").alias("index"), "outcome", "r2_index", "r2_residual", "n_train", "n_test",
+        additional_var(F.col("r2_residual"), F.col("r2_index")).alias("additional_var"),
+    )
+
+
 def sweep_by(
     df: DataFrame, layout: Layout, models: list[Model], group: str, fold: str = "fold",
     min_group: int = 50, min_rows: int = 50,

@@ -663,6 +663,56 @@ def boosted_fit(spark, d):
     return r2_score(out, "balance", "prediction", ["test"])
 
 
+SIXTY_FOURTHS = "[" + ", ".join(str(i / 64) for i in range(1, 64)) + "]"
+
+
+@query(f"""
+WITH {SPLIT_SQL},
+{long_sql("split", "area, test, n_orders, high AS other")},
+ft AS (SELECT area, test, outcome, y, 1 AS f, n_orders AS x FROM long
+       UNION ALL SELECT area, test, outcome, y, 2, other FROM long),
+ed AS (SELECT 1 AS f, unnest(quantile_disc(n_orders, {SIXTY_FOURTHS})) AS e FROM split
+       UNION SELECT 2, unnest(quantile_disc(high, {SIXTY_FOURTHS})) FROM split),
+side AS (SELECT ft.*, e, ml, CASE WHEN x IS NULL THEN ml ELSE x <= e END AS low
+         FROM ft JOIN ed USING (f), (SELECT unnest([false, true]) AS ml)),
+mean AS (SELECT outcome, avg(y) AS m, count(*) AS n_train FROM long WHERE NOT test GROUP BY 1),
+cand AS (SELECT outcome, f, e, ml, count(*) FILTER (low) AS nl, count(*) FILTER (NOT low) AS nr,
+                sum(y - m) FILTER (low) AS sl, sum(y - m) FILTER (NOT low) AS sr
+         FROM side JOIN mean USING (outcome) WHERE NOT test GROUP BY ALL),
+best AS (SELECT * FROM cand WHERE nl >= 20 AND nr >= 20
+         QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY
+             round(sl * sl / nl + sr * sr / nr - (sl + sr) * (sl + sr) / (nl + nr), 3) DESC, f, ml, e) = 1),
+pred AS (SELECT s.outcome, y, m + CASE WHEN low THEN sl / nl ELSE sr / nr END AS p, n_train
+         FROM side s JOIN best b ON s.outcome = b.outcome AND s.f = b.f AND s.e = b.e AND s.ml = b.ml
+         JOIN mean ON mean.outcome = s.outcome WHERE test)
+SELECT outcome, 'one split' AS model, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2,
+       n_train, count(*) AS n_test
+FROM pred GROUP BY outcome, n_train HAVING n_train >= 100 AND count(*) >= 50
+""")
+def tree_one_split(spark, d):
+    """The best single split of two predictors, one with missing values, on held-out states."""
+    areas = holdout(area_table(spark, d), "state").withColumn("other", F.col("high"))
+    rows, layout = design(
+        areas, ["test"], OUTCOMES, numeric={"two": ["n_orders", "other"]}, missing="keep"
+    )
+    model = Model("one split", ("two",), "gbt", trees=1, step=1.0, leaves=2)
+    return rounded(sweeps.compare_sets(rows, layout, [model]), 5)
+
+
+@query()
+def sweep_deciles_trees(spark, d):
+    """Inside-decile R2 of three indices and the vectors by boosted trees (30 at step 0.15, 16 leaves)."""
+    areas = area_decile(vector_areas(spark, d), "n_orders")
+    areas = row_folds(areas, "area", 2, 42, ["decile"])
+    blocks = {"price": ["mean_price"], "balance": ["balance"], "month": ["mean_month"]}
+    rows, layout = design(
+        areas, ["decile", "fold"], OUTCOMES, vector=("embedding", DIMS), numeric=blocks, missing="keep"
+    )
+    small = {"learner": "gbt", "trees": 30, "step": 0.15, "leaves": 16}
+    models = [*[Model(name, (name,), **small) for name in blocks], Model("emb", ("vector",), **small)]
+    return rounded(sweeps.sweep_by(rows, layout, models, "decile"), 5)
+
+
 # --- principal components -----------------------------------------------------------------
 
 
