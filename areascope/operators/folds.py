@@ -37,10 +37,13 @@ def group_folds(
     return group_folds_of(sizes, group, k, df)
 
 
-def group_folds_of(sizes: DataFrame, group: str, k: int, df: DataFrame) -> DataFrame:
-    """Folds of groups whose sizes fit one row."""
+def group_folds_of(
+    sizes: DataFrame, group: str, k: int, df: DataFrame, keys: list[str] | None = None
+) -> DataFrame:
+    """Folds of groups whose sizes fit one row (per key)."""
     kind = df.schema[group].dataType.simpleString()
-    ranked = sizes.agg(
+    keys = list(keys or [])
+    ranked = sizes.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("size", F.col(group).alias("g"))), asc=False).alias("s")
     )
     start = F.struct(
@@ -56,9 +59,8 @@ def group_folds_of(sizes: DataFrame, group: str, k: int, df: DataFrame) -> DataF
         placed = F.struct(item["g"].alias("g"), fold.alias("fold"))
         return F.struct(loads.alias("loads"), F.array_append(acc["done"], placed).alias("done"))
 
-    return ranked.select(F.explode(F.aggregate("s", start, put)["done"]).alias("d")).select(
-        F.col("d.g").alias(group), "d.fold"
-    )
+    placed = ranked.select(*keys, F.explode(F.aggregate("s", start, put)["done"]).alias("d"))
+    return placed.select(*keys, F.col("d.g").alias(group), "d.fold")
 
 
 def with_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:

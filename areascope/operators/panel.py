@@ -50,3 +50,25 @@ def trajectories(df: DataFrame, unit: str, year: str) -> DataFrame:
         .drop("__first", "__last")
         .orderBy(unit, year)
     )
+
+
+def lagged_change(
+    df: DataFrame, unit: str, year: str, vector: str, values: list[str], lag: int = 1
+) -> DataFrame:
+    """(unit, year, vector, values...): each less the unit's own `lag` years before.
+
+    A year whose earlier one is not there has no change: a gap is not bridged. Rows meet by unit and
+    year, so a unit with many years is spread over tasks. A missing element or value, or one that was
+    missing, has a missing change. Units and years have one row each.
+    """
+    before = df.select(
+        unit, (F.col(year) + lag).alias(year), F.col(vector).alias("__v"),
+        *[F.col(c).alias(f"__{i}") for i, c in enumerate(values)],
+    )
+    change = F.when(
+        F.size(vector) == F.size("__v"), F.zip_with(vector, "__v", lambda now, was: now - was)
+    )
+    return df.select(unit, year, vector, *values).join(before, [unit, year]).select(
+        unit, year, change.alias(vector),
+        *[(F.col(c) - F.col(f"__{i}")).alias(c) for i, c in enumerate(values)],
+    )

@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,10 @@ from areascope.functions.scalars import additional_var
 from areascope.operators.boosting import Fit, binned, boost, boosted_scores, residuals, scores
 from areascope.operators.design import Layout
 from areascope.operators.gram import BASE, Sums, fit_bins, fit_ridge, gram, score
+from areascope.operators.folds import MAX_GROUPS, group_folds_of
 from areascope.operators.joins import lookup_join
 from areascope.operators.stats import fold_summary, r2_score
-from areascope.session import by_key
+from areascope.session import by_key, materialise
 
 
 OUTCOMES_PER_TASK = 8
@@ -168,6 +171,56 @@ def cv_r2(
     )
 
 
+def target_folds(sums: DataFrame, group: str, k: int, p: int, m: int) -> DataFrame:
+    """(target, group, fold): groups placed largest first in the lightest fold, by each outcome's own rows.
+
+    The sizes are among the sums; as in `group_folds`, at most `MAX_GROUPS` groups are placed so.
+    """
+    counts = F.posexplode(F.slice("v", p + 2, m)).alias("target", "n")
+    sizes = sums.where((F.col("o") == BASE) & (F.col("i") == p + 2)).select(group, counts)
+    sizes = sizes.where("n > 0.5").select("target", group, F.round("n").cast("long").alias("size"))
+    if (sizes.groupBy("target").count().agg(F.max("count")).first()[0] or 0) > MAX_GROUPS:
+        raise ValueError(f"folds per target take {MAX_GROUPS} groups")
+    return group_folds_of(sizes, group, k, sums, ["target"])
+
+
+def cv_r2_per_target(
+    df: DataFrame, layout: Layout, models: list[Model], group: str, k: int = 5, min_rows: int = 100
+) -> DataFrame:
+    """Cross-validated R² as `cv_r2`, with folds of whole groups laid for each outcome on its own rows.
+
+    The rows are read once: sums are kept per group, and each outcome adds them up by its own folds.
+    Groups, not rows, are multiplied by the outcomes.
+    """
+    p, m = layout.p, len(layout.outcomes)
+    plan = [(model, layout.cols(*model.blocks)) for model in models]
+    outcomes = layout.outcomes
+    sums = materialise(gram(df, [group], p, m))
+    placed = sums.join(target_folds(sums, group, k, p, m), group)
+    total = Summarizer.sum(array_to_vector("v"))
+    folded = (
+        placed.where((F.col("o") == BASE) | (F.col("o") == F.col("target")))
+        .groupBy("target", "fold", "o", "i").agg(vector_to_array(total).alias("v"))
+    )
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        o = int(key[0])
+        parts = {f: Sums.from_rows(part, p, m).outcome(o) for f, part in rows.groupby("fold")}
+        axx, axy = sum(x[0] for x in parts.values()), sum(x[1] for x in parts.values())
+        n, out = sum(x[3] for x in parts.values()), []
+        for f, (txx, txy, tyy, n_test) in parts.items():
+            if n < min_rows or n_test in (0, n):
+                continue
+            for model, cols in plan:
+                r2 = score(txx, txy, tyy, _fit(model, cols, axx - txx, axy - txy))
+                out.append((outcomes[o], model.name, int(f), r2, n - n_test, n_test))
+        return pd.DataFrame(out, columns=fields.names)
+
+    fields = T.StructType([*_SCORE, T.StructField("fold", T.IntegerType()), *_NUMBERS])
+    scored = by_key(folded, ["target"]).groupBy("target").applyInPandas(run, fields)
+    return fold_summary(scored, ["outcome", "model"], "r2", [F.sum("n_test").alias("n")])
+
+
 def compare_sets(
     df: DataFrame, layout: Layout, models: list[Model], test: str = "test",
     min_train: int = 100, min_test: int = 50,

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areascope.operators import sweeps
+from areascope.operators.correlation import pairwise_corr
 from areascope.operators.design import design
 from areascope.operators.folds import group_folds, holdout, row_folds, with_group_folds
 from areascope.operators.learners import fit_predict
+from areascope.operators.panel import lagged_change
 from areascope.operators.projection import pca_apply, pca_fit, pca_fit_sample
 from areascope.operators.stats import area_decile, fold_summary, r2_score
 from areascope.operators.survey import pivot_unique
@@ -205,6 +207,36 @@ def fold_means(spark, d):
     return rounded(fold_summary(scores, ["outcome"], "r2"), 5)
 
 
+@query(f"""
+WITH RECURSIVE {AREA_SQL},
+{long_sql("area", "area, state, mean_price")},
+sizes AS (SELECT outcome, state AS g, count(*) AS size,
+                 row_number() OVER (PARTITION BY outcome ORDER BY count(*) DESC, state DESC) AS i
+          FROM long GROUP BY 1, 2),
+walk AS (
+  SELECT DISTINCT outcome, CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS g, CAST(NULL AS INTEGER) AS fold,
+         [0, 0, 0, 0, 0]::BIGINT[] AS loads FROM sizes
+  UNION ALL
+  SELECT s.outcome, s.i, s.g, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+         list_transform(loads, lambda v, j: CASE WHEN j = list_position(loads, list_min(loads))
+                                                 THEN v + s.size ELSE v END)
+  FROM walk w JOIN sizes s ON s.i = w.i + 1 AND s.outcome = w.outcome),
+f AS (SELECT long.*, fold FROM long JOIN walk ON g = state AND walk.outcome = long.outcome),
+fits AS (SELECT t.fold, t.outcome, regr_slope(l.y, l.mean_price) AS b, regr_intercept(l.y, l.mean_price) AS a
+         FROM (SELECT DISTINCT fold, outcome FROM f) t
+         JOIN f l ON l.outcome = t.outcome AND l.fold <> t.fold GROUP BY 1, 2),
+sc AS (SELECT f.outcome, fold, count(*) AS n, 1 - sum((y - a - b * mean_price) ** 2) / (var_pop(y) * count(*)) AS r2
+       FROM f JOIN fits USING (fold, outcome) GROUP BY 1, 2)
+SELECT outcome, 'price' AS model, round(avg(r2), 5) AS r2_mean, round(stddev_pop(r2), 5) AS r2_std,
+       CAST(sum(n) AS BIGINT) AS n
+FROM sc GROUP BY 1 HAVING sum(n) >= 100
+""")
+def cv_r2_target_folds(spark, d):
+    """Five folds of whole states, laid for each outcome on its own rows."""
+    rows, layout = design(area_table(spark, d), ["state"], OUTCOMES, numeric={"price": ["mean_price"]})
+    return rounded(sweeps.cv_r2_per_target(rows, layout, [LINE], "state"), 5)
+
+
 BINS_SQL = f"""
 {SPLIT_SQL},
 {long_sql("split", "area, test, mean_price, balance")},
@@ -713,6 +745,71 @@ def sweep_deciles_trees(spark, d):
     return rounded(sweeps.sweep_by(rows, layout, models, "decile"), 5)
 
 
+# --- associations -------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {AREA_SQL},
+va AS (SELECT area.*, embedding FROM area JOIN embeddings ON vec_id = area),
+el AS (SELECT area, CAST(i - 1 AS INTEGER) AS place, {HOLED} AS x FROM va, (SELECT unnest(range(1, 65)) AS i)),
+{long_sql("va", "area")},
+pairs AS (SELECT place, outcome AS variable, x, y FROM el JOIN long USING (area) WHERE x IS NOT NULL)
+SELECT place, variable, count(*) AS n, round(corr(x, y), 6) AS corr FROM pairs GROUP BY 1, 2
+""")
+def vector_correlations(spark, d):
+    """Every place of the vectors, with holes, against every outcome, with holes."""
+    areas = holed(vector_areas(spark, d))
+    return rounded(pairwise_corr(areas, "embedding", DIMS, OUTCOMES))
+
+
+PANEL_SQL = """
+panel AS (SELECT o_custkey AS unit, CAST(year(o_orderdate) AS INTEGER) AS year,
+                 avg(o_totalprice) AS price, avg(month(o_orderdate)) AS month,
+                 avg(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS high,
+                 CAST(count(*) AS DOUBLE) AS n_orders
+          FROM orders GROUP BY 1, 2),
+change AS (SELECT a.unit, a.year, a.price - b.price AS price, a.month - b.month AS month,
+                  a.high - b.high AS high, a.n_orders - b.n_orders AS n_orders
+           FROM panel a JOIN panel b ON a.unit = b.unit AND a.year = b.year + 1)
+"""
+
+
+def order_changes(spark, d):
+    """Change over a year of each customer's vector (price, month, price of high priority) and orders."""
+    high = F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_totalprice"))
+    panel = table(spark, d, "orders").groupBy(
+        F.col("o_custkey").alias("unit"), F.year("o_orderdate").alias("year")
+    ).agg(
+        F.array(F.avg("o_totalprice"), F.avg(F.month("o_orderdate")), F.avg(high)).alias("v"),
+        F.count(F.lit(1)).cast("double").alias("n_orders"),
+    )
+    return lagged_change(materialise(panel), "unit", "year", "v", ["n_orders"])
+
+
+@query(f"""
+WITH {PANEL_SQL}
+SELECT unit, year, round(price, 4) AS price, round(month, 4) AS month, round(high, 4) AS high, n_orders FROM change
+""")
+def lagged_changes(spark, d):
+    """Vectors and outcomes less those of the year before; years without one have no change."""
+    names = ["price", "month", "high"]
+    out = order_changes(spark, d)
+    return rounded(
+        out.select("unit", "year", *[F.col("v")[i].alias(n) for i, n in enumerate(names)], "n_orders"), 4
+    )
+
+
+@query(f"""
+WITH {PANEL_SQL}, l AS (UNPIVOT (SELECT n_orders, price, month, high FROM change) ON price, month, high
+                        INTO NAME variable VALUE x)
+SELECT CAST(CASE variable WHEN 'price' THEN 0 WHEN 'month' THEN 1 ELSE 2 END AS INTEGER) AS place,
+       'n_orders' AS variable, count(*) AS n, round(corr(x, n_orders), 6) AS corr FROM l GROUP BY l.variable
+""")
+def change_correlations(spark, d):
+    """Change of the vectors against change of the outcome."""
+    return rounded(pairwise_corr(order_changes(spark, d), "v", 3, ["n_orders"]))
+
+
 # --- principal components -----------------------------------------------------------------
 
 
