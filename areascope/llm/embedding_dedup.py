@@ -19,7 +19,8 @@ if other links join its component.
 
 Defined results: vectors that are missing, empty, zero or hold a missing or non-finite component
 link with nothing, nor do vectors of different dimensions. Repeated rows are vectors like others. A
-row without vec_id links with nothing and is kept; its component_id is missing.
+row without vec_id links with nothing and is kept; its component_id is missing. Other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ hash; each bit is one task. Every text is then read whole in one pass.
 
 Defined results: a text that is missing or has no letter is `und` with score 0. With one learned
 language it is the answer for all other texts; with none all are `und`. Repeated rows get equal
-answers. No documents give no rows.
+answers. No documents give no rows. If the learned texts don't tell the languages apart, each has
+the same score and every text is ambiguous. Other columns are carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from areascope.llm.text import packed, unpacked
 from areascope.session import materialise
 
 SAMPLE = 3000
@@ -134,7 +136,11 @@ class Model:
             return np.zeros(len(x), dtype=int), np.ones((len(x), 1))
         seen = x @ self.w[:-1] + self.w[-1]
         loss = np.logaddexp(0, -seen[:, None, :] * self.words[None])
-        distance = (loss * self.weight).sum(axis=2) / self.weight.sum() * self.words.shape[1]
+        # if no bit did better than chance, all count alike and no language is nearer than another
+        chance = not self.weight.sum() > 0
+        weight = np.ones_like(self.weight) if chance else self.weight
+        distance = (loss * weight).sum(axis=2) / weight.sum() * self.words.shape[1]
+        distance = np.zeros_like(distance) if chance else distance
         near = np.exp(distance.min(axis=1, keepdims=True) - distance)
         return distance.argmin(axis=1), near / near.sum(axis=1, keepdims=True)
 
@@ -220,8 +226,7 @@ def known_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     model = fit(docs, ~held_out(F.col("doc_id")), sample)
     found = prediction(docs.sparkSession, model, F.col("text"))
-    rows = docs.withColumn("__found", found).where(
+    rows = packed(docs, "lang", "text").withColumn("__found", found).where(
         "__found.lang_pred <> 'und' AND NOT __found.ambiguous"
     )
-    lang = F.coalesce("lang", "__found.lang_pred")
-    return rows.withColumn("lang", lang).select(*docs.columns)
+    return unpacked(rows, docs.columns, lang=F.coalesce("lang", "__found.lang_pred"))

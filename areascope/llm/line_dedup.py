@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areascope.llm.text import SPACE, lower_az, partitions
+from areascope.llm.text import SPACE, lower_az, packed, partitions, unpacked
 from areascope.session import materialise
 
 RUN = "array<struct<first:int,last:int>>"
@@ -136,8 +136,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents without the lines that another document keeps; n_chars follows the text."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    out = out.withColumn("text", F.col("__kept")).drop("__kept", "__lines", "__dropped")
+    bitmaps = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
+    out = apply_bitmaps(packed(docs, "doc_id", "text"), bitmaps)
+    changed = {"text": F.col("__kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("__kept").cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **changed)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areascope.llm.text import partitions, word_count
+from areascope.llm.text import WHOLE, packed, partitions, unpacked, word_count
 from areascope.session import materialise
 
 HASH_BITS = 60
@@ -165,9 +165,9 @@ def mixed_documents(
     )
     u = F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
     plan = plan.select("__source", F.col("times").alias("__times"), F.col("below").alias("__below"))
-    taken = docs.withColumn("__u", u).join(
-        plan, docs["source"].eqNullSafe(plan["__source"]), "left"
+    taken = packed(docs, "doc_id", "text", "source").withColumn("__u", u).join(
+        plan, F.col("source").eqNullSafe(F.col("__source")), "left"
     )
     n = F.col("__times") + F.when(F.col("__u") < F.col("__below"), 1).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(0), n.cast("int")))
-    return taken.select(*[docs[c] for c in docs.columns], copies.alias("__copy")).drop("__copy")
+    return unpacked(taken.select(WHOLE, copies.alias("__copy")), docs.columns)

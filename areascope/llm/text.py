@@ -23,6 +23,19 @@ def lower_az(c: Column) -> Column:
     )
 
 
+WHOLE = "__whole"
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and the whole row in a struct: no other name can clash with an operator's."""
+    return df.select(*needed, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(WHOLE))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The whole rows again, in the order of `columns`, with some columns changed."""
+    return df.select(*[changed.get(c, F.col(WHOLE).getField(c)).alias(c) for c in columns])
+
+
 def word_count(c: Column) -> Column:
     """Number of words; missing text has none."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")

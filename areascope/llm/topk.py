@@ -11,8 +11,9 @@ keeps only its ten best per query, and none below the known score.
 Defined results: vectors that are missing, empty or hold a missing or non-finite component take no
 part, nor does a pair of different dimensions. A candidate with the query's vec_id is its own;
 repeated candidates count each. A missing vec_id is a candidate and comes last among ties.
-A query needs a vec_id; equal rows are one query. Scores
-stop at the range of a long.
+A query needs a vec_id; equal rows are one query. Vectors with
+a component beyond 2**53 after scaling take no part: doubles hold no further digits there. Scores stop at
+the range of a long. Other columns are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
         F.col("x").isNotNull() & (F.size("x") > 0)
         & F.forall("x", lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
     )
+    # beyond that a double has no exact integer, and sums of products would overflow unseen
+    rows = rows.where(F.forall("x", lambda c: F.abs(c * scale) <= EXACT))
     rows = rows.select(
         "vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v")
     )
