@@ -1,19 +1,22 @@
-"""Near copies among vectors by random projection cells.
+"""Near copies among vectors by sorted projection passes.
 
-Equal vectors become one counted vector. In each pass a vector's cell is given by its leading random
-hashes (the axis of a random projection that a vector is nearest to, with its sign), and every two
-vectors of a cell are compared, in double precision. What leaves a task are the edges of a spanning
-forest, never the pairs. Components are joined across passes; then every two vectors of a component
-are compared to count links, so counts are complete whatever the size of a group.
+Equal vectors become one counted vector. In each pass the vectors are ordered by their concatenated random
+hashes (each the axis of a random projection that a vector is nearest to, with its sign). The order is cut
+into windows of `window` vectors, and every vector is compared with all of its own and the next window, in
+double precision, across partitions too: places in the order are counted, not left to a task.
+What leaves a task are the edges of a spanning forest, never the pairs. Components are joined across passes;
+then every two vectors of a component are compared to count links, so counts are complete
+whatever the size of a group.
 
-Whatever is compared in full, a cell or a component, is cut into blocks of about `window` vectors, and
-each two blocks meet in a group of their own: a hash that a third of the vectors share makes more
-groups, not larger ones.
+Vectors with the same leading hashes (a cell) lie side by side. A cell of up to `window` vectors is
+compared in full by its windows. One that outgrows them is completed: it is cut into blocks, and each two
+blocks meet in a group of their own, so a hash that a third of the vectors share makes more
+groups, not larger ones. Components are cut likewise.
 
 The chance that a pair has the same hash depends on its cosine alone (`same_hash`). A pair at the
 threshold shares a cell in one pass with `same_hash ** depth`, however full the cells are, and the
 passes together must reach `recall`. Depth is chosen per dimension by the counted sizes of the cells:
-deep cells hold fewer pairs but need more passes. Up to `window` vectors all pairs are compared. The
+deep cells hold fewer pairs but need more passes. The
 chance is of one pair over the choice of the axes; a pair that is missed is still linked and counted
 if other links join its component.
 
@@ -32,6 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areascope.llm.components import components
@@ -40,6 +44,7 @@ from areascope.session import materialise
 
 WINDOW = 1024
 HASHES = 7
+ORDERED = 3  # hashes in the order at least
 AXES = 64
 RECALL = 0.99
 PILOT_PASSES = 2
@@ -73,7 +78,7 @@ def passes_for(depth: int, same: float, recall: float = RECALL) -> int:
 
 
 def _codes(plan: dict[int, tuple[int, int]]):
-    """One long per pass: `depth` numbers of 7 bits, the first in the highest place."""
+    """One long per pass: numbers of 7 bits, the first in the highest place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,10 +86,10 @@ def _codes(plan: dict[int, tuple[int, int]]):
             for dim in np.unique(dims):
                 part = batch[dims == dim]
                 x = np.stack(part["x"].to_numpy()).astype(np.float64)
-                depth, passes = plan.get(int(dim), (0, 1))
+                depth, passes = plan[int(dim)]
                 for p in range(passes):
                     code = np.zeros(len(x), dtype=np.int64)
-                    for h in range(depth):
+                    for h in range(max(depth, ORDERED)):
                         seen = x @ _axes(int(dim), p * HASHES + h)
                         axis = np.abs(seen).argmax(axis=1)
                         sign = np.take_along_axis(seen, axis[:, None], 1)[:, 0] > 0
@@ -103,17 +108,14 @@ def _coded(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
 
 
 def _plan(nodes: DataFrame, least: float, window: int) -> dict[int, tuple[int, int]]:
-    """(depth, passes) of each dimension with more than `window` vectors, by counted cells.
+    """(depth, passes) of each dimension, by counted cells.
 
     A pass costs each vector its cell, and the work of moving it, about `window` comparisons.
     """
     dims = nodes.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["dim"]: r["n"] for r in dims.where(F.col("n") > window).collect()}
-    if not sizes:
-        return {}
+    sizes = {r["dim"]: r["n"] for r in dims.collect()}
     same = same_hash(least)
-    large = nodes.where(F.size("x").isin([*sizes]))
-    codes = _coded(large, {dim: (HASHES, PILOT_PASSES) for dim in sizes})
+    codes = _coded(nodes, {dim: (HASHES, PILOT_PASSES) for dim in sizes})
     cells = materialise(
         codes.groupBy("dim", "pass", "code").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -124,10 +126,10 @@ def _plan(nodes: DataFrame, least: float, window: int) -> dict[int, tuple[int, i
         .groupBy("dim", "pass", "depth", lead.alias("lead")).agg(F.sum("n").cast("double").alias("n"))
         .groupBy("dim", "depth").agg(F.sum(F.col("n") * (F.col("n") + window)).alias("cost"))
     )
-    costs = {(dim, 0): float(n) * (n + window) for dim, n in sizes.items()}
+    costs = {}
     for r in leading.collect():
         costs[r["dim"], r["depth"]] = r["cost"] / PILOT_PASSES * passes_for(r["depth"], same)
-    best = {dim: min(range(HASHES + 1), key=lambda h: costs[dim, h]) for dim in sizes}
+    best = {dim: min(range(1, HASHES + 1), key=lambda h: costs[dim, h]) for dim in sizes}
     return {dim: (depth, passes_for(depth, same)) for dim, depth in best.items()}
 
 
@@ -144,8 +146,11 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(least: float, group: list[str], count: bool):
-    """Streams rows sorted by group and own block: links counted per node, or a forest's edges."""
+def _compare(least: float, group: list[str], count: bool, within: bool = False):
+    """Streams rows sorted by group and own block: links counted per node, or a forest's edges.
+
+    With `within`, the lower block is also compared with itself.
+    """
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         node, own = rows["node"].to_numpy(), rows["own"].to_numpy()
@@ -154,8 +159,8 @@ def _compare(least: float, group: list[str], count: bool):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         low, high = rows["low"].iloc[0], rows["high"].iloc[0]
         # rows of one block meet in that block's own group
-        start = int(np.searchsorted(own, high)) if low < high else 0
-        stop = start if low < high else len(x)
+        stop = int(np.searchsorted(own, high)) if low < high else len(x)
+        start = stop if low < high and not within else 0
         i, j = np.nonzero(x[:stop] @ x[start:].T >= least)
         j = j + start
         i, j = i[i < j], j[i < j]
@@ -188,10 +193,12 @@ def _compare(least: float, group: list[str], count: bool):
 
 
 def _meet(
-    nodes: DataFrame, members: DataFrame, key: list[str], least: float, window: int, count: bool
+    nodes: DataFrame, members: DataFrame, key: list[str], least: float, window: int, count: bool,
+    over: int = 1,
 ) -> DataFrame:
-    """All pairs of nodes with the same key compared, in groups of at most two blocks."""
-    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """All pairs of nodes with the same key compared, in groups of at most two blocks; keys of more
+    than `over` nodes."""
+    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over)
     blocks = F.ceil(F.col("n") / window).cast("int").alias("blocks")
     rows = members.join(materialise(sizes.select(*key, blocks)), key).join(nodes, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -210,6 +217,45 @@ def _meet(
     )
 
 
+def _ordered(coded: DataFrame, window: int) -> DataFrame:
+    """(dim, pass, node, own): the number of each node's window in the order of its pass.
+
+    Rows are sorted over all partitions; places follow from the counts of the partitions before, of which
+    there are as many as partitions.
+    """
+    order = ["dim", "pass", "code", "node"]
+    n = partitions(coded)
+    place = F.monotonically_increasing_id()
+    rows = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id", place)
+    rows = materialise(rows.select("dim", "pass", "node", "id"))
+    part = F.shiftright("id", 33)
+    starts = rows.groupBy("dim", "pass", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first")
+    )
+    before = W.partitionBy("dim", "pass").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    at = F.col("id") - F.col("first") + F.col("before")
+    return rows.withColumn("part", part).join(starts, ["dim", "pass", "part"]).select(
+        "dim", "pass", "node", F.floor(at / window).alias("own")
+    )
+
+
+def _windows(nodes: DataFrame, coded: DataFrame, least: float, window: int) -> DataFrame:
+    """Edges between vectors of the same or neighbouring windows: each window goes to its own group and
+    to that of the window before."""
+    low = F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("low")
+    rows = _ordered(coded, window).select("dim", "pass", "node", "own", low).where("low >= 0")
+    rows = rows.join(nodes, "node").select(
+        "dim", "pass", "low", (F.col("low") + 1).alias("high"), "own", "node", "copies", "x"
+    )
+    group = ["dim", "pass", "low", "high"]
+    return (
+        rows.repartition(partitions(nodes), *group)
+        .sortWithinPartitions(*group, "own")
+        .mapInPandas(_compare(least, group, False, within=True), "node long, root long")
+    )
+
+
 def near_copies(vectors: DataFrame, least: float = 0.95, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     x = F.col("embedding")
@@ -226,9 +272,18 @@ def near_copies(vectors: DataFrame, least: float = 0.95, window: int = WINDOW) -
             F.first("x").alias("x"),
         )
     )
-    coded = materialise(_coded(nodes, _plan(nodes, least, window)))
+    plan = _plan(nodes, least, window)
+    coded = materialise(_coded(nodes, plan))
     seen = nodes.select("node", "copies", "x")
-    edges = _meet(seen, coded, ["dim", "pass", "code"], least, window, count=False)
+    # the leading hashes of a code, by the depth of the dimension
+    lead = F.lit(None).cast("long")
+    for dim, (depth, _) in plan.items():
+        cut = 7 * (max(depth, ORDERED) - depth)
+        lead = F.when(F.col("dim") == dim, F.shiftright("code", cut)).otherwise(lead)
+    cells = coded.withColumn("lead", lead).drop("code")
+    edges = _windows(seen, coded, least, window).unionByName(
+        _meet(seen, cells, ["dim", "pass", "lead"], least, window, count=False, over=window)
+    )
     edges = materialise(edges.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = materialise(components(edges))
     links = materialise(_meet(seen, roots, ["root"], least, window, count=True))

@@ -548,3 +548,26 @@ def test_small_word_memory_gives_the_same_ids(monkeypatch, tokenizer):
         want = encoder.whole.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == np.array(want, dtype="<u4").tobytes()
         assert len(encoder.known) <= 3 and len(encoder.older) <= 3
+
+
+def test_windows_follow_the_order_of_the_hashes(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i % 2, i % 3, int(rng.integers(0, 50)), int(rng.integers(-(1 << 60), 1 << 60))) for i in range(500)]
+    coded = spark.createDataFrame(rows, "dim int, pass int, code long, node long").repartition(7)
+    got = embedding_dedup._ordered(coded, 16).collect()
+    place = {}
+    for d, p, _, n in sorted(rows):
+        here = place.setdefault((d, p), [])
+        here.append(n)
+    want = {(d, p, n): i // 16 for (d, p), nodes in place.items() for i, n in enumerate(nodes)}
+    assert {(r["dim"], r["pass"], r["node"]): r["own"] for r in got} == want
+
+
+def test_neighbouring_windows_meet(spark):
+    """One hash for all: only windows side by side meet, each pair of them once."""
+    nodes = spark.createDataFrame([(i, 1, [1.0, 0.001 * i]) for i in range(40)], "node long, copies long, x array<double>")
+    coded = nodes.select(F.lit(2).alias("dim"), F.lit(0).alias("pass"), F.lit(5).cast("long").alias("code"), "node")
+    edges = embedding_dedup._windows(nodes, coded, 0.95, 8).collect()
+    # a forest per group of two windows of eight: 15 edges each, and 7 of the last
+    assert len(edges) == 4 * 15 + 7
+    assert all(abs(r["node"] - r["root"]) < 16 for r in edges)
