@@ -7,7 +7,8 @@ The field labels the tokens (runs without white space) of a line: O, or the begi
 token's features are its shape (letters in a row as one, every digit kept) if the labelled table knows it,
 and counts and marks of its characters, those of its neighbours too; no words. It is trained by
 full gradients of the log-likelihood on a small labelled table, at most `MAX_LABELLED` rows, in one task.
-Its spans are added where no base span lies: a card run together with an address by the card pattern, a
+Its spans are added where no base span lies and a last check holds (Luhn for cards, parts of addresses, digits
+of phones, an @): a card run together with an address by the card pattern, a
 phone without `+`, an address at a host without a domain.
 
 Decoding is Viterbi in NumPy over all sequences of a chunk at once. Tokens without digit and @ are alike
@@ -82,6 +83,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def plausible(kind: int, text: str) -> bool:
+    """Whether a span that the field proposes can be of its kind at all."""
+    digits = "".join(c for c in text if c in string.digits)
+    if kind == 0:
+        return "@" in text
+    if kind == 1:
+        parts = text.split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -397,7 +411,8 @@ def _added(texts: list[str], base: list[list], model: Model, limit: int) -> list
         for start, kind, end in spans_of(tokens, model.decode(tokens)):
             k = int(np.searchsorted(offsets, start, side="right")) - 1
             start, end = (len(coded[k][: x - int(offsets[k])].decode()) for x in (start, end))
-            if all(end <= a or start >= b for a, _, b in base[numbers[k]]):
+            apart = all(end <= a or start >= b for a, _, b in base[numbers[k]])
+            if apart and plausible(kind, texts[numbers[k]][start:end]):
                 out[numbers[k]].append((start, kind, end))
         coded, numbers, size = [], [], 0
     return out
