@@ -61,3 +61,22 @@ def mean_pool(df: DataFrame, key: str | list[str], vector: str, dims: int) -> Da
 def vector_rows(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Long form: one row per key and dimension (pos from 0)."""
     return df.select(*keys, F.posexplode(vector).alias("pos", "value"))
+
+
+def unit(v: Column) -> Column:
+    """The vector at length one; missing for a vector with a missing element or of length zero
+    (or so near to it that only rounding is left)."""
+    doubles = v.cast("array<double>")
+    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, e: s + e * e))
+    good = complete_vector(doubles) & (length > 1e-9) & (length < float("inf"))
+    return F.when(good, F.transform(doubles, lambda e: e / length))
+
+
+def mean_direction(df: DataFrame, key: str | list[str], vector: str, dims: int) -> DataFrame:
+    """Mean of the vectors' directions per key, at length one again.
+
+    Vectors without a direction (see unit) are skipped; a key without any, or whose directions
+    cancel each other, has a missing vector.
+    """
+    pooled = mean_pool(df.withColumn(vector, unit(F.col(vector))), key, vector, dims)
+    return pooled.withColumn(vector, unit(F.col(vector)))

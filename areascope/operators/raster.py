@@ -154,6 +154,9 @@ def chip_center(
 _A, _F = 6378137.0, 1 / 298.257223563
 _N = _F / (2 - _F)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64) * 0.9996
+_ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240
+)
 _BETA = (
     _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480
 )
@@ -178,6 +181,19 @@ def utm_to_latlon(df: DataFrame, zone: Column, x: str = "x", y: str = "y") -> Da
     return df.withColumns({"lat": F.degrees(lat), "lon": lon})
 
 
+def latlon_to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """UTM coordinates (x, y) of degrees, as column arithmetic; y is negative south of the equator."""
+    k = 2 * math.sqrt(_N) / (1 + _N)
+    sine, turn = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(sine) - F.lit(k) * F.atanh(F.lit(k) * sine))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(t * t + 1.0))
+    x, y = eta, xi
+    for j, a in enumerate(_ALPHA, 1):
+        x = x + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+        y = y + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+    return x * _RADIUS + 500000.0, y * _RADIUS
+
+
 # --- chips --------------------------------------------------------------------------------
 
 

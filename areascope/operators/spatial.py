@@ -54,31 +54,28 @@ def _steps(low: str, high: str, cell: float) -> Column:
 def area_cells(areas: DataFrame, key: str, cell: float) -> DataFrame:
     """Polygons cut along a grid: (key, cx, cy, covered, edges).
 
-    A cell no edge comes near is wholly inside (covered, no edges needed) or outside (dropped).
-    Other cells keep only the edges a rightward ray from the cell can meet.
+    Edges go to the grid rows they cross first; a cell is then cut from the edges of its row only,
+    so a border of very many edges is never copied whole. A cell no edge comes near is wholly inside
+    (covered, no edges needed) or outside (dropped). Other cells keep only the edges a rightward ray
+    from the cell can meet.
     """
-    pieces = (
-        area_edges(areas, key)
-        .withColumn("cx", F.explode(_steps("west", "east", cell)))
-        .withColumn("cy", F.explode(_steps("south", "north", cell)))
+    low, high = F.least("e.x1", "e.x2"), F.greatest("e.x1", "e.x2")
+    bottom, top = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    rows = area_edges(areas, key).select(key, F.explode("edges").alias("e"))
+    rows = rows.withColumn("cy", F.explode(F.sequence(F.floor(bottom / cell), F.floor(top / cell))))
+    # cells are compared by the same floor that places points, so both round alike
+    placed = F.struct("e.*", F.floor(low / cell).alias("c1"), F.floor(high / cell).alias("c2"))
+    strips = rows.groupBy(key, "cy").agg(
+        F.collect_list(placed).alias("edges"),
+        F.min(F.floor(low / cell)).alias("first"), F.max(F.floor(high / cell)).alias("last"),
     )
-    x0, y0 = F.col("cx") * F.lit(cell), F.col("cy") * F.lit(cell)
-    x1, y1 = x0 + F.lit(cell), y0 + F.lit(cell)
-    pieces = pieces.withColumn(
-        "edges",
-        F.filter(
-            "edges",
-            lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
-            & (F.least(e["y1"], e["y2"]) <= y1)
-            & (F.greatest(e["x1"], e["x2"]) >= x0),
-        ),
-    )
-    touched = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= x1)
-    centre = ray_cast(F.col("edges"), x0 + F.lit(cell / 2), y0 + F.lit(cell / 2))
-    pieces = pieces.withColumn("covered", ~touched & centre).where(touched | F.col("covered"))
-    return pieces.select(
-        key, "cx", "cy", "covered",
-        F.when(~F.col("covered"), F.col("edges")).alias("edges"),
+    pieces = strips.withColumn("cx", F.explode(F.sequence("first", "last")))
+    pieces = pieces.withColumn("edges", F.filter("edges", lambda e: e["c2"] >= F.col("cx")))
+    touched = F.exists("edges", lambda e: e["c1"] <= F.col("cx"))
+    centre = ray_cast(F.col("edges"), (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell)
+    pieces = pieces.withColumn("touched", touched).withColumn("covered", ~F.col("touched") & centre)
+    return pieces.where("touched OR covered").select(
+        key, "cx", "cy", "covered", F.when(~F.col("covered"), F.col("edges")).alias("edges")
     )
 
 

@@ -18,6 +18,8 @@ from areascope.functions.vectors import assemble
 from areascope.operators import sweeps
 from areascope.operators.design import design
 from areascope.operators.folds import holdout, row_folds, with_group_folds
+from areascope.operators.joins import lookup_join
+from areascope.operators.logistic import count_people, counted, held_out_logistic
 from areascope.operators.stats import area_decile, median_by
 from areascope.operators.survey import (
     pivot_names,
@@ -203,3 +205,26 @@ def by_area_decile(table: TractTable, dims: int = 320, seed: int = 42) -> DataFr
     return joined.select("decile", "median_aland_km2", *_SHORT.values(), "n_tracts").orderBy(
         "decile"
     )
+
+
+def individual_outcomes(
+    table: TractTable, people: DataFrame, outcomes: list[str], dims: int = 320, seed: int = 42
+) -> DataFrame:
+    """How well the first index, the vectors, and both tell people's yes/no outcomes in held-out states:
+    (outcome, model, n_train, n_test, log_loss, auc).
+
+    `people` has tract_fips and the outcomes (true/false, 1/0 or missing), a row per person; they are
+    counted by tract before anything is joined. People of tracts that are not in the table are left out.
+    """
+    counts = count_people(people, "tract_fips", outcomes)
+    tracts = holdout(_indexed(table), "state_fips", 0.2, seed)
+    lived_in = lookup_join(tracts, counts, "tract_fips", "inner")
+    rows, layout = design(
+        lived_in, ["test"], counted(outcomes), vector=("vector", dims),
+        numeric={"area": ["ALAND", "AWATER"], "ReADI": [INDEX_COLUMNS["ReADI"]]}, train="NOT test",
+    )
+    models = [
+        Model("ReADI alone", ("ReADI",)), EMBEDDINGS,
+        Model("ReADI + Embeddings", ("ReADI", *EMBEDDINGS.blocks)),
+    ]
+    return held_out_logistic(rows, layout, models, outcomes)

@@ -13,7 +13,9 @@ from areascope.operators import sweeps
 from areascope.operators.correlation import pairwise_corr
 from areascope.operators.design import design
 from areascope.operators.folds import group_folds, holdout, row_folds, with_group_folds
+from areascope.operators.joins import lookup_join
 from areascope.operators.learners import fit_predict
+from areascope.operators.logistic import count_people, counted, held_out_logistic
 from areascope.operators.panel import lagged_change
 from areascope.operators.projection import pca_apply, pca_fit, pca_fit_sample
 from areascope.operators.stats import area_decile, fold_summary, r2_score
@@ -810,6 +812,63 @@ def change_correlations(spark, d):
     return rounded(pairwise_corr(order_changes(spark, d), "v", 3, ["n_orders"]))
 
 
+# --- yes/no outcomes of people ------------------------------------------------------------
+
+
+@query(f"""
+WITH RECURSIVE {SPLIT_SQL},
+people AS (
+  SELECT o_custkey AS area, 'finished' AS outcome,
+         CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END AS y FROM orders
+  UNION ALL
+  SELECT o_custkey, 'urgent', CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END FROM orders),
+scale AS (SELECT avg(balance) AS m, stddev_pop(balance) AS s FROM split WHERE NOT test),
+person AS (SELECT outcome, test, CAST(y AS DOUBLE) AS y, (balance - m) / s AS x
+           FROM people JOIN split USING (area), scale WHERE y IS NOT NULL),
+newton(outcome, i, a, b) AS (
+  SELECT DISTINCT outcome, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM person
+  UNION ALL
+  SELECT outcome, i + 1, a + (h11 * ga - h01 * gb) / (h00 * h11 - h01 * h01),
+         b + (h00 * gb - h01 * ga) / (h00 * h11 - h01 * h01)
+  FROM (
+    SELECT outcome, i, a, b, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+           sum(p * (1 - p) * x * x) + 1 AS h11, sum(y - p) AS ga, sum((y - p) * x) - b AS gb
+    FROM (SELECT n.outcome, i, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p
+          FROM newton n JOIN person USING (outcome) WHERE i < 9 AND NOT test)
+    GROUP BY outcome, i, a, b)),
+scored AS (
+  SELECT outcome, y, 1 / (1 + exp(-(a + b * x))) AS p,
+         rank() OVER w + (count(*) OVER (PARTITION BY outcome, x) - 1) / 2.0 AS place
+  FROM person JOIN newton USING (outcome) WHERE i = 9 AND test
+  WINDOW w AS (PARTITION BY outcome ORDER BY a + b * x))
+SELECT outcome, 'index' AS model,
+       (SELECT count(*) FROM person t WHERE NOT test AND t.outcome = s.outcome) AS n_train,
+       count(*) AS n_test,
+       round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss,
+       round((sum(place) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc
+FROM scored s GROUP BY outcome
+""")
+def logistic_index(spark, d):
+    """Yes/no outcomes of orders from their customer's index, judged in held-out states."""
+    rows, layout = people_design(spark, d, numeric={"index": ["balance"]})
+    return rounded(held_out_logistic(rows, layout, [Model("index", ("index",))], list(YES_NO)))
+
+
+YES_NO = {
+    "finished": "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END",
+    "urgent": "o_orderpriority = '1-URGENT'",
+}
+
+
+def people_design(spark, d, **features):
+    """Orders in the role of people, counted by customer, beside the customers' features."""
+    marks = [F.expr(f"CAST({e} AS INT)").alias(name) for name, e in YES_NO.items()]
+    people = table(spark, d, "orders").select(F.col("o_custkey").alias("area"), *marks)
+    areas = holdout(area_table(spark, d), "state")
+    lived_in = lookup_join(areas, count_people(people, "area", list(YES_NO)), "area", "inner")
+    return design(lived_in, ["test"], counted(list(YES_NO)), train="NOT test", **features)
+
+
 # --- principal components -----------------------------------------------------------------
 
 
