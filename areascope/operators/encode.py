@@ -17,7 +17,7 @@ def patch_means(patch: int) -> Callable[[], Encoder]:
     """Default encoder, needing no weights: mean per channel and patch, NaN skipped."""
 
     def load() -> Encoder:
-        def encode(chips: np.ndarray) -> np.ndarray:
+        def encode(chips: np.ndarray, places: pd.DataFrame | None = None) -> np.ndarray:
             b, c, h, w = chips.shape
             blocks = chips.reshape(b, c, h // patch, patch, w // patch, patch)
             seen = ~np.isnan(blocks)
@@ -41,7 +41,7 @@ def standardised(
         encoder = load()
         mean = np.asarray(means, dtype="float32").reshape(shape)
         std = np.asarray(stds, dtype="float32").reshape(shape)
-        return lambda chips: encoder((chips - mean) / std)
+        return lambda chips, *more: encoder((chips - mean) / std, *more)
 
     return load_scaled
 

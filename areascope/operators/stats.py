@@ -205,25 +205,31 @@ def best_worst(df: DataFrame, score: str, key: str, n: int = 3) -> DataFrame:
     return union_all(best, worst)
 
 
-def order_like(df: DataFrame, key: str, ordering: DataFrame, score: str) -> DataFrame:
+def order_like(
+    df: DataFrame, key: str, ordering: DataFrame, score: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
     """Sort rows by the place their key has in another result (lowest score first)."""
-    places = value_rank(ordering.select(key, score), score, key, "position").select(
-        key, "position"
+    ranked = value_rank(
+        ordering.select(key, score), score, key, "position", rows_per_bucket=rows_per_bucket
     )
+    places = ranked.select(key, "position")
     return lookup_join(df, places, key, "inner").orderBy("position")
 
 
 def sample_groups(
-    df: DataFrame, key: str, seed: int, k: int | None = None, frac: float | None = None
+    df: DataFrame, key: str, seed: int, k: int | None = None, frac: float | None = None,
+    top_rows: int = TOP_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Distinct keys chosen without replacement in seeded hash order: k, or a share of them
-    (at least one, halves to even)."""
+    (at least one, halves to even). Up to `top_rows` are kept by every task, more are ranked."""
     groups = df.select(key).where(F.col(key).isNotNull()).distinct()
     if k is None:
         k = max(1, round(frac * groups.count()))
-    if k <= TOP_ROWS:
+    if k <= top_rows:
         return groups.orderBy(seeded_hash(F.col(key), seed), key).limit(k)
-    return hash_rank(groups, key, seed, "__r").where(F.col("__r") <= k).drop("__r")
+    ranked = hash_rank(groups, key, seed, "__r", rows_per_bucket=rows_per_bucket)
+    return ranked.where(F.col("__r") <= k).drop("__r")
 
 
 def sample_rows(

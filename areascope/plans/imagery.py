@@ -39,12 +39,14 @@ def composites(
 def vector_map(
     found: dict[str, DataFrame], height: int, width: int, seasonal: bool = False,
     load: Callable | None = None, chip: int | None = None, patch: int | None = None,
-    keys: list[str] | None = None,
+    keys: list[str] | None = None, place: dict[str, float] | None = None,
 ) -> DataFrame:
     """Composites to maps of patch vectors (keys..., row, col, vector); `keys` name the raster.
 
     Seasonal composites are stacked and standardised by band after padding; `load` brings the
-    encoder, by default the mean per band and patch.
+    encoder, by default the mean per band and patch. With `place` (a, c, e, f of the transform and
+    the northern UTM zone) the encoder gets a second argument, the latitude and longitude of each
+    chip's centre (columns lat and lon).
     """
     bands = registry.SEASONAL_BANDS if seasonal else registry.ANNUAL_BANDS
     px = chip or (registry.SEASONAL_CHIP if seasonal else registry.ANNUAL_CHIP)
@@ -62,7 +64,11 @@ def vector_map(
         means, stds = zip(*[registry.BAND_STATS[b] for b in bands], strict=True)
         load = standardised(load, means * len(found), stds * len(found))
     channels = len(bands) * len(found)
-    encoded = encode_chips(chips, load, channels, px, keys=keys)
+    extra = []
+    if place:
+        chips = raster.chip_center(chips.withColumns({k: F.lit(float(place[k])) for k in "acef"}), px)
+        chips, extra = raster.utm_to_latlon(chips, F.lit(int(place["zone"]))), ["lat", "lon"]
+    encoded = encode_chips(chips, load, channels, px, extra=extra, keys=keys)
     return raster.from_chips(encoded, stride, height, width, keys)
 
 

@@ -17,7 +17,7 @@ from areascope.queries.base import query, rounded
 from areascope.session import checkpoint_dir
 from areascope.sources.scenes import read_pixels, stack_bands
 from areascope.sources.tables import table
-from areascope.streaming.resume import encode_pending
+from areascope.streaming.resume import encode_pending, finish
 
 CHIP, PATCH = 32, 8
 FLAGS = ["A", "N", "R"]
@@ -268,6 +268,16 @@ def two_rasters_map(spark, d):
 @query(map_sql(TWO_GRIDS_SQL, "raster,"))
 def resume_two_rasters(spark, d):
     """The same in two runs: the second encodes only what the first left open."""
+    return two_runs(spark, d, lambda path, done: done)
+
+
+@query(map_sql(TWO_GRIDS_SQL, "raster,"))
+def finished_ledger(spark, d):
+    """The same, with the ledger of both runs written as few files and removed in the end."""
+    return two_runs(spark, d, lambda path, done: finish(spark, path, f"{path}-done"))
+
+
+def two_runs(spark, d, end):
     height, width = map_size(spark, d)
     chips = raster.to_chips(two_grids(spark, d), CHIP, FLAGS, height, width, keys=["raster"])
     path = f"{checkpoint_dir(spark)}/resume/{uuid.uuid4().hex}"
@@ -276,7 +286,7 @@ def resume_two_rasters(spark, d):
         return encode_chips(part, patch_means(PATCH), len(FLAGS), CHIP, keys=["raster"])
 
     encode_pending(spark, chips.where("raster = 'F'"), encode, path, ["raster"])
-    done = encode_pending(spark, chips, encode, path, ["raster"])
+    done = end(path, encode_pending(spark, chips, encode, path, ["raster"]))
     return map_values(
         raster.from_chips(done, PATCH, height, width, ["raster"]), ["raster", "row", "col"]
     )

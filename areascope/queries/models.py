@@ -7,6 +7,8 @@ The SQL of the vector models solves the ridge systems by elimination in a recurs
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from areascope.operators import sweeps
@@ -17,13 +19,13 @@ from areascope.operators.joins import lookup_join
 from areascope.operators.learners import fit_predict
 from areascope.operators.logistic import count_people, counted, held_out_logistic
 from areascope.operators.panel import lagged_change
-from areascope.operators.projection import pca_apply, pca_fit, pca_fit_sample
+from areascope.operators.projection import Projection, pca_apply, pca_fit, pca_fit_sample
 from areascope.operators.stats import area_decile, fold_summary, r2_score
 from areascope.operators.survey import pivot_unique
 from areascope.operators.sweeps import Model
-from areascope.queries.base import query, rounded
+from areascope.queries.base import QUERIES, query, rounded
 from areascope.queries.summaries import DIMS
-from areascope.session import materialise
+from areascope.session import checkpoint_dir, materialise
 from areascope.sources.tables import table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -812,6 +814,13 @@ def change_correlations(spark, d):
     return rounded(pairwise_corr(order_changes(spark, d), "v", 3, ["n_orders"]))
 
 
+@query(QUERIES["shuffled_folds"].sql)
+def shuffled_folds_bucketed(spark, d):
+    """The same folds by hash buckets of few rows in every state."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return row_folds(c, "c_custkey", 2, 42, ["c_nationkey"], 40).select("c_custkey", "fold")
+
+
 # --- yes/no outcomes of people ------------------------------------------------------------
 
 
@@ -925,6 +934,18 @@ def pca_two(spark, d):
     )
 
 
+@query(QUERIES["pca_two"].sql)
+def pca_saved(spark, d):
+    """The same components through a projection that was saved and loaded."""
+    e = table(spark, d, "embeddings")
+    path = f"{checkpoint_dir(spark)}/areascope/projection-{uuid.uuid4().hex}"
+    pca_fit(e, "embedding", 2).save(path)
+    scored = pca_apply(e, "embedding", Projection.load(path))
+    return rounded(
+        scored.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    )
+
+
 @query(f"""
 WITH RECURSIVE {ALL_VECTORS_SQL}, {pca_sql(10)}
 SELECT CAST(component AS INTEGER) AS component, round(lam / t, 6) AS ratio,

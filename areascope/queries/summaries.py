@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from areascope.functions.ranking import grouped_stats, percentile_rank
+from areascope.functions.ranking import exact_quantiles, grouped_stats, percentile_rank
 from areascope.functions.vectors import mean_pool, vector_rows, weighted_mean
 from areascope.functions.keys import map_default, pad_geoid, state_of, tract_of
 from areascope.operators import stats
@@ -386,3 +386,42 @@ def sampled_rows_bucketed(spark, d):
     columns = QUERIES["sampled_rows"].build(spark, d).columns
     e = table(spark, d, "embeddings")
     return stats.sample_rows(e, "vec_id", 20 * 2, 0.05, 42, rows_per_bucket=7).select(columns)
+
+
+@query(QUERIES["national_rank"].sql)
+def national_rank_bucketed(spark, d):
+    """The same ranks by counted buckets of few rows."""
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    p = percentile_rank(p, "p_retailprice", "price_nr", rows_per_bucket=9)
+    p = percentile_rank(p, "p_size", "size_nr", rows_per_bucket=9)
+    return rounded(p.select("p_partkey", "price_nr", "size_nr"))
+
+
+@query(QUERIES["custom_order"].sql)
+def custom_order_bucketed(spark, d):
+    """The same order by buckets of few rows."""
+    sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    ordered = stats.order_like(sup, "l_suppkey", scores(spark, d), "score", rows_per_bucket=3)
+    return ordered.withColumn("position", F.col("position").cast("int"))
+
+
+@query(QUERIES["sampled_units"].sql)
+def sampled_units_bucketed(spark, d):
+    """The same groups by ranks in hash buckets of few rows."""
+    orders = table(spark, d, "orders")
+    return stats.sample_groups(orders, "o_custkey", 42, k=20, top_rows=0, rows_per_bucket=25)
+
+
+@query(QUERIES["decile_edges"].sql)
+def decile_edges_bucketed(spark, d):
+    """The same edges from the buckets that hold a wanted rank."""
+    edges = stats.percentile_edges(table(spark, d, "orders"), "o_totalprice", rows_per_bucket=500)
+    return rounded(edges.select(F.posexplode("edges").alias("pos", "edge")))
+
+
+@query(QUERIES["decile_medians"].sql)
+def decile_medians_bucketed(spark, d):
+    """The same medians per group; a value (a discount) is shared by a tenth of the rows."""
+    li = stats.area_decile(table(spark, d, "lineitem"), "l_extendedprice", rows_per_bucket=2000)
+    found = exact_quantiles(li, ["decile"], "l_discount", [0.5], "q", 300)
+    return rounded(found.select("decile", F.col("q")[0].alias("median_v")))

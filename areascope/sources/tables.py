@@ -81,6 +81,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete an output folder; false when there was none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cached(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False
 ) -> DataFrame:

@@ -8,12 +8,13 @@ died is simply run again.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from areascope.session import checkpoint_dir
-from areascope.sources.tables import exists, pending
+from areascope.sources.tables import exists, pending, remove
 
 CHIP = ["row_off", "col_off"]
 CHIP_SCHEMA = "row_off int, col_off int, data array<float>"
@@ -34,6 +35,20 @@ def encode_pending(
     return spark.read.parquet(path)
 
 
+def finish(spark: SparkSession, path: str, out: str, rows_per_file: int = 10_000) -> DataFrame:
+    """Write the many small files of a complete ledger as few, then delete the ledger.
+
+    The ledger goes only after the output is whole, and a whole output is not written again, so a run
+    that died in between is simply run again.
+    """
+    if not exists(spark, out):
+        done = spark.read.parquet(path)
+        files = max(1, math.ceil(done.count() / rows_per_file))
+        done.repartition(files).write.mode("overwrite").parquet(out)
+    remove(spark, path)
+    return spark.read.parquet(out)
+
+
 def encode_arrivals(
     spark: SparkSession, folder: str, encode: Callable[[DataFrame], DataFrame], path: str,
     name: str, schema: str = CHIP_SCHEMA,

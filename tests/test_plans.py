@@ -103,6 +103,18 @@ def test_questions(spark, tract_table, files):
     deciles = tract_analysis.by_area_decile(tract_table).collect()
     assert [r.decile for r in deciles] == list(range(1, 11))
     assert deciles[0].median_aland_km2 < deciles[-1].median_aland_km2
+    people = tract_table.df.select(
+        "tract_fips", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i"),
+        F.get("vector", F.lit(0)).alias("first"),
+    ).select("tract_fips", (F.col("first") * 4 + F.col("i") > 5).alias("ill"), (F.col("i") == 1).alias("flat"))
+    told = {(r.outcome, r.model): r for r in tract_analysis.individual_outcomes(
+        tract_table, people, ["ill", "flat"]).collect()}
+    assert len(told) == 6
+    alone, both = told["ill", "ReADI alone"], told["ill", "ReADI + Embeddings"]
+    assert alone.n_train + alone.n_test == 8 * (files["n"] - 5)
+    assert both.auc > 0.8 > alone.auc and both.log_loss < alone.log_loss
+    # an eighth says yes everywhere: only the constant is left
+    assert told["flat", "Embeddings"].log_loss == pytest.approx(-(np.log(1 / 8) + 7 * np.log(7 / 8)) / 8, abs=1e-6)
     labels = tract_analysis.measure_labels(spark, files["measures"])
     assert dict(labels.collect()) == {"OBESITY": "Obesity", "SLEEP": "Sleep"}
 
@@ -129,6 +141,22 @@ def test_imagery(spark):
     assert annual[(3, 4, "green")] == pytest.approx(truth[1, 3, 4])
     cells = imagery.vector_map(found, h, w, chip=8, patch=4)
     assert cells.count() == 5 * 6
+
+    def located():
+        def encode(chips, places):
+            pair = places[["lat", "lon"]].to_numpy()
+            return np.repeat(pair, 4, axis=0).reshape(len(chips), 2, 2, 2)
+
+        return encode
+
+    place = {"a": 10, "c": 500_000, "e": -10, "f": 4_650_000, "zone": 19}
+    where = imagery.vector_map(found, h, w, load=located, chip=8, patch=4, place=place)
+    lat, lon = {(r.row, r.col): r.vector for r in where.collect()}[(0, 0)]
+    assert lat == pytest.approx(42.0017, abs=1e-3) and lon == pytest.approx(-69 + 40 / 82_900, abs=1e-5)
+    plain = imagery.vector_map(found, h, w, chip=8, patch=4, place=place)
+    assert {tuple(r) for r in plain.select("row", "col").collect()} == {
+        tuple(r) for r in cells.select("row", "col").collect()
+    }
     reduced, fitted = imagery.reduce_map(cells, dims=3)
     assert len(fitted.ratios) == 3
     ring = [{"x": 0.0, "y": 0.0}, {"x": 120.0, "y": 0.0}, {"x": 120.0, "y": 200.0}, {"x": 0.0, "y": 200.0}]

@@ -11,7 +11,8 @@ from areascope.functions import registry
 from areascope.functions.vectors import complete_vector, mean_pool, weighted_mean
 from areascope.operators import raster, spatial
 from areascope.operators.encode import encode_chips, patch_means
-from areascope.streaming.resume import encode_arrivals, encode_pending
+from areascope.sources.tables import exists
+from areascope.streaming.resume import encode_arrivals, encode_pending, finish
 
 
 def test_mask_every_class(spark):
@@ -294,6 +295,10 @@ def test_resume(spark, tmp_path):
     done = encode_pending(spark, chips, encode, out)
     assert done.count() == 8 and done.select("row_off", "col_off").distinct().count() == 8
     assert encode_pending(spark, chips, encode, out).count() == 8
+    final = str(tmp_path / "final")
+    assert finish(spark, out, final, 100).count() == 8 and not exists(spark, out)
+    assert len(list((tmp_path / "final").glob("*.parquet"))) == 1
+    assert finish(spark, out, final).count() == 8  # run again after it was done
 
     folder, target = str(tmp_path / "in"), str(tmp_path / "stream")
     name = f"job-{uuid.uuid4().hex}"
