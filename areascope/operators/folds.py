@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areascope.functions.ranking import hash_rank
 from areascope.operators.joins import lookup_join
@@ -19,22 +24,98 @@ def group_folds(
 ) -> DataFrame:
     """(group, fold): groups from largest to smallest, each put in the lightest fold so far.
 
-    Rows are only counted; the assignment walks the list of group sizes. Beyond `max_groups` groups
-    the largest ones are still placed so, and the others, which are small beside a fold, take folds
-    in turn in the order of a hash.
+    Of equal groups the one with the larger name comes first; rows are only counted.
     """
     sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("size")))
-    many = sizes.count() - max_groups
-    if many > 0:
-        order = [F.col("size").desc(), group]
-        large = materialise(sizes.orderBy(*order).limit(max_groups))
-        small = sizes.join(large.select(group), group, "left_anti")
-        turn = hash_rank(small, group, 0, "__r").withColumn(
-            "fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("int")
-        )
-        placed = group_folds_of(large, group, k, df)
-        return placed.unionByName(turn.select(group, "fold"))
-    return group_folds_of(sizes, group, k, df)
+    return place_groups(sizes, group, k, df, max_groups=max_groups)
+
+
+def place_groups(
+    sizes: DataFrame, group: str, k: int, df: DataFrame, keys: list[str] | None = None,
+    max_groups: int = MAX_GROUPS, rows_per_part: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Folds of groups by (keys..., group, size), laid for each key on its own.
+
+    Up to `max_groups` groups a key are one list; more are placed by size, with equal folds.
+    """
+    by = sizes.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"))
+    if (by.agg(F.max("n")).first()[0] or 0) <= max_groups:
+        return group_folds_of(sizes, group, k, df, keys)
+    return folds_by_size(sizes, group, k, list(keys or []), rows_per_part)
+
+
+def fold_turns(loads: list[int], size: int, count: int) -> tuple[list[int], list[list[int]]]:
+    """Which folds take `count` groups of one size in turn; adds them to `loads`.
+
+    The lightest fold takes groups until it draws level with the next, then both take turns, and
+    so on: group j from 0 goes to folds[i][(j - first[i]) % len(folds[i])] of the last first[i] <= j.
+    """
+    low = min(loads)
+    order = sorted(range(len(loads)), key=lambda f: ((loads[f] - low) % size, f))
+    level = [(load - low) // size for load in loads]
+    first, folds = [], []
+    for t in sorted(set(level)):
+        start = sum(max(0, t - q) for q in level)
+        if start >= count:
+            break
+        first.append(start)
+        folds.append([f for f in order if level[f] <= t])
+    for i, active in enumerate(folds):
+        n = (first[i + 1] if i + 1 < len(first) else count) - first[i]
+        for place, f in enumerate(active):
+            loads[f] += (n - place + len(active) - 1) // len(active) * size
+    return first, folds
+
+
+def folds_by_size(
+    sizes: DataFrame, group: str, k: int, keys: list[str], rows_per_part: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """The folds of `group_folds_of` for any number of groups.
+
+    Groups of one size are only counted for the walk, which holds k loads; there are at most
+    sqrt(2 * rows) sizes. A group's place among its equals comes from ranges of (size, name) of
+    about `rows_per_part` groups and the counts before them.
+    """
+    n = sizes.count()
+    desc = [F.col("size").desc(), F.col(group).desc()]
+    ranges = sizes.repartitionByRange(max(1, -(-n // rows_per_part)), *keys, *desc)
+    ranges = materialise(ranges.withColumn("__part", F.spark_partition_id()))
+    equals = [*keys, "size"]
+    counts = ranges.groupBy(*equals, "__part").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts)
+    earlier = W.partitionBy(*equals).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*equals, "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__j"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, loads = None, [0] * k
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                if row[:-2] != key:
+                    key, loads = row[:-2], [0] * k
+                found.append((*row[:-1], *fold_turns(loads, int(row[-2]), int(row[-1]))))
+            yield pd.DataFrame(found, columns=[*batch.columns[:-1], "first", "folds"])
+
+    histogram = counts.groupBy(*equals).agg(F.sum("n").alias("n"))
+    histogram = histogram.repartition(*keys) if keys else histogram.repartition(1)
+    schema = T.StructType(
+        [
+            *[histogram.schema[c] for c in equals],
+            T.StructField("first", T.ArrayType(T.LongType())),
+            T.StructField("folds", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        ]
+    )
+    turns = materialise(
+        histogram.sortWithinPartitions(*keys, F.col("size").desc()).mapInPandas(walk, schema)
+    )
+    placed = lookup_join(ranges, before, [*equals, "__part"], "inner")
+    inside = F.row_number().over(W.partitionBy(*equals, "__part").orderBy(F.col(group).desc()))
+    placed = placed.withColumn("__j", F.col("__j") + inside - 1)
+    placed = lookup_join(placed, turns, equals, "inner")
+    at = F.size(F.filter("first", lambda x: x <= F.col("__j"))) - 1
+    takers = F.get("folds", at)
+    nth = F.pmod(F.col("__j") - F.get("first", at), F.size(takers)).cast("int")
+    return placed.select(*keys, group, F.get(takers, nth).alias("fold"))
 
 
 def group_folds_of(

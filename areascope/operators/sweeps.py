@@ -22,7 +22,7 @@ from areascope.functions.scalars import additional_var
 from areascope.operators.boosting import Fit, binned, boost, boosted_scores, residuals, scores
 from areascope.operators.design import Layout
 from areascope.operators.gram import BASE, Sums, fit_bins, fit_ridge, gram, score
-from areascope.operators.folds import MAX_GROUPS, group_folds_of
+from areascope.operators.folds import place_groups
 from areascope.operators.joins import lookup_join
 from areascope.operators.stats import fold_summary, r2_score
 from areascope.session import by_key, materialise
@@ -174,14 +174,12 @@ def cv_r2(
 def target_folds(sums: DataFrame, group: str, k: int, p: int, m: int) -> DataFrame:
     """(target, group, fold): groups placed largest first in the lightest fold, by each outcome's own rows.
 
-    The sizes are among the sums; as in `group_folds`, at most `MAX_GROUPS` groups are placed so.
+    The sizes are among the sums.
     """
     counts = F.posexplode(F.slice("v", p + 2, m)).alias("target", "n")
     sizes = sums.where((F.col("o") == BASE) & (F.col("i") == p + 2)).select(group, counts)
     sizes = sizes.where("n > 0.5").select("target", group, F.round("n").cast("long").alias("size"))
-    if (sizes.groupBy("target").count().agg(F.max("count")).first()[0] or 0) > MAX_GROUPS:
-        raise ValueError(f"folds per target take {MAX_GROUPS} groups")
-    return group_folds_of(sizes, group, k, sums, ["target"])
+    return place_groups(materialise(sizes), group, k, sums, ["target"])
 
 
 def cv_r2_per_target(

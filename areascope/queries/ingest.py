@@ -177,14 +177,12 @@ def map_lookup(spark, d):
 SELECT p.p_partkey, coalesce(m.indices, '') AS indices
 FROM part p LEFT JOIN (
   SELECT p_name, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS indices
-  FROM part WHERE p_size > 48 GROUP BY p_name) m ON p.p_name = m.p_name
+  FROM part GROUP BY p_name) m ON p.p_name = m.p_name
 """)
 def index_names(spark, d):
     """Set membership shown as sorted text."""
     part = table(spark, d, "part")
-    members = part.where("p_size > 48").select(
-        F.col("p_name").alias("variable"), F.col("p_type").alias("index")
-    )
+    members = part.select(F.col("p_name").alias("variable"), F.col("p_type").alias("index"))
     return index_labels(part.select("p_partkey", "p_name"), "p_name", members).select(
         "p_partkey", "indices"
     )
@@ -356,20 +354,27 @@ def pivot_latest(spark, d):
 
 
 @query("""
-WITH x AS (SELECT o_custkey, o_orderpriority AS m, avg(o_totalprice) AS v FROM orders
-           WHERE year(o_orderdate) = 1999 GROUP BY 1, 2)
-SELECT o_custkey, round(max(CASE WHEN m = '1-URGENT' THEN v END), 6) AS urgent,
-       round(max(CASE WHEN m = '5-LOW' THEN v END), 6) AS low
-FROM x GROUP BY 1
-HAVING max(CASE WHEN m = '1-URGENT' THEN v END) IS NOT NULL
-   AND max(CASE WHEN m = '5-LOW' THEN v END) IS NOT NULL
+WITH x AS (SELECT o_custkey, year(o_orderdate) AS year, o_orderpriority AS m, avg(o_totalprice) AS v
+           FROM orders GROUP BY 1, 2, 3),
+w AS (SELECT o_custkey, year, round(max(CASE WHEN m = '1-URGENT' THEN v END), 6) AS urgent,
+             round(max(CASE WHEN m = '2-HIGH' THEN v END), 6) AS high,
+             round(max(CASE WHEN m = '3-MEDIUM' THEN v END), 6) AS medium,
+             round(max(CASE WHEN m = '4-NOT SPECIFIED' THEN v END), 6) AS unstated,
+             round(max(CASE WHEN m = '5-LOW' THEN v END), 6) AS low FROM x GROUP BY 1, 2)
+SELECT CAST(year AS INTEGER) AS year, * EXCLUDE (year) FROM w
+WHERE urgent + high + medium + unstated + low IS NOT NULL
 """)
 def complete_case_rows(spark, d):
-    """Wide rows with every measure there."""
-    year = measures_long(spark, d).where("year = 1999")
-    wide = pivot_unique(year, ["o_custkey"], "measure", "value", ["1-URGENT", "5-LOW"])
-    wide = rename_map(wide, {"1-URGENT": "urgent", "5-LOW": "low"})
-    return rounded(complete_cases(wide, available(wide.columns, ["urgent", "low", "absent"])))
+    """Wide rows of customers and years with every measure there."""
+    names = {
+        "1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium",
+        "4-NOT SPECIFIED": "unstated", "5-LOW": "low",
+    }
+    wide = pivot_unique(
+        measures_long(spark, d), ["o_custkey", "year"], "measure", "value", list(names)
+    )
+    wide = rename_map(wide, names)
+    return rounded(complete_cases(wide, available(wide.columns, [*names.values(), "absent"])))
 
 
 @query("""

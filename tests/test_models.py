@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from areascope.operators import gram as gram_module
 from areascope.operators import sweeps
 from areascope.operators.design import design
+from areascope.operators import folds
 from areascope.operators.folds import group_folds, holdout, row_folds, with_group_folds
 from areascope.operators.gram import Sums, gram
 from areascope.operators.learners import fit_predict
@@ -83,6 +84,19 @@ def test_group_folds(spark):
     assert with_group_folds(df, "g", 3).count() == 73
 
 
+@pytest.mark.parametrize("keys", [[], ["target"]])
+def test_folds_by_size_equal_the_list(spark, keys):
+    """Any number of groups, hot sizes, names that are null, several ranges of one size."""
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([[4000, 900, 37], rng.integers(1, 60, 80), np.ones(300, dtype=int)])
+    rows = [(t, f"g{i:04d}" if i else None, int(n) + t) for t in (0, 1) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "target int, g string, size long")
+    df = df if keys else df.where("target = 1").drop("target")
+    want = {tuple(r) for r in folds.group_folds_of(df, "g", 5, df, keys).collect()}
+    got = folds.place_groups(df, "g", 5, df, keys, max_groups=10, rows_per_part=40).collect()
+    assert len(got) == df.count() and {tuple(r) for r in got} == want
+
+
 def test_row_folds_and_holdout(spark, areas):
     df, *_ = areas
     folds = row_folds(df, "id", 2, 42, ["state"]).groupBy("state", "fold").count().collect()
