@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areascope.functions import registry
 from areascope.functions.ranking import grouped_stats
-from areascope.operators.joins import lookup_join
-from areascope.session import ROWS_PER_BUCKET, materialise
+from areascope.operators.joins import join_null_safe, lookup_join
+from areascope.session import BROADCAST_ROWS, ROWS_PER_BUCKET, by_key, materialise
 
 # Polygon pieces carry edge lists, so fewer rows of them are broadcast than of plain tables.
 BROADCAST_PIECES = 20_000
 
+# Vectors are summed up in slices of this many places; a group of them is at most 64 MB.
+SLICE = 16
+AREA_CELLS = 500_000
+
 
 def ray_cast(edges: Column, x: Column, y: Column) -> Column:
     """Even-odd rule with half-open edges: a point on a shared border is in one area only."""
@@ -118,6 +125,51 @@ def zonal_stats(
     return out.select(key, band, "n", *registry.AREA_STATS)
 
 
+def vector_stats(
+    cells: DataFrame, key: str, vector: str, dims: int, rows_per_group: int = AREA_CELLS
+) -> DataFrame:
+    """`zonal_stats` of every place of a vector: (key, place, n, statistics), missing values skipped.
+
+    Vectors move once, in slices of SLICE places, and an area's slices are summed up together. Only
+    areas of more than `rows_per_group` vectors, as counted, get a row per place, for the buckets of
+    `zonal_stats`. Places beyond the end of a vector are missing.
+    """
+    values = F.slice(F.col(vector).cast("array<double>"), 1, dims).alias("values")
+    cells = materialise(cells.select(key, values))
+    sizes = cells.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    large = materialise(sizes.where(F.col("__n") > rows_per_group))
+    n_large, out = large.count(), None
+    if n_large:
+        large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+        marked = join_null_safe(cells, large, [key], "left")
+        cells = marked.where("__n IS NULL").drop("__n")
+        many = marked.where("__n IS NOT NULL").select(key, F.posexplode("values").alias("place", "value"))
+        out = zonal_stats(many, key, "place", rows_per_bucket=min(ROWS_PER_BUCKET, rows_per_group))
+    starts = F.sequence(F.lit(1), F.lit(dims), F.lit(SLICE))
+    slices = F.transform(starts, lambda at: F.slice("values", at, SLICE))
+    sliced = cells.select(key, F.posexplode(slices).alias("block", "part"))
+    sliced = sliced.where(F.size("part") > 0)
+
+    def summary(rows: pd.DataFrame) -> pd.DataFrame:
+        block = int(rows["block"].iloc[0])
+        x = np.full((len(rows), SLICE), np.nan)
+        for i, part in enumerate(rows["part"]):
+            x[i, : len(part)] = part
+        n = (~np.isnan(x)).sum(axis=0)
+        x = x[:, n > 0]
+        stats = [f(x, axis=0) for f in (np.nanmean, np.nanmedian, np.nanmin, np.nanmax, np.nanstd)]
+        named = dict(zip(registry.AREA_STATS, stats, strict=True))
+        place = block * SLICE + np.flatnonzero(n)
+        return pd.DataFrame({key: [rows[key].iloc[0]] * len(place), "place": place, "n": n[n > 0], **named})
+
+    fields = [T.StructField(s, T.DoubleType()) for s in registry.AREA_STATS]
+    schema = T.StructType(
+        [cells.schema[key], T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType()), *fields]
+    )
+    few = by_key(sliced, [key, "block"]).groupBy(key, "block").applyInPandas(summary, schema)
+    return few if out is None else few.unionByName(out)
+
+
 def zonal_wide(stats: DataFrame, key: str, names: list[str], band: str = "band") -> DataFrame:
     """One row per area, one column per band and statistic: <band>_<STAT>."""
     cells = stats.select(

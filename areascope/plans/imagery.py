@@ -13,7 +13,7 @@ from areascope.operators import raster
 from areascope.operators.encode import encode_chips, patch_means, standardised
 from areascope.operators.joins import union_all
 from areascope.operators.projection import Projection, pca_apply, pca_fit_sample
-from areascope.operators.spatial import pixels_in_areas, zonal_stats, zonal_wide
+from areascope.operators.spatial import pixels_in_areas, vector_stats, zonal_wide
 from areascope.sources.scenes import read_pixels, select_scenes, windows
 
 
@@ -96,11 +96,8 @@ def area_table(
     cell = abs(float(transform["a"])) * stride * 32
     inside = pixels_in_areas(placed.select("x", "y", "vector"), areas, "GEOID", cell)
     width = 2 if dims <= 100 else 4
-    long = inside.select("GEOID", F.posexplode("vector").alias("pos", "value")).select(
-        "GEOID",
-        F.concat(F.lit(prefix), F.lpad(F.col("pos").cast("string"), width, "0")).alias("band"),
-        "value",
-    )
+    stats = vector_stats(inside, "GEOID", "vector", dims)
+    band = F.concat(F.lit(prefix), F.lpad(F.col("place").cast("string"), width, "0"))
     names = [f"{prefix}{i:0{width}d}" for i in range(dims)]
-    wide = zonal_wide(zonal_stats(long), "GEOID", names).withColumn("year", F.lit(year))
+    wide = zonal_wide(stats.withColumn("band", band), "GEOID", names).withColumn("year", F.lit(year))
     return wide if sizes is None else wide.join(sizes, "GEOID", "left")

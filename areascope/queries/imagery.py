@@ -12,7 +12,7 @@ from areascope.functions.scalars import season, solar_day, stat_name
 from areascope.functions.vectors import vector_rows
 from areascope.operators import raster
 from areascope.operators.encode import encode_chips, patch_means
-from areascope.operators.spatial import overlaps, pixels_in_areas, zonal_stats, zonal_wide
+from areascope.operators.spatial import overlaps, pixels_in_areas, vector_stats, zonal_stats, zonal_wide
 from areascope.queries.base import query, rounded
 from areascope.session import checkpoint_dir
 from areascope.sources.scenes import read_pixels, stack_bands
@@ -484,6 +484,27 @@ def area_stats_wide(spark, d):
     return rounded(zonal_wide(zonal_stats(area_pixels(spark, d)), "GEOID", ["0", "1"]))
 
 
+VECTOR_STATS_SQL = """
+WITH e AS (SELECT label, CAST(unnest(range(len(embedding))) AS INTEGER) AS place,
+                  CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT label, place, count(v) AS n, round(avg(v), 6) AS "MEAN", round(median(v), 6) AS "MEDIAN",
+       round(min(v), 6) AS "MINIMUM", round(max(v), 6) AS "MAXIMUM", round(stddev_pop(v), 6) AS "STD"
+FROM e WHERE NOT isnan(v) GROUP BY 1, 2
+"""
+
+
+@query(VECTOR_STATS_SQL)
+def label_vector_stats(spark, d):
+    """Five statistics per label and place of its vectors."""
+    return rounded(vector_stats(table(spark, d, "embeddings"), "label", "embedding", 64))
+
+
+@query(VECTOR_STATS_SQL)
+def label_vector_stats_large(spark, d):
+    """The same when every label outgrows a group: buckets per place."""
+    return rounded(vector_stats(table(spark, d, "embeddings"), "label", "embedding", 64, 1))
+
+
 @query(f"""
 WITH {ZONAL_SQL}
 SELECT geoid AS "GEOID", 'OE' || lpad(band, 2, '0') || '_MEAN' AS stat, round("MEAN", 6) AS value FROM z

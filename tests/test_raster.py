@@ -245,6 +245,34 @@ def test_zonal_stats(spark, per_bucket):
     assert wide.columns[:3] == ["GEOID", "0_MEAN", "0_MEDIAN"] and wide.count() == 3
 
 
+@pytest.mark.parametrize("dims", [3, 16, 37])
+@pytest.mark.parametrize("per_group", [10**6, 50])
+def test_vector_stats(spark, dims, per_group):
+    """Slices and buckets give what NumPy gives; short, missing and empty vectors take no part."""
+    rng = np.random.default_rng(6)
+    area = np.array(["big"] * 90 + ["small"] * 7 + ["one"])
+    x = rng.normal(size=(len(area), dims)).round(3)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[area == "small", 1] = np.nan
+    x[0, 2:] = np.nan
+    rows = [(a, [None if np.isnan(e) and i % 2 else float(e) for e in v]) for i, (a, v) in enumerate(zip(area, x))]
+    rows[0] = ("big", rows[0][1][:2])
+    rows += [("big", None), ("none", []), ("none", None)]
+    df = spark.createDataFrame(rows, "GEOID string, vector array<float>").repartition(3)
+    got = {(r.GEOID, r.place): r for r in spatial.vector_stats(df, "GEOID", "vector", dims, per_group).collect()}
+    want = {(a, i): x[area == a, i] for a in ("big", "small", "one") for i in range(dims)}
+    want = {k: v[~np.isnan(v)] for k, v in want.items() if not np.isnan(v).all()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        r = got[k]
+        assert r.n == len(v)
+        np.testing.assert_allclose(
+            [r.MEAN, r.MEDIAN, r.MINIMUM, r.MAXIMUM, r.STD],
+            [v.mean(), np.median(v), v.min(), v.max(), v.std()], atol=1e-6,
+        )
+    assert spatial.vector_stats(df.limit(0), "GEOID", "vector", dims).count() == 0
+
+
 def test_overlaps_each_pair_once(spark):
     box = "k int, west double, south double, east double, north double"
     rng = np.random.default_rng(2)
