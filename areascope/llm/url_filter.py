@@ -5,11 +5,14 @@ level 1, the listed keys that level 1 takes for mistakes into level 2, and so on
 left. Over the keys it was built from the cascade is exact, and a lookup needs no join: levels are
 literals of the plan, a few bits per listed key.
 
-The literals are bounded: if all levels together would exceed `max_bytes`, the listed keys are
-looked up by a shuffled join instead, with the same result.
-
-Defined results: a missing url, or one without ://, has empty host and path and no rule; an empty
-key is not listed. Repeated pages get equal verdicts. No pages give no rows.
+The literals are bounded: if all levels together would exceed `max_bytes`, keys are cut into shards
+by a hash, every shard gets its own cascade, and its pages are judged and written before the next
+shard's levels are built. The pages are then read once per shard.
+
+Defined results: a missing url, or one without ://, has empty host and path and no rule; an empty or
+missing key is not listed. Repeated pages get equal verdicts, urls of any length are read whole. No
+pages give no rows, an empty list blocks nothing. Input columns named host, path, listed, rule or
+verdict are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from areascope.llm.text import lower_az
 from areascope.session import materialise
 
-MAX_BYTES = 16 << 20
+MAX_BYTES = 4 << 20
+SHARD_SALT = 1 << 20
 HALF = (1 << 31) - 1
 
 
@@ -97,27 +102,31 @@ def _level(keys: DataFrame, bits: int, hashes: int, salt: int) -> Level:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     )
     filled = [0] * (bits // 64)
-    for row in words.collect():  # at most bits / 64 rows, bounded by max_bytes
+    for row in words.collect():  # at most bits / 64 rows, bounded by the shards
         filled[row["word"]] = row["bits"]
     return Level(bits, hashes, salt, tuple(filled))
 
 
-def build_cascade(keys: DataFrame, max_bytes: int = MAX_BYTES) -> list[Level] | None:
-    """Levels over (key, listed), distinct keys; None if they would exceed `max_bytes`.
+def _first_rate(n: int, others: int) -> float:
+    """The first level's rate of mistakes: it balances that level against those that follow."""
+    return min(0.5, math.sqrt(0.5) * n / others) if n and others else 0.5
 
-    The first rate of mistakes balances the level against those that follow; later ones halve.
-    """
+
+def cascade_bytes(n: int, others: int) -> int:
+    """Expected size of all levels; those behind the first halve what is left of either side."""
+    rate = _first_rate(n, others)
+    return math.ceil((n * (math.log2(1 / rate) + 1) + 2 * others * rate) / math.log(2) / 8)
+
+
+def build_cascade(keys: DataFrame) -> list[Level]:
+    """Levels over (key, listed), distinct keys."""
     keys = materialise(keys)
     inside, outside = keys.where("listed"), keys.where("NOT listed")
-    n, others = inside.count(), outside.count()
+    n = inside.count()
     levels: list[Level] = []
-    room = max_bytes
-    rate = min(0.5, math.sqrt(0.5) * n / others) if n and others else 0.5
+    rate = _first_rate(n, outside.count())
     while n:
         bits, hashes = _shape(n, rate)
-        room -= bits // 8
-        if room < 0:
-            return None
         levels.append(_level(inside, bits, hashes, len(levels)))
         mistakes = materialise(outside.where(levels[-1].holds(F.col("key"))))
         inside, outside, n, rate = mistakes, inside, mistakes.count(), 0.5
@@ -132,26 +141,46 @@ def is_listed(levels: Sequence[Level], key: Column) -> Column:
     return out
 
 
+def mark_listed(df: DataFrame, key: str, keys: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Add `listed`: whether `keys` (key, listed), the distinct keys of `df`, lists the row's key."""
+    keys = materialise(keys)
+    size = keys.agg(F.count_if("listed").alias("n"), F.count_if(~F.col("listed")).alias("others")).first()
+    shards = max(1, math.ceil(cascade_bytes(size["n"], size["others"]) / max_bytes))
+    if shards == 1:
+        return df.withColumn("listed", is_listed(build_cascade(keys), F.col(key)))
+
+    def shard(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(SHARD_SALT), c), F.lit(shards))
+
+    parts = []
+    for i in range(shards):
+        levels = build_cascade(keys.where(shard("key") == i))
+        part = df.where(shard(key) == i).withColumn("listed", is_listed(levels, F.col(key)))
+        parts.append(materialise(part))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def judge_urls(
-    pages: DataFrame, rules: Sequence[Rule], blocked_words: Sequence[str],
-    max_bytes: int = MAX_BYTES,
+    pages: DataFrame, rules: Sequence[Rule], blocked_words: Sequence[str] = (),
+    blocked_hosts: DataFrame | None = None, max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Pages with host, path, rule, listed and verdict.
 
-    The list: the hosts of the corpus that have one of `blocked_words` between dots or hyphens.
+    The list: the hosts of the corpus that have one of `blocked_words` between dots or hyphens, and
+    those that are in the first column of `blocked_hosts`, a table of any size, A-Z lower-cased.
     """
     host, path = host_and_path(F.col("url"))
     judged = pages.withColumns({"host": host, "path": path})
     word = r"(^|[.-])(" + "|".join(blocked_words) + r")([.-]|$)"
+    by_word = F.col("key").rlike(word) if blocked_words else F.lit(False)
     keys = judged.select(F.col("host").alias("key")).distinct()
-    keys = keys.withColumn("listed", F.col("key").rlike(word))
-    levels = build_cascade(keys, max_bytes)
-    if levels is None:
-        listed = keys.where("listed").select(F.col("key").alias("__key"))
-        judged = judged.join(listed, judged["host"] == listed["__key"], "left")
-        judged = judged.withColumn("listed", F.col("__key").isNotNull()).drop("__key")
-    else:
-        judged = judged.withColumn("listed", is_listed(levels, F.col("host")))
+    if blocked_hosts is not None:
+        named = blocked_hosts.select(lower_az(F.col(blocked_hosts.columns[0])).alias("key"))
+        both = keys.withColumn("seen", F.lit(True)).unionByName(named.withColumn("seen", F.lit(False)))
+        keys = both.groupBy("key").agg(F.bool_or("seen").alias("seen"), F.bool_or(~F.col("seen")).alias("named"))
+        keys, by_word = keys.where("seen"), by_word | F.col("named")
+    keys = keys.select("key", (by_word & (F.col("key") != "")).alias("listed"))
+    judged = mark_listed(judged, "host", keys, max_bytes)
     by_rule = longest_rule(rules, F.col("host"), F.col("path"), "verdict")
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.withColumns(

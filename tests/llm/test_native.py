@@ -130,10 +130,35 @@ def test_urls(spark):
     assert got[11][0] == "É.com"
 
 
-def test_urls_empty_and_beyond_the_bound(spark):
-    assert judge(spark, []) == {}
-    urls = [(i, f"http://{'spam' if i % 7 == 0 else 'h'}-{i}.org/") for i in range(300)]
-    assert judge(spark, urls) == judge(spark, urls, max_bytes=0)
+@pytest.mark.parametrize("shards", [1, 3])
+def test_urls_empty_and_sharded(spark, shards, monkeypatch):
+    built = []
+    build = url_filter.build_cascade
+    monkeypatch.setattr(url_filter, "build_cascade", lambda keys: built.append(1) or build(keys))
+    room = -(-url_filter.cascade_bytes(43, 257) // shards)
+    assert judge(spark, [], max_bytes=room) == {}
+    built.clear()
+    urls = [(i, f"http://{'spam' if i % 7 == 0 else 'h'}-{i}.net/{'x' * (i * 999)}") for i in range(300)]
+    got = judge(spark, urls, max_bytes=room)
+    assert len(built) == shards
+    assert {i: v[3] for i, v in got.items()} == {i: "allow" if i % 7 else "block" for i, _ in urls}
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 60])
+def test_hosts_from_a_table(spark, max_bytes):
+    """Any list of hosts, with repeats, nulls and hosts the corpus lacks; clashing columns give way."""
+    rows = [(i, f"http://H{i}.net/", "old", i) for i in range(400)] + [(400, None, "old", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, key int")
+    named = [(f"h{i}.Net", 0) for i in range(0, 400, 3)] * 2 + [(None, 1), ("", 1), ("elsewhere.net", 1)]
+    hosts = spark.createDataFrame(named, "name string, key int")
+    out = url_filter.judge_urls(pages, RULES, blocked_hosts=hosts, max_bytes=max_bytes)
+    got = {r["page_id"]: r for r in out.collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == {
+        i: "block" if i < 400 and i % 3 == 0 else "allow" for i in range(401)
+    }
+    assert got[5]["host"] == "h5.net" and got[5]["key"] == 5 and got[400]["host"] == ""
+    none = url_filter.judge_urls(pages, RULES, blocked_hosts=hosts.limit(0))
+    assert none.where("verdict = 'block'").count() == 0
 
 
 @pytest.mark.parametrize("listed", [0, 1, 40, 2000])
