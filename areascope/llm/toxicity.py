@@ -59,42 +59,36 @@ def terms(text: str | None) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame], wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Documents per term; of the wanted terms only, or of all terms of the rows."""
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents per term, for the rows of a task."""
     found = []
     for batch in batches:
         seen = [np.unique(terms(t)) for t in batch["text"]]
         seen = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int64)
-        if wanted is not None:
-            seen = seen[np.isin(seen, wanted)]
         found.append(np.stack(np.unique(seen, return_counts=True), axis=1))
     rows = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
     if len(rows):
         yield pd.DataFrame(rows, columns=["term", "n"]).groupby("term", as_index=False).sum()
 
 
+def _term_counts(sample: DataFrame, name: str) -> DataFrame:
+    counted = sample.mapInPandas(_count, "term long, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias(name))
+
+
 def vocabulary(sample: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted codes of the terms most tied to the toxic label."""
+    """Sorted codes of the `size` terms most tied to the toxic label, of all terms of the sample."""
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
     if not toxic:
         return np.zeros(0, dtype=np.int64)
-    schema = "term long, n long"
-    of_toxic = sample.where("toxic = 1").mapInPandas(lambda b: _count(b, None), schema)
-    often = of_toxic.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
-    # the most frequent terms of a bounded sample
-    rows = often.orderBy(F.col("n").desc(), "term").limit(64 * size).collect()
-    if not rows:
-        return np.zeros(0, dtype=np.int64)
-    had = pd.Series({r["term"]: r["n"] for r in rows})
-    wanted = np.sort(had.index.to_numpy())
-    of_clean = sample.where("toxic = 0").mapInPandas(lambda b: _count(b, wanted), schema)
-    rows = of_clean.groupBy("term").agg(F.sum("n").alias("n")).collect()
-    others = pd.Series({r["term"]: r["n"] for r in rows}, dtype=float).reindex(had.index).fillna(0)
-    ratio = (had / toxic) / ((others + 0.5) / (clean + 1))
-    strength = (np.log(ratio) * np.sqrt(had))[ratio >= MIN_RATIO]
-    best = strength.sort_index().sort_values(ascending=False, kind="stable").index[:size]
-    return np.sort(best.to_numpy())
+    often = _term_counts(sample.where("toxic = 1"), "had").where(F.col("had") >= MIN_DOCS)
+    others = _term_counts(sample.where("toxic = 0"), "others")
+    both = often.join(others, "term", "left").fillna(0, ["others"])
+    ratio = (F.col("had") / toxic) / ((F.col("others") + 0.5) / (clean + 1))
+    strength = F.log(ratio) * F.sqrt("had")
+    best = both.where(ratio >= MIN_RATIO).orderBy(strength.desc(), "term").limit(size).collect()
+    return np.sort(np.array([r["term"] for r in best], dtype=np.int64))
 
 
 class Lookup:

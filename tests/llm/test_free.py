@@ -454,6 +454,30 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 40, 5000])
+def test_vocabulary_is_of_all_terms(spark, size):
+    """Every term that is frequent enough competes, however rare beside the others."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for i in range(160):
+        words = [f"w{x}" for x in rng.integers(0, 400, 60)] + ["shared"] * 3
+        rows.append((" ".join(words + ["vile"] * (i % 16 == 0)), int(i % 2 == 0)))
+    rows += [(None, 1), ("", 0)]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(4)
+    had, others = {}, {}
+    for text, bad in rows:
+        for t in np.unique(toxicity.terms(text)).tolist():
+            (had if bad else others)[t] = (had if bad else others).get(t, 0) + 1
+    strength = {}
+    for t, n in had.items():
+        ratio = (n / 81) / ((others.get(t, 0) + 0.5) / 82)
+        if n >= toxicity.MIN_DOCS and ratio >= toxicity.MIN_RATIO:
+            strength[t] = round(np.log(ratio) * np.sqrt(n), 9)
+    want = sorted(sorted(strength, key=lambda t: (-strength[t], t))[:size])
+    assert toxicity.vocabulary(df, size).tolist() == want and len(want) >= 3
+    assert len(toxicity.vocabulary(df.limit(0), size)) == 0
+
+
 def test_chain_feeds_out_of_fold_probabilities(spark):
     """A category that the terms can't tell is learned from the one before it."""
     rng = np.random.default_rng(14)
