@@ -8,21 +8,22 @@ Terms are byte n-grams within words, so that inflected forms share them. The voc
 terms that labelled toxic documents use far more often than others; a document's features are which
 of them it has, however long it is.
 
-The labels hold one flag. Two more categories are derived from it for the chain, in this order:
-`dense` (toxic, and much of the text is made of such terms), `strong` (toxic, with several of them)
-and `toxic` itself, whose probability decides.
+Categories are columns of the labels, in the order given, and last `toxic`, whose probability
+decides. Labels of one flag have none before it: then two are derived from it, `dense` (toxic, and
+much of the text is made of such terms) and `strong` (toxic, with several of them).
 
 Vocabulary and models are fitted on at most SAMPLE labelled documents, chosen by hash; every
 document is scored whole.
 
 Defined results: missing or empty text has no terms and is scored by the models' constants. A
-missing label is not learned from; without any toxic label nothing is toxic. Repeated rows get
-equal answers.
+missing label is not learned from, a missing category is one that the document isn't in; of repeated
+labels the largest counts. Without any toxic label nothing is toxic. Repeated rows get equal answers.
+Other columns of the tables, whatever their names, are not read. No documents give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -204,36 +205,43 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def training_rows(sample: DataFrame, words: np.ndarray, folds: int = FOLDS) -> DataFrame:
-    """(doc_id, fold, at, targets): present terms and the categories derived from the label."""
+    """(doc_id, fold, at, targets): present terms and the categories, derived ones if there are none."""
     lookup = Lookup(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, targets = [], []
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            for text, toxic, marks in zip(batch["text"], batch["toxic"], batch["marks"]):
                 seen = lookup(text)
                 kinds = np.unique(seen)
                 words_in = max(1, len((text or "").split()))
                 dense = toxic and len(seen) / words_in >= 0.05
                 strong = toxic and len(kinds) >= 8
+                before = [int(x) for x in marks] if len(marks) else [int(dense), int(strong)]
                 at.append(kinds)
-                targets.append([int(dense), int(strong), int(toxic)])
+                targets.append([*before, int(toxic)])
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "fold": batch["fold"], "at": at, "targets": targets}
             )
 
     fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(folds)).cast("int").alias("fold")
-    return sample.select("doc_id", "text", "toxic", fold).mapInPandas(
+    return sample.select("doc_id", "text", "toxic", "marks", fold).mapInPandas(
         run, "doc_id long, fold int, at array<long>, targets array<int>"
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most `sample` labelled documents, chosen by hash."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, text, toxic, marks) of at most `sample` labelled documents, chosen by hash."""
     order = F.xxhash64(F.lit(SEED), "doc_id")
+    marks = [F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)) for c in categories]
     ids = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        .groupBy("doc_id").agg(
+            F.max("toxic").cast("int").alias("toxic"),
+            F.array(*marks).cast("array<int>").alias("marks"),
+        )
         .orderBy(order, "doc_id").limit(sample)
     )
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
@@ -241,10 +249,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float | None = None
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float | None = None,
+    categories: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, toxic, score, one probability per category) of every document."""
-    chosen = materialise(labelled_sample(docs, labels, sample))
+    """(doc_id, toxic, score, one probability per category) of every document.
+
+    `categories` are columns of `labels`, 0 or 1 (or boolean), predicted in this order before `toxic`.
+    """
+    names = (*categories, "toxic") if categories else CATEGORIES
+    chosen = materialise(labelled_sample(docs, labels, sample, categories))
     words = vocabulary(chosen)
     chain, best = [], 1.0
     if len(words):
@@ -262,13 +275,13 @@ def score(
                 p = _probability(w, at, found, size)
                 found = np.hstack([found, p[:, None]])
             if not chain:
-                found = np.zeros((len(batch), len(CATEGORIES)))
+                found = np.zeros((len(batch), len(names)))
             out = pd.DataFrame({"doc_id": batch["doc_id"], "toxic": found[:, -1] >= threshold})
             out["score"] = found[:, -1]
-            for i, name in enumerate(CATEGORIES):
+            for i, name in enumerate(names):
                 out[f"p_{name}"] = found[:, i]
             yield out
 
-    kinds = ", ".join(f"p_{c} double" for c in CATEGORIES)
+    kinds = ", ".join(f"`p_{c}` double" for c in names)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic boolean, score double"
     return docs.select("doc_id", "text").mapInPandas(run, f"{schema}, {kinds}")

@@ -478,6 +478,30 @@ def test_vocabulary_is_of_all_terms(spark, size):
     assert len(toxicity.vocabulary(df.limit(0), size)) == 0
 
 
+def test_categories_are_columns_of_the_labels(spark):
+    """Each category has a probability of its own, from its own labels."""
+    rng = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"w{x}" for x in rng.integers(0, 200, 30)]
+        insult, threat = i % 6 == 0, i % 10 == 1
+        words += ["dolt"] * (2 * insult) + ["smiteyou"] * (2 * threat)
+        rows.append(doc(i, " ".join(words)))
+        if i % 2 == 0 or threat:
+            labels.append((i, int(insult or threat), None if i % 50 == 2 else insult, int(threat), "x"))
+    schema = "doc_id long, toxic int, insult boolean, threat int, text string"
+    frame_of = spark.createDataFrame(labels, schema)
+    out = toxicity.score(frame(spark, rows), frame_of, categories=["insult", "threat"])
+    assert out.columns == ["doc_id", "toxic", "score", "p_insult", "p_threat", "p_toxic"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i in range(600):
+        insult, threat = i % 6 == 0, i % 10 == 1
+        assert (got[i]["p_insult"] > 0.5, got[i]["p_threat"] > 0.5) == (insult, threat)
+        assert got[i]["toxic"] == (insult or threat) and got[i]["score"] == got[i]["p_toxic"]
+    none = toxicity.score(frame(spark, rows[:5]), frame_of.limit(0), categories=["insult"])
+    assert none.columns[3:] == ["p_insult", "p_toxic"] and none.where("toxic").count() == 0
+
+
 def test_chain_feeds_out_of_fold_probabilities(spark):
     """A category that the terms can't tell is learned from the one before it."""
     rng = np.random.default_rng(14)
