@@ -39,6 +39,8 @@ PERCENT = 75
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 PIECES = 64
+COUNTS = "piece int, sender int, counts binary"
+SLICE_ROWS = 512
 PARTS = 256
 GROUP_ROWS = 1024
 HOT_SHARE = 0.25
@@ -107,48 +109,56 @@ def _read_counts(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="u1" if len(raw) == PARTS else "<u4").astype(np.int64)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, parts) of every row; node and parts are null for empty sets."""
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of few texts, so that what a task holds and sends at once stays small."""
+    for start in range(0, len(batch), SLICE_ROWS):
+        yield batch.iloc[start : start + SLICE_ROWS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "node": pd.array([node_of(g) if len(g) else None for g in found], dtype="Int64"),
-                    "n": [len(g) for g in found],
-                    "parts": [_part_counts(g) if len(g) else None for g in found],
-                }
-            )
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, node long, n int, parts binary"
-    )
 
+def _count_rows(sums: dict, sender: int) -> Iterator[pd.DataFrame]:
+    for piece, counts in sums.items():
+        kind = "<u2" if counts.max() < 65536 else "<u8"
+        yield pd.DataFrame(
+            {"piece": [piece], "sender": [sender], "counts": [counts.astype(kind).tobytes()]}
+        )
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Counts of all n-grams by slot. Tasks add up their own, two more levels add up the tasks."""
-    size = SLOTS // PIECES
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n, parts) of every row, node and parts null for empty sets; and each task's
+    counts of its n-grams by slot, rows with a `piece`, so that texts are cut up once for both."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            found = [shingles(t) for t in batch["text"]]
-            if found:
-                total += np.bincount(_slot(np.concatenate(found)), minlength=SLOTS)
+            for rows in _slices(batch):
+                found = [shingles(t) for t in rows["text"]]
+                np.add.at(total, _slot(np.concatenate(found)), 1)
+                yield whole(
+                    doc_id=rows["doc_id"].to_numpy(),
+                    node=pd.array([node_of(g) if len(g) else None for g in found], dtype="Int64"),
+                    n=[len(g) for g in found],
+                    parts=[_part_counts(g) if len(g) else None for g in found],
+                )
         if total.any():
-            sender = TaskContext.get().partitionId() % PIECES
-            yield from rows(dict(enumerate(total.reshape(PIECES, size))), sender)
+            sums = dict(enumerate(total.reshape(PIECES, SLOTS // PIECES)))
+            for rows in _count_rows(sums, TaskContext.get().partitionId() % PIECES):
+                yield whole(**rows)
+
+    def whole(**columns) -> pd.DataFrame:
+        size = len(columns.get("n", [0]))
+        empty = {c: [None] * size for c in names}
+        return pd.DataFrame(empty | columns)
+
+    schema = f"doc_id long, node long, n int, parts binary, {COUNTS}"
+    names = ["doc_id", "node", "n", "parts", "piece", "sender", "counts"]
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
-    def rows(sums: dict, sender: int) -> Iterator[pd.DataFrame]:
-        for piece, counts in sums.items():
-            kind = "<u2" if counts.max() < 65536 else "<u8"
-            yield pd.DataFrame(
-                {"piece": [piece], "sender": [sender], "counts": [counts.astype(kind).tobytes()]}
-            )
+
+def frequencies(parts: DataFrame) -> np.ndarray:
+    """Counts of all n-grams by slot, from the counts of the tasks; two levels add them up."""
+    size = SLOTS // PIECES
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -158,15 +168,13 @@ def frequencies(docs: DataFrame) -> np.ndarray:
                 key = (int(piece), int(sender))
                 sums[key] = sums.get(key, 0) + counts.astype(np.int64)
         for (piece, sender), counts in sums.items():
-            yield from rows({piece: counts}, sender)
+            yield from _count_rows({piece: counts}, sender)
 
-    schema = "piece int, sender int, counts binary"
-    parts = docs.select("text").mapInPandas(count, schema)
-    width = partitions(docs)
-    parts = parts.repartition(width, "piece", "sender").mapInPandas(add, schema)
+    width = partitions(parts)
+    parts = parts.repartition(width, "piece", "sender").mapInPandas(add, COUNTS)
     parts = parts.withColumn("sender", F.lit(0)).repartition(PIECES, "piece")
     total = np.zeros((PIECES, size), dtype=np.int64)
-    for row in parts.mapInPandas(add, schema).collect():  # PIECES rows, SLOTS numbers
+    for row in parts.mapInPandas(add, COUNTS).collect():  # PIECES rows, SLOTS numbers
         raw = row["counts"]
         total[row["piece"]] = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * size else "<u8")
     return np.minimum(total.reshape(-1), (1 << 32) - 1).astype(np.uint32)
@@ -194,7 +202,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, done = shared.value, set()
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in _slices(whole)):
             parts = []
             for text in batch["text"]:
                 grams = shingles(text)
@@ -391,28 +399,36 @@ def _verify(percent: int):
     return run
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, words: np.ndarray) -> DataFrame:
-    """(node, text) of the named nodes only: a filter first, then a join that settles it.
+def texts_of(docs: DataFrame, nodes: DataFrame, words: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """(node, text) of the named nodes only: filters first, then a join that settles it.
 
-    Texts take half the room of the sets of hashes that they give.
+    Only rows whose doc_id may be in the filter `ids`, or that have none, are cut up. Texts take
+    half the room of the sets of hashes that they give.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done = set()
         for batch in batches:
-            texts = batch["text"].to_numpy()
-            found = [(k, shingles(t)) for k, t in enumerate(texts)]
-            at = [k for k, g in found if len(g)]
-            ids = np.array([node_of(g) for _, g in found if len(g)], dtype=np.int64)
-            out = {}
-            for k in np.flatnonzero(may_hold(shared.value, ids)):
-                if int(ids[k]) not in done:
-                    done.add(int(ids[k]))
-                    out[int(ids[k])] = texts[at[k]]
-            yield pd.DataFrame({"node": np.array([*out], dtype=np.int64), "text": [*out.values()]})
-
-    rows = docs.select("text").mapInPandas(run, "node long, text string")
+            maybe = batch["doc_id"].isna().to_numpy()
+            named = np.flatnonzero(~maybe)
+            known = batch["doc_id"].to_numpy()[named].astype(np.int64)
+            maybe[named] = may_hold(shared.value[1], known)
+            for rows in _slices(batch[maybe]):
+                yield kept(rows["text"].to_numpy(), done)
+
+    def kept(texts: np.ndarray, done: set) -> pd.DataFrame:
+        found = [(k, shingles(t)) for k, t in enumerate(texts)]
+        at = [k for k, g in found if len(g)]
+        nodes = np.array([node_of(g) for _, g in found if len(g)], dtype=np.int64)
+        out = {}
+        for k in np.flatnonzero(may_hold(shared.value[0], nodes)):
+            if int(nodes[k]) not in done:
+                done.add(int(nodes[k]))
+                out[int(nodes[k])] = texts[at[k]]
+        return pd.DataFrame({"node": np.array([*out], dtype=np.int64), "text": [*out.values()]})
+
+    rows = docs.select("doc_id", "text").mapInPandas(run, "node long, text string")
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -423,7 +439,7 @@ def _nodes(pairs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; `info` has (node, n, parts)."""
+    """The pairs (a, b) that link; `info` has (node, n, parts, first_id)."""
     few = prefilter(info.select("node", "n", "parts"), "node", _nodes(pairs)[1])
     a = few.select(F.col("node").alias("a"), "n", F.col("parts").alias("parts_a"))
     b = few.select(
@@ -432,7 +448,10 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, percent: int) -
     left = materialise(
         pairs.join(a, "a").join(b, "b").mapInPandas(_suffix_filter(percent), "a long, b long")
     )
-    found = materialise(texts_of(docs, *_nodes(left)))
+    nodes, words = _nodes(left)
+    firsts = info.join(nodes, "node", "left_semi").where("first_id IS NOT NULL").select("first_id")
+    firsts = materialise(firsts)
+    found = materialise(texts_of(docs, nodes, words, id_filter(firsts, firsts.count())))
     a = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return materialise(
@@ -445,14 +464,15 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     component_id is the smallest doc_id that links lead to; node names the class of equal sets.
     """
-    rows = materialise(sets(docs))
+    both = materialise(sets(docs))
+    rows = both.where("piece IS NULL").select("doc_id", "node", "n", "parts")
     info = materialise(
         rows.where("node IS NOT NULL").groupBy("node").agg(
             F.first("n").alias("n"), F.first("parts").alias("parts"),
             F.min("doc_id").alias("first_id"),
         )
     )
-    counts = frequencies(docs)
+    counts = frequencies(both.where("piece IS NOT NULL").select("piece", "sender", "counts"))
     shared = materialise(shared_grams(prefixes(docs, counts, percent)))
     links = verified(docs, materialise(first_pairs(shared, percent)), info, percent)
     roots = materialise(components(links))

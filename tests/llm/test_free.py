@@ -619,3 +619,26 @@ def test_neighbouring_windows_meet(spark):
     # a forest per group of two windows of eight: 15 edges each, and 7 of the last
     assert len(edges) == 4 * 15 + 7
     assert all(abs(r["node"] - r["root"]) < 16 for r in edges)
+
+
+def test_join_cuts_texts_up_once_for_sets_and_counts(spark):
+    """The pass over the texts that makes the sets also counts their n-grams."""
+    rng = np.random.default_rng(9)
+    texts = [random_text(rng, int(rng.integers(0, 90))) for _ in range(1500)] + [None, ""]
+    both = ngram_join.sets(frame(spark, [doc(i, t) for i, t in enumerate(texts)])).cache()
+    want = np.zeros(ngram_join.SLOTS, dtype=np.int64)
+    for t in texts:
+        np.add.at(want, ngram_join._slot(ngram_join.shingles(t)), 1)
+    assert (ngram_join.frequencies(both.where("piece IS NOT NULL")) == want).all()
+    sizes = {r["doc_id"]: r["n"] for r in both.where("piece IS NULL").collect()}
+    assert sizes == {i: len(ngram_join.shingles(t)) for i, t in enumerate(texts)}
+
+
+def test_join_reads_only_texts_of_named_documents(spark):
+    rows = [doc(i, f"some words of text number {i} here") for i in range(20)] + [doc(None, "no id")]
+    docs = frame(spark, rows)
+    every = ngram_join.sets(docs).where("piece IS NULL").select("node")
+    open_to_all = np.full(16, 2**64 - 1, dtype=np.uint64)
+    named = ngram_join.id_filter(spark.createDataFrame([(3,)], "i long"), 1)
+    found = ngram_join.texts_of(docs, every, open_to_all, named).collect()
+    assert {r["text"] for r in found} == {rows[3][1], "no id"}
