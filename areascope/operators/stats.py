@@ -14,7 +14,7 @@ from areascope.functions.ranking import (
 )
 from areascope.functions.scalars import edges_below, r2_from_sums
 from areascope.operators.joins import lookup_join, union_all
-from areascope.session import ROWS_PER_BUCKET
+from areascope.session import ROWS_PER_BUCKET, materialise
 
 TOP_ROWS = 1_000_000
 
@@ -209,10 +209,13 @@ def order_like(
     df: DataFrame, key: str, ordering: DataFrame, score: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Sort rows by the place their key has in another result (lowest score first)."""
-    ranked = value_rank(
-        ordering.select(key, score), score, key, "position", rows_per_bucket=rows_per_bucket
-    )
+    """Sort rows by the place their key has in another result (lowest score first).
+
+    The scores are written once: ranking passes over them several times, and sums of doubles worked
+    out again may differ in the last bit, which would count a row in one bucket and place it in another.
+    """
+    ordering = materialise(ordering.select(key, score))
+    ranked = value_rank(ordering, score, key, "position", rows_per_bucket=rows_per_bucket)
     places = ranked.select(key, "position")
     return lookup_join(df, places, key, "inner").orderBy("position")
 

@@ -183,3 +183,30 @@ def test_salted_join_equals_join(spark, skewed):
             *skewed.join(dim, "k", how).columns
         ).collect()
         assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_order_like_works_scores_out_once(spark):
+    """Scores that come out otherwise each time still give every place once."""
+    from areascope.operators.stats import order_like
+
+    @F.udf("double")
+    def noise(_):
+        import random
+
+        return random.random()
+
+    keys = spark.range(200).withColumnRenamed("id", "key").repartition(4)
+    ordering = keys.withColumn("score", noise.asNondeterministic()("key"))
+    got = order_like(keys, "key", ordering, "score", rows_per_bucket=3).collect()
+    assert sorted(r["position"] for r in got) == list(range(1, 201))
+
+
+def test_equal_means_tie_in_any_order_of_rows(spark, tmp_path):
+    from areascope.queries.summaries import scores
+
+    prices = [0.1, 0.2, 0.3]
+    rows = [(1, p) for p in prices] + [(2, p) for p in reversed(prices)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double").coalesce(1)
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["score"] for r in scores(spark, str(tmp_path)).collect()}
+    assert len(found) == 1
