@@ -43,34 +43,48 @@ def _letter(letters: str, place: Column) -> Column:
     return F.substring(F.lit(letters), (place + 1).cast("int"), F.lit(1))
 
 
-def tile_of(lat: Column, lon: Column) -> Column:
-    """Struct (tile, epsg, x, y) of the tile a place lies in: name, code of its UTM system and
-    lower-left corner there. Missing outside 80° south to 84° north and for missing coordinates.
+def _turned(lon: Column) -> Column:
+    """A longitude given as any angle, from -180 to below 180."""
+    return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
 
-    Longitudes may be given as any angle.
-    """
-    lon = F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
-    zone = grid_zone(lat, lon)
-    x, y = latlon_to_utm(lat, lon, zone)
-    col, row = F.floor(x / SIDE), F.floor(y / SIDE)
-    band = F.least(F.floor((lat + 80.0) / 8.0), F.lit(len(BANDS) - 1))
+
+def _inside(lat: Column, lon: Column) -> Column:
+    return (lat >= -80) & (lat <= 84) & lon.isNotNull() & ~F.isnan(lon)
+
+
+def _square(lat: Column, x: Column, y: Column) -> dict[str, Column]:
+    """Band of latitude, place of the square in its UTM system and whether that is the southern one."""
+    return {
+        "band": F.least(F.floor((lat + 80.0) / 8.0), F.lit(len(BANDS) - 1)),
+        "col": F.floor(x / SIDE), "row": F.floor(y / SIDE), "south": lat < 0,
+    }
+
+
+def _named(zone: Column, band: Column, col: Column, row: Column, south: Column) -> dict[str, Column]:
+    """Name, code of the UTM system and lower-left corner of a square."""
     name = F.concat(
         F.lpad(zone.cast("string"), 2, "0"), _letter(BANDS, band),
         _letter(COLUMNS, F.pmod(zone - 1, F.lit(3)) * 8 + col - 1),
         _letter(ROWS, F.pmod(row + F.when(zone % 2 == 0, 5).otherwise(0), F.lit(20))),
     )
-    south = lat < 0
     epsg = F.concat(
         F.lit("EPSG:"), (zone + F.when(south, 32700).otherwise(32600)).cast("string")
     )
     corner = row * SIDE + F.when(south, 1e7).otherwise(0.0)
-    inside = (lat >= -80) & (lat <= 84) & lon.isNotNull() & ~F.isnan(lon)
-    return F.when(
-        inside,
-        F.struct(
-            name.alias("tile"), epsg.alias("epsg"), (col * SIDE).alias("x"), corner.alias("y")
-        ),
-    )
+    return {"tile": name, "epsg": epsg, "x": col * SIDE, "y": corner}
+
+
+def tile_of(lat: Column, lon: Column) -> Column:
+    """Struct (tile, epsg, x, y) of the tile a place lies in: name, code of its UTM system and
+    lower-left corner there. Missing outside 80° south to 84° north and for missing coordinates.
+
+    Longitudes may be given as any angle.
+    """
+    lon = _turned(lon)
+    zone = grid_zone(lat, lon)
+    square = _square(lat, *latlon_to_utm(lat, lon, zone))
+    parts = [c.alias(name) for name, c in _named(zone, **square).items()]
+    return F.when(_inside(lat, lon), F.struct(*parts))
 
 
 # --- tiles of scenes ----------------------------------------------------------------------
@@ -91,13 +105,21 @@ def scene_tiles(scenes: DataFrame, key: str, step: float = 0.25) -> DataFrame:
     """
     east = F.when(F.col("west") > F.col("east"), F.col("east") + 360.0).otherwise(F.col("east"))
     whole = F.col("west").isNotNull() & F.col("east").isNotNull() & (F.col("south") <= F.col("north"))
-    points = (
-        scenes.where(whole)
-        .withColumn("__lon", F.explode(_lattice(F.col("west"), east, step)))
-        .withColumn("__lat", F.explode(_lattice(F.col("south"), F.col("north"), step)))
+    lattices = scenes.where(whole).select(
+        key, _lattice(F.col("west"), east, step).alias("__lons"),
+        _lattice(F.col("south"), F.col("north"), step).alias("__lats"),
     )
-    found = points.select(key, tile_of(F.col("__lat"), F.col("__lon")).alias("t")).where("t IS NOT NULL")
-    return found.select(key, "t.*").distinct()
+    points = lattices.select(key, "__lats", F.explode("__lons").alias("__lon"))
+    points = points.select(key, F.explode("__lats").alias("__lat"), _turned(F.col("__lon")).alias("__lon"))
+    lat, lon, zone = F.col("__lat"), F.col("__lon"), F.col("__zone")
+    # every step is a column of its own, so that none is worked out again wherever the next one needs it
+    points = points.where(_inside(lat, lon)).withColumn("__zone", grid_zone(lat, lon))
+    x, y = latlon_to_utm(lat, lon, zone)
+    points = points.select(key, "__lat", "__zone", x.alias("__x"), y.alias("__y"))
+    square = _square(lat, F.col("__x"), F.col("__y"))
+    found = points.select(key, "__zone", *[c.alias(f"__{n}") for n, c in square.items()]).distinct()
+    names = _named(zone, **{n: F.col(f"__{n}") for n in square})
+    return found.select(key, *[c.alias(n) for n, c in names.items()]).distinct()
 
 
 def tile_list(scenes: DataFrame, key: str, step: float = 0.25) -> DataFrame:

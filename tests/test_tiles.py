@@ -182,3 +182,10 @@ def test_vector_overviews(spark):
         mean = units[r * level:(r + 1) * level, c * level:(c + 1) * level].reshape(-1, 3).mean(axis=0)
         assert np.allclose(v, mean / np.linalg.norm(mean))
     assert len(got) == 9 + 4
+
+
+def test_scene_tiles_project_each_point_once(spark):
+    """The projection's steps are columns; inlined they would be worked out again for each use."""
+    scenes = spark.createDataFrame([(1, -75.5, 40.0, -74.5, 41.0)], BOX)
+    plan = tiles.scene_tiles(scenes, "id", 0.25)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.upper().count("ATANH(") < 60
