@@ -308,10 +308,10 @@ def _boosted_residual(
     plan = [(index, o) for index in indices for o in range(m)]
     least = {"min_train": min_train, "min_test": min_test}
     stage = [Fit(o, tuple(_places(layout, index)), True) for index, o in plan]
-    rows = binned(df, p, m, len(stage), [test])
+    rows = binned(df, p, m, [test])
     rows = boost(rows, p, m, stage, test, None, indices[0].trees, indices[0].step, indices[0].leaves)
     r2_index = scores(rows, [(names[o], index.name, True, o) for index, o in plan], test, [], **least)
-    left = residuals(rows, p, m, [o for _, o in plan], len(plan), [test])
+    left = residuals(rows, p, m, [o for _, o in plan], [test])
     stage = [Fit(k, tuple(_places(layout, second)), True) for k in range(len(plan))]
     left = boost(left, p, len(plan), stage, test, None, second.trees, second.step, second.leaves)
     named = [(names[o], index.name, True, k) for k, (index, o) in enumerate(plan)]

@@ -157,3 +157,28 @@ def test_best_first_takes_the_largest_gain_next():
         for rows in parts:
             want[rows] = y[rows].mean()
         assert np.allclose(bo.grow(histograms, leaves, 20, 1.0).predict(b, 64), want)
+
+
+@pytest.mark.parametrize("limit, rounds", [(50_000, 1), (270, 9), (0, 9)])
+def test_rounds_are_for_large_fits_only(spark, monkeypatch, limit, rounds):
+    """Fits over the limit grow by rounds, smaller ones and those on one feature in a task: same scores."""
+    x, y, fold, group = made(600, 8)
+    group = np.where(np.arange(600) < 150, 0, 1)  # 300 training rows of group 1, 100 of group 0
+    df = frame(spark, x, y, fold, group)
+    rows, layout = design(df, ["fold", "g"], ["y"], numeric={"n": COLS, "one": ["b"]}, missing="keep")
+    asked, plain = [], bo._round
+    monkeypatch.setattr(bo, "_round", lambda *a: asked.append(a[-1]) or plain(*a))
+    monkeypatch.setattr(bo, "FIT_ROWS", limit)
+    models = [Model("n", ("n",), "gbt", trees=4, step=0.5, leaves=4), Model("one", ("one",), "gbt", trees=4, step=0.5, leaves=4)]
+    found = sweeps.fold_scores(rows, layout, models, "fold", ["g"], 20).collect()
+    got = {(r["model"], r["g"], r["fold"]): r["r2"] for r in found}
+    edges = bo.feature_edges(rows, layout.p, 64)
+    assert len(got) == 12
+    for (model, g, f), r in got.items():
+        train, test = (group == g) & (fold != f), (group == g) & (fold == f)
+        cols = [0, 1, 2] if model == "n" else [1]
+        p = plain_boost(x[:, cols], y[:, 0], train, [edges[c] for c in cols], 4, 0.5, 4)
+        assert np.isclose(r, r2(y[test, 0], p[test]), atol=1e-9)
+    assert len(asked) == 1 if rounds == 1 else len(asked) >= rounds
+    large = {key for one in asked[1:] for key in one}
+    assert len(large) == {50_000: 0, 270: 3, 0: 6}[limit]
