@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from areascope.functions.ranking import value_edges, with_bucket
+from areascope.functions.scalars import edges_below
 from areascope.operators.design import bin_edges, bin_number
 from areascope.operators.gram import Sums, fit_ridge, gram
-from areascope.session import materialise
+from areascope.session import ROWS_PER_BUCKET, materialise
+
+TREE_BINS = 32
 
 
 def fit_predict(
@@ -22,7 +29,8 @@ def fit_predict(
 
     ridge: rows with a missing feature are not fitted and get no prediction.
     bins: one feature cut at its percentiles; a bin predicts its mean, missing values too.
-    gbt: boosted trees; a missing feature is replaced by its mean and marked.
+    gbt: boosted trees; a missing feature is replaced by its mean and marked. Features are cut into 32 bins,
+    so trees are grown from the number and mean target of the rows in each combination of bins.
     """
     if learner == "ridge":
         return _ridge(df, features, y, train, out, alpha)
@@ -77,6 +85,47 @@ def _bins(df, feature, y, train, out, bins):
     )
 
 
+def tree_edges(df: DataFrame, c: str, bins: int = TREE_BINS, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+    """Where MLlib's trees cut a feature, by the counts of all its values instead of those in a sample.
+
+    Between all values if they are few; else after the value whose count of rows up to it is nearest
+    to each of the bins' shares, and after the next value if that place is taken.
+    """
+    v, n, b = "__v", "__n", "__b"
+    counts = df.groupBy(F.col(c).cast("double").alias(v)).agg(F.count(F.lit(1)).alias(n))
+    counts = materialise(counts.where(F.col(v).isNotNull()))
+    found = counts.agg(F.count(F.lit(1)).alias("values"), F.sum(n).alias("rows")).first()
+    if found["values"] < 2:
+        return []
+    cut = with_bucket(counts, v, value_edges(counts, v, rows_per_bucket, found["values"]), b)
+    sizes = cut.groupBy(b).agg(F.sum(n).alias("__rows"), F.count(F.lit(1)).alias("__values"))
+    before = W.partitionBy(F.lit(0)).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(  # one row per bucket
+        b, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in ("__rows", "__values")]
+    )
+    inside = W.partitionBy(b).orderBy(v).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = cut.join(F.broadcast(sizes), b).select(
+        v, n, (F.col("__rows") + F.sum(n).over(inside)).alias("__end"),
+        (F.col("__values") + F.count(F.lit(1)).over(inside) - 1).alias("__place"),
+    )
+    if found["values"] <= bins:
+        places = [*range(1, found["values"])]
+    else:
+        # the count up to the value before is nearer to the share than that up to the value
+        nearer = [2 * F.col("__end") - F.col(n) > F.lit(2 * found["rows"] / bins * i) for i in range(1, bins)]
+        after = F.col("__place") > 0
+        row = placed.agg(*[F.min(F.when(after & near, F.col("__place"))).alias(str(i)) for i, near in enumerate(nearer)])
+        places = []
+        for place in row.first():
+            place = max([place, *[p + 1 for p in places[-1:]]]) if place is not None else None
+            if place is None or place >= found["values"]:
+                break
+            places.append(place)
+    wanted = sorted({q for p in places for q in (p - 1, p)})
+    at = {r["__place"]: r[v] for r in placed.where(F.col("__place").isin(wanted)).collect()}
+    return [(at[p - 1] + at[p]) / 2 for p in places]
+
+
 def _gbt(df, features, y, train, out, trees, step, depth, min_leaf, seed):
     rows = df.where(F.col(train) & F.col(y).isNotNull())
     means = rows.agg(*[F.avg(c) for c in features]).first()
@@ -84,12 +133,23 @@ def _gbt(df, features, y, train, out, trees, step, depth, min_leaf, seed):
         F.coalesce(F.col(c).cast("double"), F.lit(m or 0.0))
         for c, m in zip(features, means, strict=True)
     ]
-    marks = [F.col(c).isNull().cast("double") for c in features]
-    x = array_to_vector(F.array(*filled, *marks)).alias("__x")
-    # every tree reads the rows again; the shared folder also cuts the lineage of many trees
-    rows = materialise(rows.select(x, F.col(y).cast("double").alias(y)))
+    names = [f"__x{i}" for i in range(len(features))]
+    values = rows.select(*[c.alias(name) for c, name in zip(filled, names, strict=True)])
+    edges = [tree_edges(values, name) for name in names]
+    cells = [edges_below(c, e).cast("double") for c, e in zip(filled, edges, strict=True)]
+    cells += [F.col(c).isNull().cast("double") for c in features]
+    names += [f"__m{i}" for i in range(len(features))]
+    # Rows of equal bins go the same way in every tree: they are one row, weighted by their number.
+    # Every tree reads them again; the shared folder also cuts the lineage of many trees.
+    rows = rows.select(*[c.alias(name) for c, name in zip(cells, names, strict=True)], F.col(y).cast("double").alias(y))
+    rows = materialise(rows.groupBy(*names).agg(F.avg(y).alias(y), F.count(F.lit(1)).cast("double").alias("__n")))
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("__n").alias("n")).first()
     model = GBTRegressor(
-        featuresCol="__x", labelCol=y, predictionCol=out, maxIter=trees, stepSize=step,
-        maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
-    ).fit(rows)
-    return model.transform(df.withColumn("__x", x)).drop("__x")
+        featuresCol="__x", labelCol=y, predictionCol=out, maxIter=trees, stepSize=step, weightCol="__n",
+        # a leaf holds min_leaf rows of the table, whatever their bins
+        maxDepth=depth if (size["n"] or 0) >= 2 * min_leaf else 0, minInstancesPerNode=1,
+        minWeightFractionPerNode=max(min_leaf - 0.5, 0.0) / max(size["n"] or 0, 2 * min_leaf, 1), seed=seed,
+        # with fewer bins than this MLlib would look for them in a sample
+        maxBins=max(TREE_BINS, math.isqrt(size["rows"]) + 1),
+    ).fit(rows.withColumn("__x", array_to_vector(F.array(*names))))
+    return model.transform(df.withColumn("__x", array_to_vector(F.array(*cells)))).drop("__x")

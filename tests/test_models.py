@@ -230,6 +230,41 @@ def test_bins_and_trees(spark, areas):
         fit_predict(wide, ["idx"], "y1", "train", "other")
 
 
+def test_trees_on_counted_bins_equal_mllib(spark, monkeypatch):
+    """Same predictions as trees on the rows themselves, which are counted by bin before trees read them."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    from areascope.operators import learners
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    a, b, c = rng.integers(0, 12, n), rng.normal(size=n).round(3), rng.normal(size=n)
+    y = a * 0.3 + np.where(b > 0.4, 2.0, 0.0) + rng.normal(scale=0.5, size=n)
+    hole = rng.random(n) < 0.3
+    df = spark.createDataFrame(
+        [(i, float(a[i]), None if hole[i] else float(b[i]), float(c[i] > 1), float(y[i]), bool(i % 5)) for i in range(n)],
+        "id int, a double, b double, c double, y double, train boolean",
+    ).repartition(4)
+    read, plain = [], GBTRegressor.fit
+    monkeypatch.setattr(learners.GBTRegressor, "fit", lambda self, rows: read.append(rows.count()) or plain(self, rows))
+    settings = {"trees": 6, "step": 0.5, "depth": 4}
+    got = {r.id: r.prediction for r in fit_predict(df, ["a", "b", "c"], "y", "train", "gbt", **settings).collect()}
+    twice = df.unionAll(df.withColumn("id", F.col("id") + n))
+    fit_predict(twice, ["a", "b", "c"], "y", "train", "gbt", **settings)
+    assert read[0] == read[1] <= 12 * 33 * 2 < 2400  # as many rows for twice the table
+    mean = df.where("train").agg(F.avg("b")).first()[0]
+    x = F.array(F.col("a"), F.coalesce("b", F.lit(mean)), F.col("c"),
+                *[F.col(k).isNull().cast("double") for k in ("a", "b", "c")])
+    rows = df.withColumn("x", array_to_vector(x))
+    model = plain(GBTRegressor(featuresCol="x", labelCol="y", maxIter=6, stepSize=0.5, maxDepth=4,
+                               minInstancesPerNode=20, seed=42), rows.where("train"))
+    want = {r.id: r.prediction for r in model.transform(rows).collect()}
+    np.testing.assert_allclose([got[i] for i in range(n)], [want[i] for i in range(n)], atol=1e-9)
+    values = rows.where("train").select(F.coalesce("b", F.lit(mean)).alias("b"))
+    assert learners.tree_edges(values, "b") == learners.tree_edges(values, "b", rows_per_bucket=100)
+
+
 def test_boosted_fit_is_not_cut(spark, monkeypatch):
     """The registered query fits the reference's 300 trees at a step of 0.05."""
     from inspect import signature
